@@ -53,7 +53,7 @@ class Settings:
     eval_content_length: int = 10000
 
     # compression
-    compression_ratio: float = 0.5
+    compression_ratio: float = 0.6
     context_window: int = 1
 
     # multi-hop expansion
@@ -64,6 +64,8 @@ class Settings:
     # web pages
     min_content_length: int = 200
     max_web_hits: int = 20
+    max_triplet_chunks: int = 3
+    max_graph_hops: int = 2
 
 
 # Relations listed before all other facts of the knowledge graph.

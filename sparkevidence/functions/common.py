@@ -45,3 +45,8 @@ def blank_to_null(value: Column | str) -> Column:
 def line(label: str, value: Column | str) -> Column:
     """``label + value``; NULL when the value is NULL or empty, so that concat_ws drops it."""
     return F.concat(F.lit(label), blank_to_null(value))
+
+
+def let(value: Column, body) -> Column:
+    """Use a computed value several times while computing it once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
