@@ -21,7 +21,7 @@ KEYWORDS = (
     "cancer", "tumor", "therapy", "drug", "mechanism", "合成致死", "缺失", "抑制剂",
 )
 
-WORD_PATTERN = r"(?U)\b\w+\b"
+WORD_PATTERN = r"(?U)\w+"
 HYPHEN_WORD_PATTERN = r"(?U)\b[\w-]+\b"
 SENTENCE_BREAK = r"(?<=[.!?])\s+"
 

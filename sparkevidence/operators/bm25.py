@@ -1,16 +1,16 @@
 """BM25 ranking of a corpus for many questions at once.
 
-The corpus is split by document, so a word that occurs in a third of all documents is spread over
-all tasks like any other. Word counts need one pass with map-side counting. Scoring needs a second
-pass: the question side (a few words for each question) is broadcast after its size was checked,
-each task scores its documents block by block and keeps the best k for each question, and only
-those leave the task. A question side beyond the bound takes the join form instead, in which
-words meet in a salted shuffle join.
+The index is split by document, so a word that occurs in a third of all documents is spread over
+all tasks like any other; word counts are a second, much smaller table. The question side (a few
+words for each question) is broadcast after its size was checked, each task scores its documents
+block by block and keeps the best k for each question, and only those leave the task. A question
+side beyond the bound takes the join form instead, in which words meet in a salted shuffle join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import tokenize
-from .scale import at_most, cut_lineage
+from .scale import cut_lineage
 from .topk import HIT_SCHEMA, RunningTopK, rank_hits
 
 # Question words that may be broadcast: about 40 MB of words and weights.
@@ -33,13 +33,27 @@ SALTS = 32
 Tokens = Callable[[str], Column]
 
 
+@dataclass(frozen=True)
+class Index:
+    forward: DataFrame  # doc_id, terms
+    words: DataFrame  # term, df, length
+
+
 def tokenized(
     docs: DataFrame, tokens: Tokens = tokenize, id_col: str = "doc_id", text_col: str = "content"
 ) -> DataFrame:
-    """(doc_id, terms): the forward index, worth writing out for a corpus that is searched often."""
+    """(doc_id, terms) of each document."""
     return docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("terms"))
 
 
+def build_index(
+    docs: DataFrame, tokens: Tokens = tokenize, id_col: str = "doc_id", text_col: str = "content"
+) -> Index:
+    """Tokenize a corpus once and write the index out for all later searches."""
+    forward = cut_lineage(tokenized(docs, tokens, id_col, text_col))
+    return Index(forward, cut_lineage(vocabulary(forward)))
+
+
 def query_terms(queries: DataFrame, tokens: Tokens = tokenize) -> DataFrame:
     """(query_id, term, qtf) with the count of the word in the question."""
     return (
@@ -68,13 +82,13 @@ def raw_idf(df: Column, n_docs: Column) -> Column:
     return F.log(n_docs - df + 0.5) - F.log(df + 0.5)
 
 
-def index_stats(index: DataFrame) -> DataFrame:
+def index_stats(index: Index) -> DataFrame:
     """One row: documents, distinct words, mean document length, mean raw word weight."""
-    n_docs = index.agg(F.count("*")).scalar()
-    return vocabulary(index).agg(
+    n_docs = index.forward.agg(F.count("*")).scalar()
+    return index.words.agg(
         F.max(n_docs).alias("n_docs"),
         F.count("*").alias("n_terms"),
-        F.max(F.col("df")).alias("max_df"),
+        F.max("df").alias("max_df"),
         (F.sum("length") / F.max(n_docs)).alias("avg_length"),
         F.avg(raw_idf(F.col("df"), n_docs)).alias("mean_idf"),
     )
@@ -82,48 +96,51 @@ def index_stats(index: DataFrame) -> DataFrame:
 
 def search(
     queries: DataFrame,
-    index: DataFrame,
+    index: Index,
     k: int,
     settings: Settings = DEFAULTS,
     tokens: Tokens = tokenize,
     broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
-    """(query_id, doc_id, score, rank): the best k documents with a positive score."""
+    """(query_id, doc_id, score, rank): the best k documents with a positive score.
+
+    The ranking is small against the corpus and is written out once, so that whatever is built on
+    it does not score the corpus again.
+    """
     terms = query_terms(queries, tokens)
-    if at_most(terms, broadcast_terms):
-        hits = _block_scores(terms, index, k, settings)
+    asked = terms.limit(broadcast_terms + 1).toPandas()
+    if len(asked) <= broadcast_terms:
+        hits = _block_scores(asked, index, k, settings)
     else:
-        hits = _join_scores(terms, index, settings)
-    return rank_hits(hits, k)
+        hits = _join_scores(cut_lineage(terms), index, settings)
+    return cut_lineage(rank_hits(hits, k))
+
+
+def _totals(index: Index) -> tuple[int, float, float]:
+    """Documents, mean length and mean raw word weight."""
+    n_docs = index.forward.count()
+    row = index.words.agg(
+        F.sum("length").alias("length"),
+        F.avg(raw_idf(F.col("df"), F.lit(n_docs))).alias("mean_idf"),
+    ).first()
+    return n_docs, (row["length"] or 0) / max(n_docs, 1), row["mean_idf"] or 0.0
 
 
-def _block_scores(terms: DataFrame, index: DataFrame, k: int, s: Settings) -> DataFrame:
+def _block_scores(asked: pd.DataFrame, index: Index, k: int, s: Settings) -> DataFrame:
     """Question side broadcast, documents scored in place, k rows per question leave a task."""
-    spark = index.sparkSession
-    asked = terms.toPandas()
-    n_docs = index.count()
-    wanted = F.broadcast(terms.select("term").distinct().withColumn("asked", F.lit(True)))
-    totals = (
-        vocabulary(index)
-        .join(wanted, "term", "left")
-        .agg(
-            F.sum("length").alias("length"),
-            F.avg(raw_idf(F.col("df"), F.lit(n_docs))).alias("mean_idf"),
-            F.collect_list(F.when(F.col("asked"), F.struct("term", "df"))).alias("found"),
-        )
-        .first()
-    )
-    counts = {r["term"]: r["df"] for r in totals["found"]}
+    spark = index.forward.sparkSession
+    n_docs, avg_length, mean_idf = _totals(index)
+    wanted = spark.createDataFrame(asked[["term"]].drop_duplicates(), "term string")
+    found = index.words.join(F.broadcast(wanted), "term", "left_semi").select("term", "df")
+    counts = {r["term"]: r["df"] for r in found.collect()}  # no more rows than asked words
     asked = asked[asked["term"].isin(counts.keys())]
     df = asked["term"].map(counts).to_numpy(dtype=np.float64)
     idf = np.log(n_docs - df + 0.5) - np.log(df + 0.5)
-    if len(asked):
-        idf = np.where(idf < 0, s.bm25_epsilon * totals["mean_idf"], idf)
+    idf = np.where(idf < 0, s.bm25_epsilon * mean_idf, idf)
     asked = asked.assign(weight=idf * asked["qtf"])
     asked = asked[asked["weight"] != 0].sort_values(["query_id", "term"])
     if asked.empty:
         return spark.createDataFrame([], HIT_SCHEMA)
-    avg_length = totals["length"] / n_docs
     side = spark.sparkContext.broadcast(_pack(asked))
     k1, b = s.bm25_k1, s.bm25_b
 
@@ -158,7 +175,7 @@ def _block_scores(terms: DataFrame, index: DataFrame, k: int, s: Settings) -> Da
             names=["query_id", "doc_id", "score"],
         )
 
-    return index.select("doc_id", "terms").mapInArrow(score, HIT_SCHEMA)
+    return index.forward.select("doc_id", "terms").mapInArrow(score, HIT_SCHEMA)
 
 
 def _pack(asked: pd.DataFrame) -> tuple[list[str], list[tuple]]:
@@ -177,29 +194,22 @@ def _pack(asked: pd.DataFrame) -> tuple[list[str], list[tuple]]:
     return list(words), blocks
 
 
-def _join_scores(terms: DataFrame, index: DataFrame, s: Settings) -> DataFrame:
+def _join_scores(terms: DataFrame, index: Index, s: Settings) -> DataFrame:
     """Both sides meet by word; a salt spreads the documents of a frequent word over many tasks."""
-    words = cut_lineage(vocabulary(index))
-    n_docs = index.count()
-    totals = words.agg(
-        F.sum("length").alias("length"),
-        F.avg(raw_idf(F.col("df"), F.lit(n_docs))).alias("mean_idf"),
-    ).first()
+    n_docs, avg_length, mean_idf = _totals(index)
     idf = raw_idf(F.col("df"), F.lit(n_docs))
-    floor = F.lit((totals["mean_idf"] or 0.0) * s.bm25_epsilon)
+    floor = F.lit(mean_idf * s.bm25_epsilon)
     weights = (
-        terms.join(words, "term")
+        terms.join(index.words, "term")
         .select(
             "query_id", "term", (F.when(idf < 0, floor).otherwise(idf) * F.col("qtf")).alias("weight")
         )
         .where(F.col("weight") != 0)
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    norm = s.bm25_k1 * (
-        1 - s.bm25_b + s.bm25_b * F.col("n") / ((totals["length"] or 0) / max(n_docs, 1))
-    )
+    norm = s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("n") / F.lit(avg_length))
     postings = (
-        index.select("doc_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+        index.forward.select("doc_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
         .groupBy("doc_id", "n", "term")
         .agg(F.count("*").alias("tf"))
         .select(

@@ -139,50 +139,45 @@ def extractive(
     A text that is short enough stays as it is.
     """
     c = as_col(text)
-    cap = F.lit(target) if isinstance(target, int) else target
+    limit = F.lit(target) if isinstance(target, int) else target
     empty = F.array().cast("array<string>")
-    keep = empty if entities is None else F.coalesce(
+    names = empty if entities is None else F.coalesce(
         F.array_distinct(F.transform(entities, F.upper)), empty
     )
     sentences = F.filter(F.split(c, SENTENCE_BREAK), lambda s: s != "")
     start = F.struct(
         F.lit(0).alias("used"), F.array().cast("array<int>").alias("chosen")
     )
+    # everything that the fold looks at is computed once for the row
+    row = F.struct(sentences.alias("all"), names.alias("names"), limit.alias("cap"))
+
+    def choose(r: Column) -> Column:
+        def pick(acc: Column, s: Column) -> Column:
+            fits = (acc["used"] < r["cap"]) & (acc["used"] + s["words"] <= r["cap"])
+            return F.struct(
+                F.when(fits, acc["used"] + s["words"]).otherwise(acc["used"]).alias("used"),
+                F.when(fits, F.concat(acc["chosen"], F.array(s["at"])))
+                .otherwise(acc["chosen"])
+                .alias("chosen"),
+            )
 
-    def pick(acc: Column, s: Column) -> Column:
-        fits = (acc["used"] < cap) & (acc["used"] + s["words"] <= cap)
-        return F.struct(
-            F.when(fits, acc["used"] + s["words"]).otherwise(acc["used"]).alias("used"),
-            F.when(fits, F.concat(acc["chosen"], F.array(s["at"]))).otherwise(acc["chosen"]).alias(
-                "chosen"
-            ),
-        )
-
-    def choose(all_sentences: Column) -> Column:
-        valued = let(
-            keep,
-            lambda names: F.transform(
-                all_sentences,
-                lambda s, i: F.struct(
-                    (-sentence_value(s, i, names)).alias("minus"), i.alias("at"),
-                    count_words(s).alias("words"),
-                ),
+        valued = F.transform(
+            r["all"],
+            lambda s, i: F.struct(
+                (-sentence_value(s, i, r["names"])).alias("minus"), i.alias("at"),
+                count_words(s).alias("words"),
             ),
         )
         chosen = F.aggregate(F.array_sort(valued), start, pick, lambda acc: acc["chosen"])
-        return F.array_join(
-            F.transform(F.array_sort(chosen), lambda i: F.get(all_sentences, i)), " "
+        kept = F.transform(F.array_sort(chosen), lambda i: F.get(r["all"], i))
+        return F.when(F.size(r["all"]) == 0, F.substr(c, F.lit(1), r["cap"] * 4)).otherwise(
+            F.array_join(kept, " ")
         )
 
     return (
         F.when(F.coalesce(c, F.lit("")) == "", "")
-        .when(count_words(c) <= cap, c)
-        .otherwise(
-            let(
-                sentences,
-                lambda s: F.when(F.size(s) == 0, F.substr(c, F.lit(1), cap * 4)).otherwise(choose(s)),
-            )
-        )
+        .when(count_words(c) <= limit, c)
+        .otherwise(let(row, choose))
     )
 
 

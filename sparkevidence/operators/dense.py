@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scale import at_most
+from .scale import cut_lineage
 from .topk import HIT_SCHEMA, RunningTopK, rank_hits
 
 SLICE_QUERIES = 20_000
@@ -41,19 +41,18 @@ def search(
 ) -> DataFrame:
     """(query_id, doc_id, score, rank) from (query_id, embedding) and (vec_id, embedding)."""
     asked = query_vectors.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    if at_most(asked, slice_queries):
-        slices = [asked]
+    first = asked.limit(slice_queries + 1).toPandas()
+    if len(first) <= slice_queries:
+        hits = [_slice_scores(first, vectors, k)]
     else:
         n = -(-asked.count() * 5 // (slice_queries * 4))
         part = F.pmod(F.xxhash64("query_id"), F.lit(n))
-        slices = [asked.where(part == i) for i in range(n)]
-    hits = [_slice_scores(s, vectors, k) for s in slices]
-    return rank_hits(reduce(DataFrame.unionByName, hits), k)
+        hits = [_slice_scores(asked.where(part == i).toPandas(), vectors, k) for i in range(n)]
+    return cut_lineage(rank_hits(reduce(DataFrame.unionByName, hits), k))
 
 
-def _slice_scores(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def _slice_scores(pdf: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
-    pdf = asked.toPandas()
     if pdf.empty:
         return spark.createDataFrame([], HIT_SCHEMA)
     ids = pdf["query_id"].to_numpy(dtype=np.int64)

@@ -287,5 +287,5 @@ def drug_evidence(
 
 def kg_text_search(queries: DataFrame, facts: DataFrame, k: int = 10) -> DataFrame:
     """Word search over rendered facts (doc_id, content); hits carry a fixed score."""
-    hits = bm25.search(queries, bm25.tokenized(facts), k)
+    hits = bm25.search(queries, bm25.build_index(facts), k)
     return hits.withColumnRenamed("score", "match_score").withColumn("score", F.lit(0.7))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +41,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
+    """Write the rows as a table in the shared checkpoint folder and go on from there.
 
-    Iterative jobs call this once per round, so that neither the plan nor the work to redo after
-    a lost executor grows with the number of rounds.
+    Iterative jobs call this once per round, so that neither the plan nor the work to redo after a
+    lost executor grows with the number of rounds. It also serves rows that several later steps
+    read. Being a table, it is read by column and its size is known to the optimizer.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

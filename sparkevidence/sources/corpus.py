@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.bm25 import Index
+
 METADATA_SCHEMA = """
   struct<title:string,paper_title:string,link:string,url:string,source:string,date:string,
     snippet:string,key_genes:array<string>,key_methods:array<string>,is_web:boolean,
@@ -53,13 +55,16 @@ def write_vectors(vectors: DataFrame, path: str, mode: str = "error") -> None:
     vectors.select("vec_id", "embedding").write.mode(mode).parquet(path)
 
 
-def write_index(index: DataFrame, path: str, mode: str = "error") -> None:
-    """Store the forward index (doc_id, terms), so that searches skip the tokenizing."""
-    index.select("doc_id", "terms").write.mode(mode).parquet(path)
+def write_index(index: Index, folder: str, mode: str = "error") -> None:
+    """Keep a word index beyond the session that built it."""
+    base = folder.rstrip("/")
+    index.forward.write.mode(mode).parquet(f"{base}/forward")
+    index.words.write.mode(mode).parquet(f"{base}/words")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("doc_id", "terms")
+def read_index(spark: SparkSession, folder: str) -> Index:
+    base = folder.rstrip("/")
+    return Index(spark.read.parquet(f"{base}/forward"), spark.read.parquet(f"{base}/words"))
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
