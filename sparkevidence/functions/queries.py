@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .common import as_col, strip
+from .text import raw_symbols
 
 # Recency words, and the sites a literature search is restricted to.
 RECENT_PATTERN = (
-    r"(?iu)\b(latest|recent|newest|current|up[-\s]?to[-\s]?date|202[0-9])\b|最新|近期|最近"
+    r"(?iU)\b(latest|recent|newest|current|up[-\s]?to[-\s]?date|202[0-9])\b|最新|近期|最近"
 )
 LITERATURE_SITES = (
     "ncbi.nlm.nih.gov", "pubmed.ncbi.nlm.nih.gov", "nature.com", "cell.com",
@@ -79,9 +80,7 @@ def boolean_expand(query: Column | str, alias_lists: Column | str) -> Column:
 
 def step_back_queries(query: Column | str) -> Column:
     """Three broader questions about the first symbol of the question."""
-    found = F.nullif(
-        F.regexp_extract(as_col(query), r"\b([A-Z][A-Z0-9]{1,9})\b", 1), F.lit("")
-    )
+    found = F.get(raw_symbols(query), F.lit(0))
     gene = F.coalesce(found, F.lit("gene"))
     return F.array(
         F.concat(gene, F.lit(" pathway function mechanism")),

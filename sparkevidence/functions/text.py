@@ -9,7 +9,7 @@ from .common import as_col, strip, text_array
 
 # Symbol pattern and words that are never taken for a gene symbol.
 GENE_PATTERN = r"(?:^|[^A-Z0-9])([A-Z][A-Z0-9]{1,9})(?=$|[^A-Z0-9])"
-SYMBOL_PATTERN = r"\b[A-Z][A-Z0-9]{1,9}\b"
+SYMBOL_PATTERN = r"(?U)\b[A-Z][A-Z0-9]{1,9}\b"
 NOT_GENES = ("AND", "NOT", "THE", "FOR", "WITH", "FROM", "OR")
 NOT_GENE_TOKENS = ("AND", "NOT", "THE", "FOR", "WITH", "FROM")
 NOT_GENES_SHORT = ("AND", "NOT", "THE", "FOR")

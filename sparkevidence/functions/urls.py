@@ -207,9 +207,9 @@ def extract_date(text: Column | str) -> Column:
         return F.nullif(F.array_join(F.filter(F.array(*parts), lambda p: p != ""), " "), F.lit(""))
 
     return F.coalesce(
-        groups(rf"(?i)\b({months})\s+(\d{{1,2}}),?\s+(20\d{{2}})\b", 3),
-        groups(rf"(?i)\b(\d{{1,2}})\s+({months})\s+(20\d{{2}})\b", 3),
-        groups(r"\b(20\d{2})[-/](0?\d|1[0-2])[-/](0?\d|[12]\d|3[01])\b", 3),
+        groups(rf"(?iU)\b({months})\s+(\d{{1,2}}),?\s+(20\d{{2}})\b", 3),
+        groups(rf"(?iU)\b(\d{{1,2}})\s+({months})\s+(20\d{{2}})\b", 3),
+        groups(r"(?U)\b(20\d{2})[-/](0?\d|1[0-2])[-/](0?\d|[12]\d|3[01])\b", 3),
         groups(r"(?i)Published:\s*(20\d{2})", 1),
-        groups(r"\b(20\d{2})\b", 1),
+        groups(r"(?U)\b(20\d{2})\b", 1),
     )

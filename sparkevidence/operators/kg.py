@@ -11,7 +11,7 @@ from ..functions.text import raw_symbols
 from . import bm25
 from .grams import substring_join
 from .pairs import oriented
-from .scale import BROADCAST_ROWS, at_most
+from .scale import BROADCAST_ROWS, at_most, cut_lineage
 from .topk import top_k
 
 
@@ -64,6 +64,8 @@ def kg_paths(
         triples, asked.withColumnRenamed("entity", "x_name"), "x_name", order_out,
         settings.kg_fanout,
     )
+    if hops > 1:
+        out = cut_lineage(out)  # read twice below
     forward = asked.join(out, asked["entity"] == out["x_name"])
     arrow = F.lit(" → ")
     facts = [
@@ -270,7 +272,11 @@ def drug_evidence(
     found = drug_targets(asked.select("drug"), interactions)
     best = top_k(
         found, k, ["drug"],
-        [F.asc(c) for c in ("drug_name", "target_gene", "interaction_type", "source")], "n",
+        [
+            F.asc(c)
+            for c in ("drug_name", "target_gene", "interaction_type", "mechanism", "source")
+        ],
+        "n",
     )
     return asked.join(best, "drug").select(
         "query_id", "pos", "n", "drug", "target_gene",

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import catalog_retrieval  # noqa: F401
+from . import (  # noqa: F401
+    catalog_evidence,
+    catalog_graph,
+    catalog_knowledge,
+    catalog_records,
+    catalog_retrieval,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -15,20 +15,16 @@ from ..functions.text import (
 from ..operators import bm25, budget, compress, dense, entities, fusion, ranking
 from ..operators.scale import cut_lineage
 from . import sql, testbed
-from .registry import query
+from .registry import query, shared
 
 HYBRID_K = 20
 
 
-_BUILT: dict[tuple, bm25.Index] = {}
-
-
 def _index(spark, sf_dir, tokens=tokenize):
-    """The word index of the corpus, built on first use in a session and shared from then on."""
-    key = (spark.sparkContext.applicationId, sf_dir, tokens.__name__)
-    if key not in _BUILT:
-        _BUILT[key] = bm25.build_index(testbed.corpus(spark, sf_dir), tokens)
-    return _BUILT[key]
+    return shared(
+        spark, sf_dir, f"index:{tokens.__name__}",
+        lambda: bm25.build_index(testbed.corpus(spark, sf_dir), tokens),
+    )
 
 
 def _sorted_text(column):

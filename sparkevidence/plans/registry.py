@@ -22,3 +22,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return register
+
+
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    """A stored input (word index, triple table) made on first use in a session, then reused."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]

@@ -214,4 +214,4 @@ def place_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = t.select(F.col("x_name").alias("id"), F.col("x_type").alias("type")).unionByName(
         t.select(F.col("y_name").alias("id"), F.col("y_type").alias("type"))
     )
-    return ends.distinct().withColumn("name", F.initcap("id"))
+    return ends.distinct().withColumn("name", F.lower("id"))
