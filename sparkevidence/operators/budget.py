@@ -50,41 +50,6 @@ def prefix_budget(
     return rows.withColumn("used", F.sum(cost).over(running)).where(F.col("used") <= cap)
 
 
-def numbered_segment(
-    entries: DataFrame, text: Column, lead: str, limit: int, count_rest: bool = False
-) -> DataFrame:
-    """(query_id, content, tokens): numbered lines up to the limit, marked when cut.
-
-    ``text`` is the line without its number. A line costs at least one token, so no more lines
-    than tokens of the limit are looked at; the rest is only counted.
-    """
-    numbered = top_k(entries.drop("n"), limit + 1, ["query_id"], list_order(), "n")
-    rows = numbered.select(
-        "query_id", "n",
-        F.concat(F.col("n").cast("string"), F.lit(". "), text, F.lit("\n")).alias("line"),
-    ).withColumn("cost", count_tokens("line"))
-    kept = prefix_budget(rows, [F.asc("n")], "cost", limit)
-    packed = kept.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("n", "line"))).alias("rows"),
-        F.max("used").alias("tokens"),
-    )
-    totals = entries.groupBy("query_id").agg(F.count("*").alias("total"))
-    left = F.col("total") - F.coalesce(F.size("rows"), F.lit(0))
-    mark = (
-        F.concat(F.lit("\n...(truncated, "), left.cast("string"), F.lit(" more entries)"))
-        if count_rest
-        else F.lit("\n...(truncated)")
-    )
-    body = F.coalesce(
-        F.array_join(F.transform("rows", lambda r: r["line"]), ""), F.lit("")
-    )
-    return totals.join(packed, "query_id", "left").select(
-        "query_id",
-        F.concat(F.lit(lead), body, F.when(left > 0, mark).otherwise("")).alias("content"),
-        F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"),
-    )
-
-
 def literature_text(position: Column) -> Column:
     """Entry of a literature result in the packed text."""
     title = F.coalesce("title", "paper_title", F.lit("Unknown"))
@@ -126,18 +91,56 @@ def format_references(results: DataFrame, settings: Settings = DEFAULTS) -> Data
     )
 
 
-def _literature(results: DataFrame, budgets: DataFrame, s: Settings) -> DataFrame:
-    """Literature entries that fit what is left for them."""
+def _segment(s: Settings) -> Column:
+    """Section of a result: 0 triple facts, 1 generated documents, 2 graph, 3 literature."""
     synthetic = F.coalesce("is_synthetic", F.lit(False))
-    rows = results.where(F.col("source").isin(*LITERATURE) & ~synthetic)
+    return (
+        F.when(F.col("source") == EXTERNAL_KG, 0)
+        .when((F.col("source") == DEPMAP_KB) & synthetic, 1)
+        .when(F.col("source") == GRAPH_RAG, 2)
+        .when(F.col("source").isin(*LITERATURE) & ~synthetic, 3)
+    )
+
+
+def _by_segment(values: tuple[int, int, int, int]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("segment") + 1)
+
+
+def _priced_entries(results: DataFrame, s: Settings) -> DataFrame:
+    """Entries of all sections, numbered, written out and with their running cost.
+
+    One shuffle by question serves every window. A section looks at no more entries than its
+    budget can hold.
+    """
+    relation = F.col("relation") if "relation" in results.columns else F.lit(None).cast("string")
     most = s.max_context_tokens // LITERATURE_MIN_TOKENS + 1
-    numbered = top_k(rows.drop("n"), most, ["query_id"], list_order(), "n")
-    priced = (
-        numbered.withColumn("entry", literature_text(F.col("n")))
+    caps = (s.p0_tokens + 1, s.p1_tokens + 1, s.p2_tokens + 1, most)
+    section = Window.partitionBy("query_id", "segment")
+    ordered = section.orderBy(*list_order())
+    rows = (
+        results.drop("n")
+        .withColumn("segment", _segment(s))
+        .where(F.col("segment").isNotNull())
+        .repartition("query_id")
+        .withColumn("n", F.row_number().over(ordered))
+        .withColumn("total", F.count("*").over(section))
+        .where(F.col("n") <= _by_segment(caps))
+    )
+    fact = F.concat(
+        F.lit(" (relation: "), F.coalesce(relation, F.lit("unknown")), F.lit(", score: "),
+        fixed("score", 2), F.lit(")"),
+    )
+    line = F.concat(
+        F.col("n").cast("string"), F.lit(". "), "content",
+        F.when(F.col("segment") == 0, fact).otherwise(""), F.lit("\n"),
+    )
+    entry = F.when(F.col("segment") == 3, literature_text(F.col("n"))).otherwise(line)
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.withColumn("entry", entry)
         .withColumn("cost", count_tokens("entry"))
-        .join(budgets.select("query_id", "p3_budget"), "query_id")
+        .withColumn("used", F.sum("cost").over(running))
     )
-    return prefix_budget(priced, [F.asc("n")], "cost", F.col("p3_budget"))
 
 
 def pack_context(
@@ -155,64 +158,53 @@ def pack_context(
     ``today`` is the date written in the head.
     """
     s = settings
-    base = queries.select("query_id").distinct()
-    empty = base.sparkSession.createDataFrame([], "query_id long, content string")
-
-    ready0 = (empty if kg_texts is None else kg_texts).where(F.coalesce("content", F.lit("")) != "")
-    p0_ready = ready0.select("query_id", fit_lines("content", s.p0_tokens).alias("p0_ready"))
-    relation = (
-        F.coalesce("relation", F.lit("unknown")) if "relation" in results.columns else F.lit("unknown")
-    )
-    p0_line = F.concat(
-        "content", F.lit(" (relation: "), relation, F.lit(", score: "), fixed("score", 2), F.lit(")")
-    )
-    p0_rows = numbered_segment(
-        results.where(F.col("source") == EXTERNAL_KG), p0_line, LEAD_P0, s.p0_tokens, True
-    ).select("query_id", F.col("content").alias("p0_text"), F.col("tokens").alias("p0_used"))
-    synthetic = F.coalesce("is_synthetic", F.lit(False))
-    p1_rows = numbered_segment(
-        results.where((F.col("source") == DEPMAP_KB) & synthetic), F.col("content"), LEAD_P1,
-        s.p1_tokens,
-    ).select("query_id", F.col("content").alias("p1_text"), F.col("tokens").alias("p1_used"))
-    ready2 = (empty if graph_texts is None else graph_texts).where(
-        F.coalesce("content", F.lit("")) != ""
-    )
-    p2_ready = ready2.select("query_id", truncate_graph("content", s.p2_tokens).alias("p2_ready"))
-    p2_rows = numbered_segment(
-        results.where(F.col("source") == GRAPH_RAG), F.col("content"), LEAD_P2, s.p2_tokens
-    ).select("query_id", F.col("content").alias("p2_text"), F.col("tokens").alias("p2_used"))
-
     zero = F.lit(0).cast("long")
-    heads = base
-    for part in (p0_ready, p0_rows, p1_rows, p2_ready, p2_rows):
-        heads = heads.join(part, "query_id", "left")
-    given0, given2 = F.col("p0_ready").isNotNull(), F.col("p2_ready").isNotNull()
-    heads = (
-        heads.withColumn("p0", F.when(given0, F.col("p0_ready")).otherwise(F.col("p0_text")))
-        .withColumn(
-            "p0_tokens",
-            F.coalesce(F.when(given0, count_tokens("p0_ready")).otherwise(F.col("p0_used")), zero),
-        )
-        .withColumn("p1_tokens", F.coalesce("p1_used", zero))
+    heads = queries.select("query_id").distinct()
+    for name, texts, cut in (
+        ("ready0", kg_texts, lambda c: fit_lines(c, s.p0_tokens)),
+        ("ready2", graph_texts, lambda c: truncate_graph(c, s.p2_tokens)),
+    ):
+        if texts is None:
+            heads = heads.withColumn(name, F.lit(None).cast("string"))
+        else:
+            given = texts.where(F.coalesce("content", F.lit("")) != "")
+            heads = heads.join(
+                given.select("query_id", cut("content").alias(name)), "query_id", "left"
+            )
+
+    question = Window.partitionBy("query_id")
+    limits = (s.p0_tokens, s.p1_tokens, s.p2_tokens, 0)
+    fits = F.col("used") <= _by_segment(limits)
+
+    def used_by(segment: int) -> Column:
+        mine = (F.col("segment") == segment) & fits
+        return F.coalesce(F.max(F.when(mine, F.col("used"))).over(question), zero)
+
+    given0, given2 = F.col("ready0").isNotNull(), F.col("ready2").isNotNull()
+    rows = (
+        heads.join(_priced_entries(results, s), "query_id", "left")
+        .withColumn("p0_tokens", F.when(given0, count_tokens("ready0")).otherwise(used_by(0)))
+        .withColumn("p1_tokens", used_by(1))
+        .withColumn("p2_rows", used_by(2))
         .withColumn("before_p2", F.lit(s.system_tokens) + F.col("p0_tokens") + F.col("p1_tokens"))
     )
+    ready2_tokens = count_tokens("ready2")
     room = F.greatest(F.lit(500), F.lit(s.max_context_tokens - 500) - F.col("before_p2"))
-    tight = F.col("before_p2") + count_tokens("p2_ready") > s.max_context_tokens - 500
-    p2_cut = F.when(
-        tight & (room < count_tokens("p2_ready")), truncate_graph("p2_ready", room)
-    ).otherwise(F.col("p2_ready"))
-    heads = (
-        heads.withColumn("p2_ready", p2_cut)
-        .withColumn("p2", F.when(given2, F.col("p2_ready")).otherwise(F.col("p2_text")))
-        .withColumn(
-            "p2_tokens",
-            F.coalesce(F.when(given2, count_tokens("p2_ready")).otherwise(F.col("p2_used")), zero),
+    tight = F.col("before_p2") + ready2_tokens > s.max_context_tokens - 500
+    rows = (
+        rows.withColumn(
+            "ready2",
+            F.when(tight & (room < ready2_tokens), truncate_graph("ready2", room)).otherwise(
+                F.col("ready2")
+            ),
         )
+        .withColumn("p2_tokens", F.when(given2, count_tokens("ready2")).otherwise(F.col("p2_rows")))
         .withColumn("before_p3", F.col("before_p2") + F.col("p2_tokens"))
-        .withColumn("p3_budget", F.lit(s.max_context_tokens) - F.col("before_p3"))
     )
-
-    entries = _literature(results, heads, s)
+    kept = fits | (
+        (F.col("segment") == 3)
+        & (F.col("used") <= F.lit(s.max_context_tokens) - F.col("before_p3"))
+    )
     reference = F.struct(
         F.col("n").alias("id"),
         F.coalesce("title", "paper_title", F.lit("Unknown")).alias("title"),
@@ -220,42 +212,60 @@ def pack_context(
         reference_content(s).alias("content"),
         F.coalesce("link", F.lit("")).alias("link"),
     )
-    p3 = entries.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("n", "entry", reference.alias("ref")))).alias("p3"),
-        F.max("used").alias("p3_tokens"),
+    entry = F.struct(
+        "segment", "n", "entry", F.when(F.col("segment") == 3, reference).alias("ref")
     )
-    has_p3 = (
-        results.where(F.col("source").isin(*LITERATURE) & ~synthetic)
-        .select("query_id")
-        .distinct()
-        .withColumn("has_p3", F.lit(True))
+    per_query = ["query_id", "ready0", "ready2", "p0_tokens", "p1_tokens", "p2_tokens", "before_p3"]
+    packed = rows.groupBy(*per_query).agg(
+        F.array_sort(F.collect_list(F.when(kept, entry))).alias("entries"),
+        *[
+            F.coalesce(F.max(F.when(F.col("segment") == i, F.col("total"))), zero).alias(f"total_{i}")
+            for i in range(4)
+        ],
+        F.coalesce(F.max(F.when(kept & (F.col("segment") == 3), F.col("used"))), zero).alias(
+            "p3_tokens"
+        ),
     )
 
-    def section(header: str, text: str, shown: Column) -> Column:
+    def written(i: int) -> Column:
+        return F.filter("entries", lambda e: e["segment"] == i)
+
+    def listed(i: int, lead: str, count_rest: bool = False) -> Column:
+        """Numbered lines of a section with its lead and a mark when it was cut."""
+        left = F.col(f"total_{i}") - F.size(written(i))
+        mark = F.lit("\n...(truncated)")
+        if count_rest:
+            mark = F.concat(
+                F.lit("\n...(truncated, "), left.cast("string"), F.lit(" more entries)")
+            )
+        body = F.array_join(F.transform(written(i), lambda e: e["entry"]), "")
         return F.when(
-            shown, F.concat(F.lit(header), F.coalesce(F.col(text), F.lit("")), F.lit("\n\n"))
-        ).otherwise("")
+            F.col(f"total_{i}") > 0,
+            F.concat(F.lit(lead), body, F.when(left > 0, mark).otherwise("")),
+        )
+
+    def section(header: str, ready: Column | None, lines: Column) -> Column:
+        text = lines
+        if ready is not None:
+            # a ready text that was cut to nothing leaves the section out
+            text = F.when(ready.isNotNull(), F.nullif(ready, F.lit(""))).otherwise(lines)
+        return F.coalesce(F.concat(F.lit(header), text, F.lit("\n\n")), F.lit(""))
 
     head = f"**Current Date:** {today} (Use this to judge 'recent' evidence)\n\n"
     context = F.concat(
         F.lit(head),
-        section(HEADER_P0, "p0", (~given0 & F.col("p0").isNotNull()) | (F.col("p0_tokens") > 0)),
-        section(HEADER_P1, "p1_text", F.col("p1_text").isNotNull()),
-        section(HEADER_P2, "p2", (~given2 & F.col("p2").isNotNull()) | (F.col("p2_tokens") > 0)),
-        F.when(F.col("has_p3"), HEADER_P3).otherwise(""),
-        F.coalesce(F.array_join(F.transform("p3", lambda r: r["entry"]), ""), F.lit("")),
+        section(HEADER_P0, F.col("ready0"), listed(0, LEAD_P0, True)),
+        section(HEADER_P1, None, listed(1, LEAD_P1)),
+        section(HEADER_P2, F.col("ready2"), listed(2, LEAD_P2)),
+        F.when(F.col("total_3") > 0, HEADER_P3).otherwise(""),
+        F.array_join(F.transform(written(3), lambda e: e["entry"]), ""),
     )
-    return (
-        heads.join(p3, "query_id", "left")
-        .join(has_p3, "query_id", "left")
-        .withColumn("p3_tokens", F.coalesce("p3_tokens", zero))
-        .select(
-            "query_id",
-            context.alias("context"),
-            "p0_tokens", "p1_tokens", "p2_tokens", "p3_tokens",
-            (F.col("before_p3") + F.col("p3_tokens")).alias("total_tokens"),
-            F.transform("p3", lambda r: r["ref"]).alias("references"),
-        )
+    return packed.select(
+        "query_id",
+        context.alias("context"),
+        "p0_tokens", "p1_tokens", "p2_tokens", "p3_tokens",
+        (F.col("before_p3") + F.col("p3_tokens")).alias("total_tokens"),
+        F.transform(written(3), lambda e: e["ref"]).alias("references"),
     )
 
 

@@ -381,8 +381,8 @@ def _packed(spark, sf_dir):
     asked = testbed.questions(spark, sf_dir)
     hits = bm25.search(asked, _index(spark, sf_dir), _PACK_K)
     rows = fusion.fetch(hits, testbed.corpus(spark, sf_dir), asked.count() * _PACK_K)
-    results = cut_lineage(rows.withColumn("source", F.lit("bm25")))
-    return budget.pack_context(results.select("query_id").distinct(), results, today="2025-01-01")
+    results = rows.withColumn("source", F.lit("bm25"))
+    return budget.pack_context(hits, results, today="2025-01-01")
 
 
 @query("pack_context", f"""{_ENTRY}
@@ -394,8 +394,7 @@ def _packed(spark, sf_dir):
 def pack_context(spark, sf_dir):
     return _packed(spark, sf_dir).select(
         "query_id", "p3_tokens", "total_tokens",
-        F.coalesce(F.size(F.when(F.col("references").isNotNull(), F.col("references"))), F.lit(0))
-        .cast("long").alias("n_references"),
+        F.size("references").cast("long").alias("n_references"),
         F.md5("context").alias("digest"),
     )
 

@@ -86,7 +86,7 @@ def graph_texts(selected: DataFrame, asked: DataFrame, inputs: Inputs, s: Settin
     raw = chunks.join(inputs.raw_triplets, "doc_id").select(
         "query_id", F.col("rank").cast("long").alias("doc_id"), "raw"
     )
-    normal = graph.normalize_triplets(graph.triplets_of(raw), inputs.alias_table)
+    normal = cut_lineage(graph.normalize_triplets(graph.triplets_of(raw), inputs.alias_table))
     edges = graph.last_edges(normal, "relation", ("query_id",), ["doc_id", "pos"])
     names = asked.select(
         "query_id", F.concat("genes", F.slice("keywords", 1, 3)).alias("names")
@@ -120,7 +120,7 @@ def collect_evidence(
 ) -> Evidence:
     """Run all steps for a table of questions."""
     s = settings
-    asked = entities.extract_entities(inputs.queries, inputs.spans)
+    asked = cut_lineage(entities.extract_entities(inputs.queries, inputs.spans))
     depth = s.hybrid_top_k
 
     def scored(rows: DataFrame) -> DataFrame:
@@ -161,17 +161,19 @@ def collect_evidence(
     gate = ranking.fallback_gate(inputs.queries, selected, s)
     usable = selected.join(gate.where(~F.col("no_evidence")).select("query_id"), "query_id")
     if compress_first:
-        usable = compress.compress_sentence_filter(
-            usable.join(inputs.queries, "query_id"), encoder, s
-        ).drop("query", "original_length", "compressed_length")
+        usable = cut_lineage(
+            compress.compress_sentence_filter(
+                usable.join(inputs.queries, "query_id"), encoder, s
+            ).drop("query", "original_length", "compressed_length")
+        )
     kg_texts = None
     if inputs.triples is not None:
         named = kg.query_entities(asked, s)
         facts = kg.kg_subgraph(named, inputs.triples, hops, priority, s)
-        kg_texts = kg.kg_context(named, facts)
-    graph_rows = (
-        graph_texts(usable, asked, inputs, s) if inputs.raw_triplets is not None else None
-    )
+        kg_texts = cut_lineage(kg.kg_context(named, facts))
+    graph_rows = None
+    if inputs.raw_triplets is not None:
+        graph_rows = cut_lineage(graph_texts(usable, asked, inputs, s))
     packed = budget.pack_context(
         usable.select("query_id").distinct(), usable, kg_texts, graph_rows, today, s
     )
