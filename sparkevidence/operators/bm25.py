@@ -27,7 +27,7 @@ from .topk import HIT_SCHEMA, RunningTopK, rank_hits
 # Question words that may be broadcast: about 40 MB of words and weights.
 BROADCAST_TERMS = 1_000_000
 QUERY_BLOCK = 256
-DOC_BLOCK = 1024
+DOC_BLOCK = 512
 SALTS = 32
 
 Tokens = Callable[[str], Column]
@@ -161,15 +161,18 @@ def _block_scores(asked: pd.DataFrame, index: Index, k: int, s: Settings) -> Dat
                 )
                 rows = np.repeat(np.arange(len(ids)), lengths)
                 hit = found >= 0
-                tf = np.bincount(
-                    rows[hit] * len(words) + found[hit], minlength=len(ids) * len(words)
-                ).reshape(len(ids), len(words))
+                cell, tf = np.unique(
+                    rows[hit] * len(words) + found[hit], return_counts=True
+                )
                 norm = k1 * (1 - b + b * lengths / avg_length)
-                gain = tf * (k1 + 1) / (tf + norm[:, None])
+                gain = np.zeros(len(ids) * len(words))
+                gain[cell] = tf * (k1 + 1) / (tf + norm[cell // len(words)])
+                gain = gain.reshape(len(ids), len(words))
                 for query_ids, cols, row, col, weight in blocks:
                     w = np.zeros((len(query_ids), len(cols)))
                     w[row, col] = weight
-                    best.add(query_ids, ids, w @ gain[:, cols].T)
+                    part_gain = gain if len(cols) == len(words) else gain[:, cols]
+                    best.add(query_ids, ids, w @ part_gain.T)
         yield pa.RecordBatch.from_arrays(
             [pa.array(best.query), pa.array(best.doc), pa.array(best.score)],
             names=["query_id", "doc_id", "score"],

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from .scale import cut_lineage
 from .topk import top_k
 
 PAIR_SCHEMA = "gene string, partner string, n_common long, correlation double"
@@ -86,39 +87,98 @@ def top_essential(summary: DataFrame, threshold: float | None = None, k: int = 5
     )
 
 
+def _blocks_for(matrix: DataFrame) -> int:
+    """Number of gene blocks such that two of them over all cell lines fit one task."""
+    genes, lines = matrix.agg(
+        F.approx_count_distinct("gene"), F.approx_count_distinct("cell_line")
+    ).first()
+    per_block = max(1, min(512, CELLS_PER_TASK // (2 * max(1, lines))))
+    return max(1, -(-int(genes * 1.1) // per_block))
+
+
+def _block(gene: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(gene), F.lit(blocks)).cast("int")
+
+
+def _dealt_scores(matrix: DataFrame, blocks: int) -> DataFrame:
+    """A copy of each score for every pair of blocks that its gene's block takes part in."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    return matrix.select(
+        "gene", "cell_line", "score", _block("gene", blocks).alias("home"), every
+    ).select(
+        "gene", "cell_line", "score", "home",
+        F.least("home", "other").alias("bi"), F.greatest("home", "other").alias("bj"),
+    )
+
+
+def _dealt_pairs(pairs: DataFrame, blocks: int) -> DataFrame:
+    a, b = _block("gene", blocks), _block("partner", blocks)
+    return pairs.select(
+        F.col("gene_a").alias("gene"), F.col("gene_b").alias("partner")
+    ).distinct().select("gene", "partner", F.least(a, b).alias("bi"), F.greatest(a, b).alias("bj"))
+
+
+def _rows_of(cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gene names, their blocks, and the score and presence rows over the cell lines."""
+    gene_of, names = pd.factorize(cells["gene"], sort=True)
+    line_of, lines = pd.factorize(cells["cell_line"])
+    home = np.full(len(names), -1)
+    home[gene_of] = cells["home"].to_numpy()
+    x = np.zeros((len(names), len(lines)))
+    seen = np.zeros_like(x)
+    x[gene_of, line_of] = cells["score"].to_numpy()
+    seen[gene_of, line_of] = 1.0
+    return np.asarray(names, dtype=object), home, x, seen
+
+
 def pair_correlation(
     pairs: DataFrame, matrix: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """Pearson correlation of given gene pairs over their common cell lines.
 
-    NULL for fewer than ten common lines or when one side does not vary.
+    NULL for fewer than ten common lines or when one side does not vary. Pairs go to the task that
+    holds the blocks of both genes, so no pair is spelled out over its cell lines.
     """
-    a = matrix.select(F.col("gene").alias("gene_a"), "cell_line", F.col("score").alias("x"))
-    b = matrix.select(F.col("gene").alias("gene_b"), "cell_line", F.col("score").alias("y"))
+    blocks = _blocks_for(matrix)
+    least = settings.min_common_lines
+
+    def correlate(key, cells: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        names, _, x, seen = _rows_of(cells)
+        at = {g: i for i, g in enumerate(names)}
+        both = asked[asked["gene"].isin(at) & asked["partner"].isin(at)]
+        parts = []
+        for start in range(0, len(both), 1024):
+            part = both.iloc[start : start + 1024]
+            i, j = part["gene"].map(at).to_numpy(), part["partner"].map(at).to_numpy()
+            common = seen[i] * seen[j]
+            a, b = x[i] * common, x[j] * common
+            n = common.sum(axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sa, sb = a.sum(axis=1), b.sum(axis=1)
+                va, vb = (a * a).sum(axis=1) - sa * sa / n, (b * b).sum(axis=1) - sb * sb / n
+                r = ((a * b).sum(axis=1) - sa * sb / n) / np.sqrt(va * vb)
+            r[~((n >= least) & (va > 1e-12) & (vb > 1e-12))] = np.nan
+            parts.append(pd.DataFrame({
+                "gene": part["gene"].to_numpy(), "partner": part["partner"].to_numpy(),
+                "n_common": n.astype(np.int64), "correlation": r,
+            }))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["gene", "partner", "n_common", "correlation"])
+
     asked = pairs.select("gene_a", "gene_b").distinct()
-    sums = (
-        asked.join(a, "gene_a")
-        .join(b, ["gene_b", "cell_line"])
-        .groupBy("gene_a", "gene_b")
-        .agg(
-            F.count("*").alias("n_common"),
-            F.sum("x").alias("sx"), F.sum("y").alias("sy"),
-            F.sum(F.col("x") * F.col("x")).alias("sxx"),
-            F.sum(F.col("y") * F.col("y")).alias("syy"),
-            F.sum(F.col("x") * F.col("y")).alias("sxy"),
-        )
+    needed = cut_lineage(_dealt_pairs(asked, blocks))
+    used = needed.select("bi", "bj").distinct()
+    scores = _dealt_scores(matrix, blocks).join(used, ["bi", "bj"], "left_semi")
+    found = (
+        scores.groupBy("bi", "bj")
+        .cogroup(needed.groupBy("bi", "bj"))
+        .applyInPandas(correlate, PAIR_SCHEMA)
+        .withColumnsRenamed({"gene": "gene_a", "partner": "gene_b"})
+    )
+    value = F.when(~F.isnan("correlation"), F.col("correlation"))
+    return asked.join(found, ["gene_a", "gene_b"], "left").select(
+        "gene_a", "gene_b", F.coalesce("n_common", F.lit(0).cast("long")).alias("n_common"),
+        value.alias("correlation"),
     )
-    n = F.col("n_common")
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    varies = (vx > 1e-12) & (vy > 1e-12)
-    value = F.when((n >= settings.min_common_lines) & varies, cov / F.sqrt(vx * vy))
-    return asked.join(
-        sums.select("gene_a", "gene_b", "n_common", value.alias("correlation")),
-        ["gene_a", "gene_b"],
-        "left",
-    ).withColumn("n_common", F.coalesce("n_common", F.lit(0).cast("long")))
 
 
 def compare_genes(pairs: DataFrame, matrix: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -143,34 +203,14 @@ def codependency_topk(
     two blocks of genes over all cell lines and returns k partners for each gene. ``exclude`` is a
     table of unordered pairs (gene_a, gene_b) that may not be returned.
     """
-    genes, lines = matrix.agg(
-        F.approx_count_distinct("gene"), F.approx_count_distinct("cell_line")
-    ).first()
-    per_block = max(1, min(512, CELLS_PER_TASK // (2 * max(1, lines))))
-    blocks = max(1, -(-int(genes * 1.1) // per_block))
-
-    def block(gene: str):
-        return F.pmod(F.xxhash64(gene), F.lit(blocks)).cast("int")
-
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    scores = matrix.select(
-        "gene", "cell_line", "score", block("gene").alias("home"), every
-    ).select(
-        "gene", "cell_line", "score", "home",
-        F.least("home", "other").alias("bi"), F.greatest("home", "other").alias("bj"),
-    )
+    blocks = _blocks_for(matrix)
+    scores = _dealt_scores(matrix, blocks)
     if exclude is None:
         banned = matrix.sparkSession.createDataFrame(
             [], "gene string, partner string, bi int, bj int"
         )
     else:
-        banned = exclude.select(
-            F.col("gene_a").alias("gene"), F.col("gene_b").alias("partner")
-        ).distinct().select(
-            "gene", "partner",
-            F.least(block("gene"), block("partner")).alias("bi"),
-            F.greatest(block("gene"), block("partner")).alias("bj"),
-        )
+        banned = _dealt_pairs(exclude, blocks)
     least = settings.min_common_lines
 
     def correlate(key, cells: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -188,16 +228,7 @@ def _block_partners(
     bi: int, bj: int, cells: pd.DataFrame, known: pd.DataFrame, k: int, least: int
 ) -> pd.DataFrame:
     """Best k partners in one block for every gene of the other block, both ways."""
-    gene_of, names = pd.factorize(cells["gene"], sort=True)
-    line_of, lines = pd.factorize(cells["cell_line"])
-    names = np.asarray(names, dtype=object)
-    home = np.full(len(names), -1)
-    home[gene_of] = cells["home"].to_numpy()
-    x = np.zeros((len(names), len(lines)))
-    seen = np.zeros_like(x)
-    x[gene_of, line_of] = cells["score"].to_numpy()
-    seen[gene_of, line_of] = 1.0
-
+    names, home, x, seen = _rows_of(cells)
     a, b = np.flatnonzero(home == bi), np.flatnonzero(home == bj)
     n = seen[a] @ seen[b].T
     with np.errstate(invalid="ignore", divide="ignore"):

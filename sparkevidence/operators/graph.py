@@ -14,7 +14,7 @@ from ..config import DEFAULTS, DISEASE_KEYWORDS, Settings
 from ..functions.common import contains_any
 from ..functions.outputs import parse_triplets
 from ..functions.text import is_gene_like
-from .entities import normalize_names
+from .entities import common_alias, normalize_names
 from .grams import substring_join
 from .scale import cut_lineage
 from .topk import top_k
@@ -32,6 +32,11 @@ def triplets_of(raw: DataFrame) -> DataFrame:
 
 def normalize_triplets(triplets: DataFrame, alias_table: DataFrame | None = None) -> DataFrame:
     """Subjects and objects under their official names, each distinct name looked up once."""
+    if alias_table is None:
+        return triplets.withColumns({
+            "src": F.coalesce(common_alias("subject"), F.upper("subject")),
+            "dst": F.coalesce(common_alias("object"), F.upper("object")),
+        })
     names = (
         triplets.select(F.col("subject").alias("name"))
         .unionByName(triplets.select(F.col("object").alias("name")))

@@ -103,7 +103,9 @@ _CORRELATION = """
     select gene_a, gene_b, coalesce(n_common, 0) as n_common, correlation
     from asked left join corr using (gene_a, gene_b)""")
 def gene_correlation(spark, sf_dir):
-    out = dependency.pair_correlation(testbed.pairs(spark, sf_dir), testbed.matrix(spark, sf_dir))
+    out = dependency.pair_correlation(
+        testbed.pairs(spark, sf_dir), cut_lineage(testbed.matrix(spark, sf_dir))
+    )
     return out.withColumn("correlation", F.round("correlation", 6))
 
 
