@@ -188,7 +188,7 @@ def graph_upsert(spark, sf_dir):
 @query("find_seeds", f"""
     with {sql.PLACES}, {EDGES}, nodes as (select src as node from edges union select dst from edges),
     q as (select s_suppkey as query_id, s_name as gene, 'about nation_1 or asia' as query from supplier
-      union all select -1 - n_nationkey, 'none', 'about ' || n_name || ' or asia' from nation),
+      union all select -1 - n_nationkey, n_name || ' gene', 'about ' || n_name || ' or asia' from nation),
     named as (select distinct query_id, node from q join nodes on node = upper(gene)),
     w as (select distinct query_id, unnest(string_split(upper(query), ' ')) as w from q
       where query_id not in (select query_id from named)),
@@ -202,7 +202,8 @@ def find_seeds(spark, sf_dir):
         F.lit("about nation_1 or asia").alias("query"),
     )
     nation = testbed.table(spark, sf_dir, "nation").select(
-        (-1 - F.col("n_nationkey")).cast("long").alias("query_id"), F.lit("none").alias("gene"),
+        (-1 - F.col("n_nationkey")).cast("long").alias("query_id"),
+        F.concat("n_name", F.lit(" gene")).alias("gene"),
         F.concat(F.lit("about "), "n_name", F.lit(" or asia")).alias("query"),
     )
     asked = supplier.unionByName(nation)

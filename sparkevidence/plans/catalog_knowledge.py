@@ -29,11 +29,11 @@ def _all_genes(spark, sf_dir):
 
 @query("gene_summary", f"""
     with {sql.MATRIX}, {sql.SUMMARY}
-    select gene, round(mean_score, 6) as mean_score, min_score, max_score, essential_count,
+    select gene, round(mean_score, 9) as mean_score, min_score, max_score, essential_count,
       round(essential_pct, 6) as essential_pct, total_cell_lines from summary""")
 def gene_summary(spark, sf_dir):
     return _summary(spark, sf_dir).select(
-        "gene", F.round("mean_score", 6).alias("mean_score"), "min_score", "max_score",
+        "gene", F.round("mean_score", 9).alias("mean_score"), "min_score", "max_score",
         "essential_count", F.round("essential_pct", 6).alias("essential_pct"), "total_cell_lines",
     )
 
@@ -61,7 +61,7 @@ def top_cancers(spark, sf_dir):
 
 @query("cancer_specific", f"""
     with {sql.MATRIX}, {sql.CELL_LINES}
-    select gene, 'asia' as cancer_type, round(avg(score), 6) as mean_score,
+    select gene, 'asia' as cancer_type, round(avg(score), 9) as mean_score,
       count(*) filter (score < -0.5) as essential_count, count(*) as total
     from matrix join cell_lines using (cell_line) where contains(lower(cancer_type), 'asia')
     group by gene""")
@@ -69,19 +69,19 @@ def cancer_specific(spark, sf_dir):
     out = dependency.cancer_specific(
         testbed.matrix(spark, sf_dir), testbed.cell_lines(spark, sf_dir), "asia"
     )
-    return out.withColumn("mean_score", F.round("mean_score", 6))
+    return out.withColumn("mean_score", F.round("mean_score", 9))
 
 
 @query("top_essential", f"""
     with {sql.MATRIX}, {sql.SUMMARY},
     r as (select gene, round(mean_score, 9) as m, essential_pct from summary)
-    select gene, round(m, 6) as mean_score, round(essential_pct, 6) as essential_pct
+    select gene, m as mean_score, round(essential_pct, 6) as essential_pct
     from r where m < 0.01 order by m, gene limit 50""")
 def top_essential(spark, sf_dir):
     summary = _summary(spark, sf_dir).withColumn("mean_score", F.round("mean_score", 9))
     out = dependency.top_essential(summary, threshold=0.01)
     return out.select(
-        "gene", F.round("mean_score", 6).alias("mean_score"),
+        "gene", "mean_score",
         F.round("essential_pct", 6).alias("essential_pct"),
     )
 
@@ -112,7 +112,7 @@ def gene_correlation(spark, sf_dir):
 @query("compare_genes", f"""
     with {sql.MATRIX}, {sql.SUMMARY}, {sql.pairs(3)}, asked as (select distinct gene_a, gene_b from pairs),
     {_CORRELATION}
-    select gene_a, gene_b, correlation, round(a.mean_score, 6) as mean_a, round(b.mean_score, 6) as mean_b,
+    select gene_a, gene_b, correlation, round(a.mean_score, 9) as mean_a, round(b.mean_score, 9) as mean_b,
       a.essential_count as essential_a, b.essential_count as essential_b
     from asked left join corr using (gene_a, gene_b) left join summary a on a.gene = gene_a
       left join summary b on b.gene = gene_b""")
@@ -122,8 +122,8 @@ def compare_genes(spark, sf_dir):
     )
     return out.select(
         "gene_a", "gene_b", F.round("correlation", 6).alias("correlation"),
-        F.round("gene_a_mean_score", 6).alias("mean_a"),
-        F.round("gene_b_mean_score", 6).alias("mean_b"),
+        F.round("gene_a_mean_score", 9).alias("mean_a"),
+        F.round("gene_b_mean_score", 9).alias("mean_b"),
         F.col("gene_a_essential_count").alias("essential_a"),
         F.col("gene_b_essential_count").alias("essential_b"),
     )
@@ -217,7 +217,7 @@ def kb_documents(spark, sf_dir):
 
 def _rounded(summary):
     return summary.withColumns({
-        c: F.round(c, 6) for c in ("mean_score", "min_score", "max_score", "essential_pct")
+        c: F.round(c, 9) for c in ("mean_score", "min_score", "max_score", "essential_pct")
     })
 
 
@@ -275,7 +275,7 @@ def _gene_questions(spark, sf_dir):
 @query("gene_lookup", f"""{_KB}, {_ASK},
     s as (select query_id, query, string_split(query, ' ') as w from asks),
     q as (select query_id, query, unnest([w[1], w[3]]) as gene, unnest([0, 1]) as pos from s)
-    select query_id, pos, gene, round(abs(mean_score), 6) as score, md5(concat_ws(chr(10),
+    select query_id, pos, gene, round(abs(mean_score), 9) as score, md5(concat_ws(chr(10),
       'DepMap Gene Essentiality: ' || gene, 'Mean CRISPR Effect: ' || {sql.decimals('mean_score', 3)},
       'Range: ' || {sql.decimals('min_score', 3)} || ' to ' || {sql.decimals('max_score', 3)},
       'Essential in: ' || essential_count || '/' || total_cell_lines || ' cell lines ('

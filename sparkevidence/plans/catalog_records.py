@@ -649,7 +649,7 @@ def intents(spark, sf_dir):
 
 
 @query("fenced_json", """
-    select event_id, case when event_id % 3 = 2 then null else json_extract(props, '$.k')::bigint end as k from events""")
+    select event_id, case when event_id % 3 = 2 then -1 else json_extract(props, '$.k')::bigint end as k from events""")
 def fenced_json(spark, sf_dir):
     e = testbed.table(spark, sf_dir, "events")
     kind = F.col("event_id") % 3
@@ -658,7 +658,7 @@ def fenced_json(spark, sf_dir):
         .when(kind == 1, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\nDone.")))
         .otherwise(F.concat(F.lit("no json "), "props"))
     )
-    return e.select("event_id", outputs.parse_fenced_json(raw, "k bigint")["k"].alias("k"))
+    return e.select("event_id", F.coalesce(outputs.parse_fenced_json(raw, "k bigint")["k"], F.lit(-1)).alias("k"))
 
 
 @query("accuracy_by_task", """

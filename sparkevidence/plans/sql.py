@@ -190,5 +190,5 @@ TRIPLES = PLACES + """,
 
 
 def decimals(x: str, digits: int) -> str:
-    """Text with fixed decimals, from a number known to six places."""
-    return f"(round({x}::decimal(20,6), {digits})::decimal(20,{digits}))::varchar"
+    """Text with fixed decimals, from a number known to nine places."""
+    return f"(round({x}::decimal(20,9), {digits})::decimal(20,{digits}))::varchar"

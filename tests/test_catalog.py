@@ -30,7 +30,7 @@ def plain(value):
         return value
     if isinstance(value, (int, float)) or hasattr(value, "as_tuple"):
         number = float(value)
-        return None if math.isnan(number) else round(number, 6) + 0.0
+        return None if math.isnan(number) else round(number, 9) + 0.0
     return str(value)
 
 
