@@ -17,7 +17,7 @@ from ..functions.text import is_gene_like
 from .entities import common_alias, normalize_names
 from .grams import substring_join
 from .scale import cut_lineage
-from .topk import top_k
+from .topk import limited_rows, top_k
 
 
 # ---------------------------------------------------------------- building
@@ -387,19 +387,23 @@ def find_paths(
     ).withColumn("text", text)
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame, relationship: str | None = None) -> DataFrame:
-    """(node, direction, relationship, neighbour) for each wanted node."""
-    kept = edges if relationship is None else edges.where(F.col("relationship") == relationship)
-    asked = nodes.select("node").distinct()
-    out = kept.select(
+def _sides(edges: DataFrame) -> DataFrame:
+    """Every edge seen from both of its ends."""
+    out = edges.select(
         F.col("src").alias("node"), F.lit("outgoing").alias("direction"), "relationship",
         F.col("dst").alias("neighbour"),
     )
-    into = kept.select(
+    into = edges.select(
         F.col("dst").alias("node"), F.lit("incoming").alias("direction"), "relationship",
         F.col("src").alias("neighbour"),
     )
-    return out.unionByName(into).join(asked, "node")
+    return out.unionByName(into)
+
+
+def neighbours(nodes: DataFrame, edges: DataFrame, relationship: str | None = None) -> DataFrame:
+    """(node, direction, relationship, neighbour) for each wanted node."""
+    kept = edges if relationship is None else edges.where(F.col("relationship") == relationship)
+    return _sides(kept).join(nodes.select("node").distinct(), "node")
 
 
 # ---------------------------------------------------------------- texts
@@ -408,9 +412,9 @@ def neighbours(nodes: DataFrame, edges: DataFrame, relationship: str | None = No
 def node_context(targets: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
     """(node, content): type, name and the first ten relations each way."""
     asked = targets.select("node").distinct()
-    kept = top_k(
-        neighbours(asked, edges), limit, ["node", "direction"],
-        [F.asc("neighbour"), F.asc("relationship")], "n",
+    kept = limited_rows(
+        _sides(edges), asked, "node", ["node", "direction"],
+        [F.asc("neighbour"), F.asc("relationship")], limit, "n",
     )
     names = nodes.select(F.col("id").alias("neighbour"), F.col("name").alias("neighbour_name"))
     shown = F.coalesce("neighbour_name", "neighbour")
@@ -451,11 +455,11 @@ def graph_search(
 ) -> DataFrame:
     """Nodes around the seeds of each question, scored, with their texts."""
     seeds = cut_lineage(find_seeds(genes, queries, nodes))
-    reached = expand(seeds, edges, hops)
+    reached = cut_lineage(expand(seeds, edges, hops))
     scored = relevance(reached, seeds, edges).join(
         reached.select("query_id", "node", "hop"), ["query_id", "node"]
     )
-    best = top_k(scored, k, ["query_id"], [F.desc("score"), F.asc("node")])
+    best = cut_lineage(top_k(scored, k, ["query_id"], [F.desc("score"), F.asc("node")]))
     return best.join(node_context(best, edges, nodes), "node")
 
 
@@ -477,9 +481,8 @@ def graph_lines(seeds: DataFrame, edges: DataFrame, limit: int = 20) -> DataFram
     sides = out.unionByName(into)
     if not own:
         # a node adds at most ``limit`` lines to any question
-        sides = top_k(
-            sides.join(seeds.select("node").distinct(), "node", "left_semi"),
-            2 * limit, ["node"], [F.asc("way"), F.asc("other"), F.asc("line")], "_n",
+        sides = limited_rows(
+            sides, seeds, "node", ["node"], [F.asc("way"), F.asc("other"), F.asc("line")], 2 * limit
         ).drop("_n")
     found = seeds.select("query_id", "node").distinct().join(sides, keys)
     first = found.groupBy("query_id", "line").agg(

@@ -11,8 +11,8 @@ from ..functions.text import raw_symbols
 from . import bm25
 from .grams import substring_join
 from .pairs import oriented
-from .scale import BROADCAST_ROWS, at_most, cut_lineage
-from .topk import top_k
+from .scale import BROADCAST_ROWS, cut_lineage
+from .topk import limited_rows, top_k
 
 
 def kg_stats(triples: DataFrame) -> DataFrame:
@@ -24,17 +24,8 @@ def kg_stats(triples: DataFrame) -> DataFrame:
 def limited_neighbours(
     triples: DataFrame, keys: DataFrame, key: str, order: list[Column], cap: int
 ) -> DataFrame:
-    """The first ``cap`` triples of each wanted key.
-
-    A wanted set of checked size is broadcast and filters the triples where they are read. A
-    larger set is joined after every key was cut to ``cap`` rows, so that neither a hub node nor a
-    frequent key can fill one task.
-    """
-    wanted = keys.select(key).distinct()
-    if at_most(wanted, BROADCAST_ROWS):
-        kept = triples.join(F.broadcast(wanted), key, "left_semi")
-        return top_k(kept, cap, [key], order, "_n").drop("_n")
-    return top_k(triples, cap, [key], order, "_n").drop("_n").join(wanted, key, "left_semi")
+    """The first ``cap`` triples of each wanted node."""
+    return limited_rows(triples, keys, key, [key], order, cap, "_n", BROADCAST_ROWS).drop("_n")
 
 
 def _priority(relation: str, relations: tuple[str, ...]) -> Column:
@@ -218,10 +209,9 @@ def gene_evidence(
         "query_id", "pos", F.upper("gene").alias("gene")
     )
     rows = oriented(lethality.withColumns({"a": F.col("gene_a"), "b": F.col("gene_b")}))
-    wanted = asked.select("gene").distinct()
-    best = top_k(
-        rows.join(wanted, "gene", "left_semi"), k, ["gene"],
-        [F.desc_nulls_last("sl_score"), F.asc("partner"), F.asc("source")], "n",
+    best = limited_rows(
+        rows, asked, "gene", ["gene"],
+        [F.desc_nulls_last("sl_score"), F.asc("partner"), F.asc("source")], k, "n",
     )
     score = F.coalesce(F.nullif("sl_score", F.lit(0.0)), F.lit(0.8))
     pair_rows = asked.join(best, "gene").select(

@@ -9,7 +9,7 @@ from ..config import DEFAULTS, DEPMAP_KB, Settings
 from ..functions.common import line
 from ..functions.text import raw_symbols
 from .dependency import top_cancers
-from .topk import top_k
+from .topk import limited_rows, top_k
 
 DETAIL = ("evidence_source", "cell_line", "pubmed_id", "cancer_type", "benchmark_level")
 
@@ -55,9 +55,9 @@ def validate_pairs(asked: DataFrame, pairs: DataFrame) -> DataFrame:
     """Whether each (gene_a, gene_b) is stored in either orientation, with evidence and confidence."""
     want = asked.select(F.upper("gene_a").alias("gene"), F.upper("gene_b").alias("other")).distinct()
     stored = oriented(pairs).withColumn("other", F.upper("partner"))
-    first = top_k(
-        stored.join(want, ["gene", "other"], "left_semi"),
-        1, ["gene", "other"], _order(pairs), "_first",
+    # one row for each stored pair, however often it was reported
+    first = top_k(stored, 1, ["gene", "other"], _order(pairs), "_first").join(
+        want, ["gene", "other"], "left_semi"
     )
     level = F.coalesce("benchmark_level", F.lit(""))
     known = first.select(
@@ -89,10 +89,12 @@ def partner_documents(genes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(gene, content, metadata): a document on the known partners of each gene.
 
     Only the first five partners of a gene are brought together; totals and the set of sources
-    are counted in the tasks, so a gene with very many partners costs no more than others.
+    are counted in the tasks before they meet the genes, so a gene with very many partners costs
+    no more than others.
     """
-    found = sl_partners(genes, pairs)
-    first = top_k(found, 5, ["gene"], _order(pairs), "pos")
+    asked = genes.select(F.upper("gene").alias("gene")).distinct()
+    rows = oriented(pairs)
+    first = limited_rows(rows, asked, "gene", ["gene"], _order(pairs), 5, "pos")
     detail = F.concat(
         F.lit("- "), F.col("gene"), F.lit(" is synthetic lethal with "), F.col("partner"),
         F.lit("\n  Evidence Source: "), F.coalesce("evidence_source", F.lit("Unknown")), F.lit("\n"),
@@ -105,14 +107,12 @@ def partner_documents(genes: DataFrame, pairs: DataFrame) -> DataFrame:
     listed = first.groupBy("gene").agg(
         F.array_sort(F.collect_list(F.struct("pos", "partner", detail.alias("detail")))).alias("rows")
     )
-    sources = (
-        found.where(F.coalesce("evidence_source", F.lit("")) != "")
-        .groupBy("gene", "evidence_source")
-        .agg(F.count("*").alias("n"))
-        .groupBy("gene")
-        .agg(F.array_join(F.array_sort(F.collect_list("evidence_source")), ", ").alias("sources"))
+    label = F.nullif("evidence_source", F.lit(""))
+    counts = rows.groupBy("gene", label.alias("label")).agg(F.count("*").alias("n"))
+    totals = counts.groupBy("gene").agg(
+        F.sum("n").alias("total"),
+        F.nullif(F.array_join(F.array_sort(F.collect_set("label")), ", "), F.lit("")).alias("sources"),
     )
-    totals = found.groupBy("gene").agg(F.count("*").alias("total"))
     partners = F.transform("rows", lambda r: r["partner"])
     content = F.concat(
         F.lit("[DepMap Knowledge Base - Synthetic Lethality]\n\nGene: "), "gene",
@@ -122,9 +122,7 @@ def partner_documents(genes: DataFrame, pairs: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.lit("Data sources: "), F.col("sources")), F.lit("")),
     )
     return (
-        listed.join(totals, "gene")
-        .join(sources, "gene", "left")
-        .select(
+        listed.join(totals, "gene").select(
             "gene",
             F.lit("partners").alias("kind"),
             content.alias("content"),
@@ -262,16 +260,16 @@ def kb_context(
     """
     limit = 4 * (settings.p1_tokens if max_tokens is None else max_tokens)
     wanted = query_genes.withColumn("gene", F.upper("gene"))
-    found = sl_partners(wanted, pairs)
+    rows = oriented(pairs)
     first = (
-        top_k(found, 5, ["gene"], _order(pairs), "n")
+        limited_rows(rows, wanted, "gene", ["gene"], _order(pairs), 5, "n")
         .groupBy("gene")
         .agg(F.array_sort(F.collect_list(F.struct("n", "partner"))).alias("rows"))
         .select(
             "gene", F.array_join(F.transform("rows", lambda r: r["partner"]), ", ").alias("partners")
         )
     )
-    totals = found.groupBy("gene").agg(F.count("*").alias("total"))
+    totals = rows.groupBy("gene").agg(F.count("*").alias("total"))
     partner_line = F.concat(
         F.lit("SL Partners for "), F.col("gene"), F.lit(": "), F.col("partners"),
         F.when(
@@ -288,6 +286,7 @@ def kb_context(
         .join(totals, "gene", "left")
         .join(summary.select("gene", "mean_score", "essential_pct"), "gene", "left")
         .withColumn("lines", F.array_compact(F.array(partner_line, essential_line)))
+        .where(F.size("lines") > 0)
         .withColumn(
             "chars", F.aggregate("lines", F.lit(0), lambda acc, s: acc + F.length(s)).cast("long")
         )

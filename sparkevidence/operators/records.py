@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions.render import format_web_chunk, web_chunk_source
 from ..functions.urls import archive_id, article_id, clean_title, doi_of, loose_title
+from .scale import broadcast_if_small
 from .topk import top_k
 
 # Ways of finding an article, most trusted first.
@@ -160,7 +161,9 @@ def web_candidates(hits: DataFrame, pages: DataFrame, settings: Settings = DEFAU
     )
     first = top_k(usable, 1, ["query_id", "link"], [F.asc("pos")], "_n").drop("_n")
     kept = top_k(first, settings.max_web_hits, ["query_id"], [F.asc("pos")], "_n").drop("_n")
-    texts = pages.groupBy("link").agg(F.max("text").alias("text"))
+    # only pages that were hit are read on; there are at most twenty for each question
+    links = broadcast_if_small(kept.select("link").distinct())
+    texts = pages.join(links, "link", "left_semi").groupBy("link").agg(F.max("text").alias("text"))
     content = format_web_chunk("title", "date", "link", "text", "snippet")
     return (
         kept.join(texts, "link", "left")

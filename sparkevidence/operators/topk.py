@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scale import BROADCAST_ROWS, at_most
+
 HIT_SCHEMA = "query_id long, doc_id long, score double"
 
 
@@ -21,6 +23,22 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def limited_rows(
+    rows: DataFrame, keys: DataFrame, key: str, by: list[str], order: list[Column], cap: int,
+    rank: str = "_n", broadcast_rows: int | None = None,
+) -> DataFrame:
+    """The first ``cap`` rows of each group whose ``key`` is wanted.
+
+    A wanted set of checked size is broadcast and filters the rows where they are read. A larger
+    set is joined after every group was cut to ``cap`` rows, so that neither a key with very many
+    rows nor a frequent key can fill one task.
+    """
+    wanted = keys.select(key).distinct()
+    if at_most(wanted, BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
+        return top_k(rows.join(F.broadcast(wanted), key, "left_semi"), cap, by, order, rank)
+    return top_k(rows, cap, by, order, rank).join(wanted, key, "left_semi")
+
+
 def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     """Best k documents of each question; equal scores are ordered by id."""
     return top_k(hits, k, ["query_id"], [F.desc("score"), F.asc("doc_id")])

@@ -34,51 +34,35 @@ def _edges(spark, sf_dir):
 
 
 def _raw_triplets(spark, sf_dir):
-    """Stored outputs: a line for each order line, one text for each order."""
+    """Stored outputs: one text for each order line, with one triplet and one broken line."""
     lines = testbed.table(spark, sf_dir, "lineitem").join(
         testbed.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     )
-    line = F.concat(
+    raw = F.concat(
         F.lit("Customer "), F.col("o_custkey").cast("string"), F.lit(" | bought in "),
         F.col("l_returnflag"), F.lit("| "), testbed.gene_of("l_partkey"),
+        F.lit("\nnote on "), F.col("l_linestatus"), F.lit("|only"),
     )
-    noise = F.concat(F.lit("note on "), F.col("l_linestatus"), F.lit("|only"))
-    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", line.alias("a"), noise.alias("b"))
-    return lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows")).select(
-        F.col("o_orderkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"),
-        F.array_join(
-            F.transform("rows", lambda r: F.concat(r["a"], F.lit("\n"), r["b"])), "\n"
-        ).alias("raw"),
+    return lines.select(
+        F.col("o_orderkey").alias("query_id"),
+        (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), raw.alias("raw"),
     )
 
 
 _TRIPLETS = """
-    t as (select o_orderkey as doc_id, 2 * (row_number() over (partition by o_orderkey
-            order by l_linenumber, l_partkey, l_suppkey, l_returnflag)) as pos,
-            'Customer ' || o_custkey as subject, 'bought in ' || l_returnflag as relation, 'G' || (l_partkey % 100) as object
+    t as (select o_orderkey * 10 + l_linenumber as doc_id, 0 as pos, 'Customer ' || o_custkey as subject,
+            'bought in ' || l_returnflag as relation, 'G' || (l_partkey % 100) as object
           from lineitem join orders on l_orderkey = o_orderkey)"""
 
 
-@query("parse_triplets", f"""
-    with {_TRIPLETS} select doc_id, count(*) as n, string_agg(relation || '>' || object, ' ' order by pos) as triplets
-    from t group by doc_id""")
+@query("parse_triplets", f"with {_TRIPLETS} select doc_id, pos, subject, relation, object from t")
 def parse_triplets(spark, sf_dir):
-    rows = graph.triplets_of(_raw_triplets(spark, sf_dir))
-    return rows.groupBy("doc_id").agg(
-        F.count("*").alias("n"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("pos", "relation", "object"))),
-                lambda r: F.concat(r["relation"], F.lit(">"), r["object"]),
-            ),
-            " ",
-        ).alias("triplets"),
-    )
+    return graph.triplets_of(_raw_triplets(spark, sf_dir)).drop("query_id")
 
 
 @query("build_graph", f"""
     with {_TRIPLETS}
-    select upper(subject) as src, object as dst, arg_max(relation, (doc_id, pos)) as relationship
+    select upper(subject) as src, object as dst, arg_max(relation, (doc_id, pos, relation)) as relationship
     from t group by all""")
 def build_graph(spark, sf_dir):
     return graph.build_graph(graph.triplets_of(_raw_triplets(spark, sf_dir)))

@@ -361,37 +361,36 @@ def filter_trials(spark, sf_dir):
 
 
 def _article_payloads(spark, sf_dir):
-    """Each order as the stored JSON document of an article with its lines as authors."""
-    lines = testbed.table(spark, sf_dir, "lineitem")
-    author = F.struct(
-        F.concat(F.lit("Part"), F.lpad(F.col("l_partkey").cast("string"), 6, "0")).alias("last"),
-        F.col("l_returnflag").alias("initials"),
-    )
-    people = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(author)).alias("authors"))
-    o = testbed.table(spark, sf_dir, "orders").join(people, F.col("o_orderkey") == F.col("l_orderkey"))
-    return o.select(
+    """Each part as the stored JSON document of an article, with more authors for larger parts."""
+    part = testbed.table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    authors = F.transform(
+        F.sequence(F.lit(1), F.col("p_size") % 8 + 1),
+        lambda i: F.struct(
+            F.concat(F.lit("Author"), i.cast("string")).alias("last"), F.lit("A").alias("initials")
+        ),
+    )
+    return part.select(
         F.to_json(
             F.struct(
-                F.col("o_orderkey").cast("string").alias("pmid"),
-                F.concat(F.lit("On order "), F.col("o_orderkey").cast("string")).alias("title"),
+                key.alias("pmid"), F.concat(F.lit("On part "), key).alias("title"),
                 F.array(
-                    F.struct(F.lit("AIM").alias("label"), F.col("o_orderpriority").alias("text")),
-                    F.struct(F.lit(None).cast("string").alias("label"), F.col("o_orderstatus").alias("text")),
+                    F.struct(F.lit("AIM").alias("label"), F.col("p_type").alias("text")),
+                    F.struct(F.lit(None).cast("string").alias("label"), F.col("p_brand").alias("text")),
                 ).alias("abstract"),
-                "authors", F.lit("Journal of Orders").alias("journal"),
-                F.year("o_orderdate").cast("string").alias("year"),
+                authors.alias("authors"), F.lit("Journal of Parts").alias("journal"),
+                (F.col("p_size") + 1970).cast("string").alias("year"),
             )
         ).alias("payload")
     )
 
 
 _ARTICLE = """
-    with a as (select l_orderkey, list('Part' || lpad(l_partkey::varchar, 6, '0') || ' ' || l_returnflag
-        order by 'Part' || lpad(l_partkey::varchar, 6, '0'), l_returnflag) as names from lineitem group by 1),
-    f as (select o_orderkey::varchar as pmid, 'On order ' || o_orderkey as title, 'AIM: ' || o_orderpriority || ' ' || o_orderstatus as abstract,
+    with a as (select *, list_transform(range(1, p_size % 8 + 2), lambda i: 'Author' || i || ' A') as names from part),
+    f as (select p_partkey::varchar as pmid, 'On part ' || p_partkey as title, 'AIM: ' || p_type || ' ' || p_brand as abstract,
         array_to_string(names[1:5], ', ') || case when len(names) > 5 then ' et al.' else '' end as authors,
-        'Journal of Orders' as journal, year(o_orderdate)::varchar as year
-      from orders join a on l_orderkey = o_orderkey)"""
+        'Journal of Parts' as journal, (p_size + 1970)::varchar as year
+      from a)"""
 
 
 @query("article_fields", f"{_ARTICLE} select * from f")
@@ -443,54 +442,59 @@ def record_texts(spark, sf_dir):
 
 
 @query("hit_lists", """
-    select conv_id, md5('Web Search Results:' || chr(10) || chr(10) || string_agg(
-      n || '. ' || role || chr(10) || '   URL: N/A' || chr(10) || '   ' || text || chr(10), chr(10) order by n)) as digest
-    from (select *, row_number() over (partition by conv_id order by turn) as n from conversations where text <> '') group by conv_id""")
+    select page_id, 'Web Search Results:' || chr(10) || chr(10) || '1. No title' || chr(10) || '   URL: ' || url || chr(10)
+      || '   ' || left(html, 40) || chr(10) || chr(10) || '2. Page ' || page_id || chr(10) || '   URL: N/A' || chr(10) as listing
+    from pages""")
 def hit_lists(spark, sf_dir):
-    turns = testbed.table(spark, sf_dir, "conversations").where(F.col("text") != "")
-    hit = F.struct("turn", F.col("role").alias("title"), F.lit(None).cast("string").alias("link"), F.col("text").alias("snippet"))
-    lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    return lists.select("conv_id", F.md5(render.format_hits("hits")).alias("digest"))
+    """Two hits for each page: one without a title, one without link and snippet."""
+    none = F.lit(None).cast("string")
+    hits = F.array(
+        F.struct(
+            none.alias("title"), F.col("url").alias("link"), F.substring("html", 1, 40).alias("snippet")
+        ),
+        F.struct(
+            F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"),
+            none.alias("link"), F.lit("").alias("snippet"),
+        ),
+    )
+    return testbed.table(spark, sf_dir, "pages").select(
+        "page_id", render.format_hits(hits).alias("listing")
+    )
 
 
 @query("layout_parts", """
-    with r as (select l_orderkey, '| ' || l_linenumber || ' | ' || l_returnflag || ' |' as line, l_linenumber, l_partkey, l_returnflag from lineitem)
-    select l_orderkey, 1 as n_tables, 1 as n_figures, 1 as n_texts,
-      md5('| line | flag |' || chr(10) || '| --- | --- |' || chr(10)
-        || string_agg(line, chr(10) order by l_linenumber, l_partkey, l_returnflag)) as table_digest
-    from r group by l_orderkey""")
+    select l_orderkey, l_partkey, l_suppkey, l_linenumber, 1 as n_tables, 1 as n_figures, 1 as n_texts,
+      '| line | flag |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || l_linenumber || ' | ' || l_returnflag || ' |' || chr(10)
+        || '| ' || l_partkey || ' |  |' as table_text
+    from lineitem""")
 def layout_parts(spark, sf_dir):
-    """Each order as the stored layout of a page with one table, one figure and one heading."""
-    lines = testbed.table(spark, sf_dir, "lineitem")
-    row = F.struct("l_linenumber", "l_partkey", "l_returnflag")
-    cells = F.transform(
-        F.array_sort(F.collect_list(row)),
-        lambda r: F.array(r["l_linenumber"].cast("string"), F.concat(r["l_returnflag"], F.lit(" "))),
-    )
-    header = F.array(F.array(F.lit("line"), F.lit("flag")))
-    tables = lines.groupBy("l_orderkey").agg(F.concat(header, cells).alias("rows"))
-    none = F.lit(None).cast("string")
+    """Each order line as the stored layout of a page with a ragged table, a figure and a heading."""
+    none, empty = F.lit(None).cast("string"), F.lit(None).cast("array<array<string>>")
+    cells = F.array(
+        F.array(F.lit("line"), F.lit("flag")),
+        F.array(F.col("l_linenumber").cast("string"), F.concat("l_returnflag", F.lit(" "))),
+        F.array(F.col("l_partkey").cast("string")),
+    )
 
-    def block(kind, caption=none, body=none, rows=None):
-        empty = F.lit(None).cast("array<array<string>>")
+    def block(kind, caption=none, body=none, rows=empty):
         return F.struct(
             F.lit(kind).alias("type"), caption.alias("caption"), body.alias("text"),
-            F.lit(0).alias("page_idx"), (empty if rows is None else rows).alias("rows"),
+            F.lit(0).alias("page_idx"), rows.alias("rows"),
         )
 
-    stored = tables.select(
-        "l_orderkey",
-        F.to_json(
-            F.array(
-                block("table", rows=F.col("rows")), block("figure", F.lit("A plot")),
-                block("text", body=F.lit("Heading")),
-            )
-        ).alias("layout"),
+    layout = F.to_json(
+        F.array(
+            block("table", rows=cells), block("figure", F.lit("A plot")),
+            block("text", body=F.lit("Heading")),
+        )
+    )
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    parts = testbed.table(spark, sf_dir, "lineitem").select(
+        *keys, render.layout_parts(layout).alias("p")
     )
-    parts = stored.select("l_orderkey", render.layout_parts("layout").alias("p"))
     return parts.select(
-        "l_orderkey", F.size("p.tables").alias("n_tables"), F.size("p.figures").alias("n_figures"),
-        F.size("p.first_page").alias("n_texts"), F.md5(F.col("p.tables")[0]).alias("table_digest"),
+        *keys, F.size("p.tables").alias("n_tables"), F.size("p.figures").alias("n_figures"),
+        F.size("p.first_page").alias("n_texts"), F.col("p.tables")[0].alias("table_text"),
     )
 
 
@@ -699,18 +703,13 @@ def alias_variants(spark, sf_dir):
 
 
 @query("invariance_rate", """
-    with a as (select l_orderkey, l_linenumber, l_returnflag,
-        row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as v from lineitem)
-    select count(*) as variants, round(avg((a.l_returnflag = o.l_returnflag)::int), 6) as invariance
-    from a join a o using (l_orderkey) where a.v > 1 and o.v = 1""")
+    select count(*) as variants, round(avg((a.role = o.role)::int), 6) as invariance
+    from conversations a join conversations o using (conv_id) where a.turn <> 0 and o.turn = 0""")
 def invariance_rate(spark, sf_dir):
-    """Return flags of an order's lines as the answers to one question and its variants."""
-    lines = testbed.table(spark, sf_dir, "lineitem")
-    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    rows = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    answers = rows.select(
-        F.col("l_orderkey").alias("item_id"), F.posexplode("rows").alias("variant", "r")
-    ).select("item_id", "variant", F.col("r.l_returnflag").alias("answer"))
+    """Roles of the turns of a conversation as the answers to one question and its variants."""
+    answers = testbed.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("item_id"), F.col("turn").alias("variant"), F.col("role").alias("answer")
+    )
     return evaluate.invariance_rate(answers)
 
 
@@ -734,26 +733,24 @@ def truncate_lines(spark, sf_dir):
     return docs.select("doc_id", F.md5(trim.truncate_lines("text", 300)).alias("digest"))
 
 
-@query("truncate_graph", f"""
-    with {sql.PLACES}, t as (select y_name, string_agg(x_name || ' --[' || display_relation || ']--> ' || y_name, chr(10) order by x_name) as body
-      from places group by y_name),
-    l as (select y_name, unnest(string_split(body, chr(10))) as s, generate_subscripts(string_split(body, chr(10)), 1) as i from t),
-    u as (select *, sum((length(s) + 1) // 4) over (partition by y_name order by i) as used, length('GRAPH OF ' || y_name) // 4 as h from l),
-    k as (select y_name, string_agg(s, chr(10) order by i) as cut from u where used <= 300 - h - 50 group by y_name)
-    select y_name, md5(case when (length('GRAPH OF ' || y_name || chr(10) || body)) // 4 <= 300 then 'GRAPH OF ' || y_name || chr(10) || body
-      else coalesce('GRAPH OF ' || y_name || chr(10) || cut, '') end) as digest
-    from t left join k using (y_name)""")
+@query("truncate_graph", """
+    with b as (select doc_id, text, list_filter(string_split(text, ' '), lambda w: w <> '' and not contains(w, chr(10))) as ws from documents),
+    l as (select doc_id, 'TEXT ' || doc_id as head, w || ' --[in]--> ' || doc_id as s, i from
+      (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from b)),
+    u as (select *, sum((length(s) + 1) // 4) over (partition by doc_id order by i) as used, length(head) // 4 as h,
+        sum(length(s) + 1) over (partition by doc_id) as n_chars from l),
+    k as (select doc_id, string_agg(s, chr(10) order by i) filter (used <= 300 - h - 50) as cut,
+        string_agg(s, chr(10) order by i) filter ((length(head) + n_chars) // 4 <= 300) as whole from u group by doc_id)
+    select doc_id, md5(coalesce('TEXT ' || doc_id || chr(10) || coalesce(whole, cut),
+      case when len(ws) = 0 then 'TEXT ' || doc_id || chr(10) else '' end)) as digest
+    from b left join k using (doc_id)""")
 def truncate_graph(spark, sf_dir):
-    p = testbed.place_triples(spark, sf_dir)
-    row = F.struct(
-        "x_name",
-        F.concat("x_name", F.lit(" --["), "display_relation", F.lit("]--> "), "y_name").alias("line"),
-    )
-    texts = p.groupBy("y_name").agg(F.array_sort(F.collect_list(row)).alias("rows")).select(
-        "y_name",
-        F.concat(
-            F.lit("GRAPH OF "), "y_name", F.lit("\n"),
-            F.array_join(F.transform("rows", lambda r: r["line"]), "\n"),
-        ).alias("body"),
-    )
-    return texts.select("y_name", F.md5(trim.truncate_graph("body", 300)).alias("digest"))
+    """The words of each document as relation lines under a head."""
+    docs = testbed.texts(spark, sf_dir, "documents")
+    ident = F.col("doc_id").cast("string")
+    words = F.filter(F.split("text", " "), lambda w: (w != "") & ~w.contains("\n"))
+    lines = F.transform(words, lambda w: F.concat(w, F.lit(" --[in]--> "), ident))
+    body = F.concat(F.lit("TEXT "), ident, F.lit("\n"), F.array_join(lines, "\n"))
+    return docs.select("doc_id", body.alias("body")).select(
+        "doc_id", F.md5(trim.truncate_graph("body", 300)).alias("digest")
+    )
