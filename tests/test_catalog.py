@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from sparkevidence.plans.catalog import ORACLES, QUERIES
@@ -24,7 +25,7 @@ def duck():
 
 
 def plain(value):
-    if value is None:
+    if value is None or value is pd.NA:
         return None
     if isinstance(value, bool):
         return value
