@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import as_col, blank_to_null, line
+from .common import as_col, blank_to_null, let, line
 
 
 def _present(value: Column | str, default: str) -> Column:
@@ -312,46 +312,53 @@ LAYOUT_SCHEMA = """
 
 def table_to_markdown(rows: Column | str) -> Column:
     """Markdown of a table given as rows of cells; ragged rows are padded or cut to the header."""
-    t = F.transform(
+    cells = F.transform(
         as_col(rows), lambda r: F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit(""))))
     )
-    header = t[0]
-    width = F.size(header)
 
-    def row_text(cells: Column) -> Column:
-        return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    def row_text(values: Column) -> Column:
+        return F.concat(F.lit("| "), F.array_join(values, " | "), F.lit(" |"))
+
+    def written(t: Column) -> Column:
+        width = F.size(t[0])
+        padded = F.transform(
+            F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))),
+            lambda r: row_text(
+                F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width)
+            ),
+        )
+        rule = row_text(F.array_repeat(F.lit("---"), width))
+        return F.array_join(F.concat(F.array(row_text(t[0]), rule), padded), "\n")
 
-    body = F.transform(
-        F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))),
-        lambda r: row_text(F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width)),
-    )
-    lines = F.concat(
-        F.array(row_text(header), row_text(F.array_repeat(F.lit("---"), width))), body
-    )
     usable = (F.size(as_col(rows)) > 0) & (F.size(F.get(as_col(rows), F.lit(0))) > 0)
-    return F.when(usable, F.array_join(lines, "\n")).otherwise("")
+    return F.when(usable, let(cells, written)).otherwise("")
 
 
 def layout_parts(content_list: Column | str) -> Column:
     """Tables, figure captions and first-page text of a stored page layout."""
-    blocks = F.from_json(as_col(content_list), LAYOUT_SCHEMA)
-
-    def texts(kind: str, value) -> Column:
-        picked = F.filter(blocks, lambda b: b["type"] == kind)
-        return F.filter(F.transform(picked, value), lambda s: s.isNotNull() & (s != ""))
 
-    tables = texts(
-        "table",
-        lambda b: F.coalesce(b["markdown"], b["content"], table_to_markdown(b["rows"])),
-    )
-    figures = texts("figure", lambda b: line("Figure: ", F.coalesce(b["caption"], b["description"])))
-    first_page = F.filter(
-        F.transform(
-            F.filter(blocks, lambda b: (b["type"] == "text") & (b["page_idx"] == 0)),
-            lambda b: b["text"],
-        ),
-        lambda s: s.isNotNull() & (s != ""),
-    )
-    return F.struct(
-        tables.alias("tables"), figures.alias("figures"), first_page.alias("first_page")
-    )
+    def parts(blocks: Column) -> Column:
+        def texts(kind: str, value) -> Column:
+            picked = F.filter(blocks, lambda b: b["type"] == kind)
+            return F.filter(F.transform(picked, value), lambda s: s.isNotNull() & (s != ""))
+
+        tables = texts(
+            "table",
+            lambda b: F.coalesce(b["markdown"], b["content"], table_to_markdown(b["rows"])),
+        )
+        figures = texts(
+            "figure", lambda b: line("Figure: ", F.coalesce(b["caption"], b["description"]))
+        )
+        first_page = F.filter(
+            F.transform(
+                F.filter(blocks, lambda b: (b["type"] == "text") & (b["page_idx"] == 0)),
+                lambda b: b["text"],
+            ),
+            lambda s: s.isNotNull() & (s != ""),
+        )
+        return F.struct(
+            tables.alias("tables"), figures.alias("figures"), first_page.alias("first_page")
+        )
+
+    # the document is parsed once for all parts
+    return let(F.from_json(as_col(content_list), LAYOUT_SCHEMA), parts)

@@ -60,14 +60,26 @@ def truncate_graph(text: Column | str, limit: Column | int, margin: int = 50) ->
         return s.contains("--[") & s.contains("]-->")
 
     def cut(lines: Column) -> Column:
-        header = F.array_join(F.filter(lines, lambda s: ~is_relation(s)), "\n")
-        relations = F.filter(lines, is_relation)
-        room = cap - count_tokens(header) - margin
-        kept = F.slice(relations, F.lit(1), prefix_within(_line_costs(relations), room))
-        return F.when(
-            (room > 0) & (prefix_within(_line_costs(relations), room) > 0),
-            F.concat(header, F.lit("\n"), F.array_join(kept, "\n")),
-        ).otherwise("")
+        parts = F.struct(
+            F.array_join(F.filter(lines, lambda s: ~is_relation(s)), "\n").alias("header"),
+            F.filter(lines, is_relation).alias("relations"),
+        )
+        return let(parts, fit)
+
+    def fit(p: Column) -> Column:
+        room = cap - count_tokens(p["header"]) - margin
+        # the room is computed once, not for every line it is compared with
+        count = let(room, lambda r: prefix_within(_line_costs(p["relations"]), r))
+        return let(
+            count,
+            lambda n: F.when(
+                (room > 0) & (n > 0),
+                F.concat(
+                    p["header"], F.lit("\n"),
+                    F.array_join(F.slice(p["relations"], F.lit(1), n), "\n"),
+                ),
+            ).otherwise(""),
+        )
 
     return (
         F.when(F.coalesce(c, F.lit("")) == "", "")

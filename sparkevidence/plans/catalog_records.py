@@ -293,7 +293,7 @@ def search_preprints(spark, sf_dir):
 
 def _trial_payloads(spark, sf_dir):
     """Each order as the stored JSON document of a trial."""
-    o = testbed.table(spark, sf_dir, "orders").join(
+    o = testbed.texts(spark, sf_dir, "orders").join(
         testbed.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
     key = F.col("o_orderkey").cast("string")
@@ -489,7 +489,7 @@ def layout_parts(spark, sf_dir):
         )
     )
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    parts = testbed.table(spark, sf_dir, "lineitem").select(
+    parts = testbed.texts(spark, sf_dir, "lineitem").select(
         *keys, render.layout_parts(layout).alias("p")
     )
     return parts.select(
