@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
 from .langid import learn_and_identify
+from .packing import pack, placed_pieces
 from .tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -70,3 +71,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return learn_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op5_pack")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed_pieces(pack(table(spark, sf_dir, "documents"))).drop("ids")
