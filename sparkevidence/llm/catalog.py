@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .decontaminate import find_contamination
 from .langid import learn_and_identify
 from .packing import pack, placed_pieces
+from .substrings import repeated_substrings
+from .suffixes import repeated_passages
 from .tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -76,3 +78,34 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_pack")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed_pieces(pack(table(spark, sf_dir, "documents"))).drop("ids")
+
+
+REPEATS = r"""
+with w as (
+  select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') w from documents),
+windows as (
+  select doc_id, i, sha256(array_to_string(list_slice(w, i, i + {k} - 1), ' ')) h
+  from (select doc_id, w, unnest(range(1, len(w) - {k} + 2)) i from w where len(w) >= {k})),
+firsts as (select h, min(doc_id) first_id from windows group by 1),
+hits as (
+  select distinct doc_id, unnest(range(i, i + {k})) k
+  from windows join firsts using (h) where first_id < doc_id),
+words as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) k from w where len(w) > 0),
+kept as (
+  select doc_id, string_agg(word, ' ' order by k) s
+  from words anti join hits using (doc_id, k) group by 1),
+removed as (select doc_id, count(*) n from hits group by 1)
+select doc_id, coalesce(len(w), 0)::bigint n_words, coalesce(n, 0)::bigint n_removed,
+       sha256(coalesce(s, '')) kept_sha256
+from w left join removed using (doc_id) left join kept using (doc_id)
+"""
+
+
+@query("op9_suffix_array_dedup", REPEATS.format(k=50))
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op10_substring_dedup", REPEATS.format(k=13))
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_substrings(table(spark, sf_dir, "documents")).drop("spans")

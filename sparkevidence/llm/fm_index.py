@@ -122,14 +122,18 @@ class FMIndex:
         low, high, start = self.bwt.bounds(symbol, low, high)
         return self.first[symbol] + low - start, self.first[symbol] + high - start
 
-    def search(self, text: np.ndarray, end: np.ndarray, length: np.ndarray):
+    def search(
+        self, text: np.ndarray, end: np.ndarray, length: np.ndarray, stop_at_one: bool = False
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of the patterns ``text[end - length : end]``; empty ones have low >= high.
 
-        Symbols of 0 or beyond the alphabet occur nowhere.
+        Symbols of 0 or beyond the alphabet occur nowhere. With ``stop_at_one`` a search ends when
+        one suffix is left, for patterns that are known to occur.
         """
+        least = int(stop_at_one)
         low, high = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
         for step in range(int(length.max(initial=0))):
-            alive = np.flatnonzero((length > step) & (low < high))
+            alive = np.flatnonzero((length > step) & (high - low > least))
             symbol = text[end[alive] - 1 - step]
             known = (symbol > 0) & (symbol < self.sigma)
             high[alive[~known]] = low[alive[~known]]
