@@ -11,6 +11,7 @@ from .packing import pack, placed_pieces
 from .substrings import repeated_substrings
 from .suffixes import repeated_passages
 from .tables import table
+from .warc import archive_folder, round_trip
 
 QUERIES, ORACLES = {}, {}
 
@@ -109,3 +110,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup", REPEATS.format(k=13))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
+
+OP6 = """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (
+  select page_id, strlen(h)::bigint payload_bytes, h,
+         array_to_string(list_transform(range(32), lambda i: substr(
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(sha1(h), 5 * (i // 4) + 1, 5))::int
+                 >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), '') payload_digest
+  from p),
+f as (select h, min(page_id) first_id from p group by 1)
+select page_id, payload_bytes, payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end record_type,
+       case when page_id <> first_id then first_id end refers_to
+from d join f using (h)
+"""
+
+
+@query("op6_warc", OP6)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"), archive_folder(spark))
