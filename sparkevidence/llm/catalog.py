@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
+from .kdtree import top_k, whole_vectors
 from .langid import learn_and_identify
 from .packing import pack, placed_pieces
 from .substrings import repeated_substrings
@@ -132,3 +133,23 @@ from d join f using (h)
 @query("op6_warc", OP6)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), archive_folder(spark))
+
+
+OP1 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
+select q.vec_id query_id, row_number() over (
+         partition by q.vec_id order by list_dot_product(q.v, c.v) desc, c.vec_id)::int rank,
+       c.vec_id, list_dot_product(q.v, c.v)::bigint score
+from v q join v c on q.vec_id <> c.vec_id
+where q.vec_id % 20 = 0
+qualify rank <= 20
+"""
+
+
+@query("op1_topk", OP1)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whole_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors.where("id % 20 = 0"), vectors, 20)
