@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
+from .jaccard import near_duplicates
 from .kdtree import top_k, whole_vectors
 from .langid import learn_and_identify
 from .packing import pack, placed_pieces
@@ -153,3 +154,31 @@ qualify rank <= 20
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = whole_vectors(table(spark, sf_dir, "embeddings"))
     return top_k(vectors.where("id % 20 = 0"), vectors, 20)
+
+
+OP8 = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (
+  select distinct doc_id, sha256(array_to_string(list_slice(w, i, i + 4), ' ')) h
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by 1),
+links as (
+  select a.doc_id a, b.doc_id b from s a join s b on a.h = b.h and a.doc_id <> b.doc_id
+  group by 1, 2
+  having 100 * count(*) >= 75 * ((select n from n where doc_id = a.doc_id)
+                               + (select n from n where doc_id = b.doc_id) - count(*))),
+reach as (
+  select doc_id, doc_id c from n
+  union
+  select b, c from reach join links on doc_id = a)
+select doc_id, coalesce(n, 0)::bigint n_shingles, coalesce(c, doc_id) component_id
+from w left join n using (doc_id)
+left join (select doc_id, min(c) c from reach group by 1) using (doc_id)
+"""
+
+
+@query("op8_jaccard_join", OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
