@@ -17,7 +17,6 @@ id is kept. Only the named columns are read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +36,7 @@ END_TOKEN = 0
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 GROUP_ITEMS = 30_000
 NEARLY_FULL = 0.995
-_CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 1_500_000
 
 _PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:int,ids_crc32:bigint,ids:array<int>>"
 BINS = f"fill int, pieces array<{_PIECE}>"
@@ -50,37 +49,55 @@ _PIECE_TYPE = pa.struct([
 class Encoder:
     """Token ids of whole texts, with the ids of space-separated stretches remembered.
 
-    The tokenizer splits a text before a single space between two other characters in any case, so
-    the stretches between such spaces are encoded alone. The memory of stretches is bounded.
+    A byte-level tokenizer splits a text before any single space between two other characters, so
+    the stretches between such spaces can be encoded alone. Texts with other white space beside a space, and all texts of other tokenizers, are
+    encoded whole. The memory is bounded: it is emptied at ``CACHE_ENTRIES``.
     """
 
-    _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-    _CLOSE_SPACES = re.compile(r" \s|\s ")
-
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        splitter = type(self.tokenizer.pre_tokenizer).__name__
+        self.splits = splitter == "ByteLevel" and self.tokenizer.normalizer is None
+        self.after_space: dict[str, bytes] = {}
+        self.at_start: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _learn(self, known: dict[str, bytes], stretches: set[str], before: str) -> None:
+        new = [x for x in stretches if x and not x[0].isspace() and not x[-1].isspace()]
+        for a in range(0, len(new), 1024):
+            part = new[a : a + 1024]
+            known.update(zip(part, self._whole([before + x for x in part])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split, new = [], {}
-        if len(self.known) > _CACHE_ENTRIES:
-            self.known = {}
-        for text in texts:
-            if self._CLOSE_SPACES.search(text):
-                parts = self._INNER_SPACE.split(text)
-            else:
-                parts = text.split(" ")
-            parts[1:] = [" " + x for x in parts[1:]]
-            split.append(parts)
-            new.update(dict.fromkeys(x for x in parts if x not in self.known))
-        words = list(new)
-        for a in range(0, len(words), 1024):
-            part = words[a : a + 1024]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-        return [b"".join([self.known[x] for x in parts]) for parts in split]
+        if not self.splits:
+            return self._whole(texts)
+        for known in (self.after_space, self.at_start):
+            if len(known) > CACHE_ENTRIES:
+                known.clear()
+        split = [text.split(" ") for text in texts]
+        self._learn(self.at_start, {x[0] for x in split if x[0] not in self.at_start}, "")
+        found = [self._ids(parts) for parts in split]
+        new: set[str] = set()
+        for parts, ids in zip(split, found):
+            if None in ids:
+                new.update(x for x, known in zip(parts[1:], ids[1:]) if known is None)
+        self._learn(self.after_space, new, " ")
+        out = []
+        for text, parts, ids in zip(texts, split, found):
+            if None in ids:
+                ids = self._ids(parts)
+            out.append(self._whole([text])[0] if None in ids else b"".join(ids))
+        return out
+
+    def _ids(self, parts: list[str]) -> list[bytes | None]:
+        ids = list(map(self.after_space.get, parts))
+        ids[0] = b"" if not parts[0] else self.at_start.get(parts[0])
+        return ids
 
 
 @lru_cache(maxsize=2)
