@@ -13,6 +13,7 @@ from .packing import pack, placed_pieces
 from .substrings import repeated_substrings
 from .suffixes import repeated_passages
 from .tables import table
+from .toxicity import score_toxicity
 from .warc import archive_folder, round_trip
 
 QUERIES, ORACLES = {}, {}
@@ -182,3 +183,8 @@ left join (select doc_id, min(c) c from reach group by 1) using (doc_id)
 @query("op8_jaccard_join", OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
