@@ -14,6 +14,7 @@ from .substrings import repeated_substrings
 from .suffixes import repeated_passages
 from .tables import table
 from .toxicity import score_toxicity
+from .urlfilter import filter_urls
 from .warc import archive_folder, round_trip
 
 QUERIES, ORACLES = {}, {}
@@ -188,3 +189,68 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_LEVEL = """
+c{k} as (select right(gram, {k} + 1) own, sum(a) a, sum(r) r from counts group by 1),
+n{k} as (select own, a, r, sum(a) over w ta, sum((a > 0)::int) over w ka,
+                sum(r) over w tr, sum((r > 0)::int) over w kr
+         from c{k} window w as (partition by substr(own, 1, {k}))),
+p{k} as (select own,
+           case when ta > 0 then (a + ka * {la}) / (ta + ka) else {la} end pa,
+           case when tr > 0 then (r + kr * {lr}) / (tr + kr) else {lr} end pr
+         from n{k} {join}),"""
+_LEVELS = _LEVEL.format(k=0, la="(1.0::double / 256)", lr="(1.0::double / 256)", join="") + "".join(
+    _LEVEL.format(
+        k=k, la="low.pa", lr="low.pr",
+        join=f"join (select own shorter, pa, pr from p{k - 1}) low on right(own, {k}) = shorter",
+    )
+    for k in range(1, 5)
+)
+OP7 = f"""
+with pg as (select page_id, coalesce(url, '') url from pages),
+parts as (
+  select page_id, url, case when contains(url, '://')
+                       then substr(url, instr(url, '://') + 3) else '' end rest from pg),
+hp as (
+  select page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                 'abcdefghijklmnopqrstuvwxyz') host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from parts),
+rules(ruled, rh, rp) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+                                ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+best as (
+  select url, max_by(rh || rp, length(rh || rp)) rule, max_by(ruled, length(rh || rp)) ruled
+  from (select distinct url, host, path from hp), rules
+  where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by 1),
+u as (
+  select url, n, ruled, substr(md5(url), 1, 1) in ('0', '1', '2') held
+  from (select url, count(*) n from pg group by 1) left join best using (url)),
+g as (
+  select url, n, ruled, held, substr(repeat(chr(2), 4) || url || chr(3), i, 5) gram
+  from (select *, unnest(range(1, length(url) + 2)) i from u)),
+counts as (
+  select gram, sum(case when not held and ruled = 'allow' then n else 0 end) a,
+         sum(case when not held and ruled = 'block' then n else 0 end) r
+  from g group by 1),
+{_LEVELS}
+model as (select own gram, round((ln(pa) - ln(pr)) * 1e6)::bigint ratio from p4),
+s as (select url, any_value(n) n, any_value(ruled) ruled, any_value(held) held,
+             sum(ratio) / count(*)::double score
+      from g join model using (gram) group by 1),
+k as (select ruled, sum(score * n) / sum(n) m, sum(score * score * n) / sum(n) q
+      from s where held and ruled is not null group by 1),
+v as (select max(case when ruled = 'allow' then m end) ma, max(case when ruled = 'block' then m end) mr,
+             max(case when ruled = 'allow' then sqrt(greatest(q - m * m, 0)) end) sa,
+             max(case when ruled = 'block' then sqrt(greatest(q - m * m, 0)) end) sr
+      from k where (select count(distinct ruled) from s where not held) = 2),
+t as (select coalesce(case when sa + sr = 0 then (ma + mr) / 2 else (ma * sr + mr * sa) / (sa + sr) end,
+                      '-infinity'::double) t from v)
+select page_id, host, path, rule,
+       coalesce(best.ruled, case when score >= t then 'allow' else 'block' end) verdict
+from hp join s using (url) left join best using (url), t
+"""
+
+
+@query("op7_url_filter", OP7)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).drop("score")
