@@ -11,8 +11,8 @@ id holds the same words. The steps:
    gram go on, with the stretch around each (all windows that select it).
 4. Equal stretches are merged (smallest id). They are dealt to shards by the gram, and an index of
    each shard, the operator's own, finds for each window the smallest document that holds it.
-5. Grams in more than ``HOT_DOCS`` documents would fill a shard with a group that grows with the
-   input. Their windows are dealt by a hash of all their words instead, after partial minima.
+5. Grams in more than ``HOT_DOCS`` documents could fill a shard with a group that grows with the
+   input. The windows of their merged stretches are dealt by a hash of all their words instead.
 
 Only texts of candidate documents move, compressed, and once. No step gathers a group of unbounded
 size: a shard holds ``SHARD_BYTES`` of distinct stretches or so.
@@ -105,13 +105,9 @@ def _squeezed(batches):
 
 
 def _stretches(window: int, gram: int):
-    """Rows of the stretches around shared grams, and of the windows around hot ones.
-
-    A stretch is given by its words; a hot window by the two hashes of its words.
-    """
-    names = ["doc_id", "key", "gram", "start", "n_windows", "at", "hash", "more", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(),
-             pa.int64(), pa.binary()]
+    """Rows of the stretches around shared grams: where they start, their words, the gram's place."""
+    names = ["doc_id", "key", "gram", "is_hot", "start", "at", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
 
     def one(doc_id: int, text: bytes, cold: list[int], hot: list[int]) -> Iterator[list]:
         words = words_of(pa.array([text], pa.binary()))
@@ -121,16 +117,11 @@ def _stretches(window: int, gram: int):
         value = signed(hashed[chosen])
         head = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1])[: len(chosen)])
         stop = np.append(head[1:], len(chosen))
-        is_cold, is_hot = np.isin(value[head], cold), np.isin(value[head], hot)
-        sums = []
-        if is_hot.any():
-            sums = [signed(grams(h, words.row, window)[0]) for h in (hashes, hashes * _SECOND)]
-        for a, b in zip(head[is_cold].tolist(), stop[is_cold].tolist()):
-            run = words.text(start[a], start[b - 1] + window)
-            yield [doc_id, key, value[a], start[a], b - a, chosen[a] - start[a], None, None, run]
-        for a, b in zip(head[is_hot].tolist(), stop[is_hot].tolist()):
-            for w in start[a:b].tolist():
-                yield [doc_id, key, value[a], w, 1, 0, sums[0][w], sums[1][w], None]
+        for grams_of_kind, is_hot in ((cold, False), (hot, True)):
+            own = np.isin(value[head], grams_of_kind)
+            for a, b in zip(head[own].tolist(), stop[own].tolist()):
+                run = words.text(start[a], start[b - 1] + window)
+                yield [doc_id, key, value[a], is_hot, start[a], chosen[a] - start[a], run]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -147,6 +138,27 @@ def _stretches(window: int, gram: int):
     return run
 
 
+def _windows(window: int):
+    """Rows of the windows of stretches, by two hashes of their words."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "words"):
+                words = words_of(part.column("words"))
+                hashes = words.hashes()
+                (one, inside), (two, _) = (grams(h, words.row, window) for h in (hashes, hashes * _SECOND))
+                at = np.flatnonzero(inside)
+                row = words.row[at]
+                names = ["hash", "more", "first_id"]
+                kept = [part.column(x).take(pa.array(row)) for x in names]
+                made = [at - words.first[row], signed(one[at]), signed(two[at])]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, *(pa.array(x) for x in made)], names=[*names, "i", "own", "other"]
+                )
+
+    return run
+
+
 def _rows(rows: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(kinds)
     return pa.RecordBatch.from_arrays(
@@ -222,51 +234,46 @@ def find_repeats(docs: DataFrame, method: Method) -> Repeats:
     found = stored(
         texts.mapInArrow(
             _stretches(window, gram),
-            "doc_id bigint, key bigint, gram bigint, start int, n_windows int, at int, "
-            "hash bigint, more bigint, words binary",
-        ).withColumns({
-            "hash": F.coalesce("hash", F.xxhash64("words", "at")),
-            "more": F.coalesce("more", F.xxhash64("at", "words", F.lit(1))),
-        })
+            "doc_id bigint, key bigint, gram bigint, is_hot boolean, start int, at int, words binary",
+        )
+        .withColumn("hash", F.xxhash64("words", "at"))
+        .withColumn("more", F.xxhash64("at", "words", F.lit(1)))
     )
-    stretch = (
-        found.where("words is not null")
-        .groupBy("gram", "hash", "more", "at", "words")
-        .agg(F.min("doc_id").alias("first_id"))
+    stretch = found.groupBy("gram", "is_hot", "hash", "more", "at", "words").agg(
+        F.min("doc_id").alias("first_id")
     )
-    size = found.where("words is not null").agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    size = found.where("not is_hot").agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("gram"), F.lit(pieces(size, SHARD_BYTES)))
-    matched = (
-        stretch.withColumn("shard", shard)
+    cold = (
+        stretch.where("not is_hot")
+        .withColumn("shard", shard)
         .groupBy("shard")
         .applyInArrow(_matched(method), "hash bigint, more bigint, minima array<bigint>")
     )
-    owners = found.select("doc_id", "key", "start", "hash", "more")
-    cold = owners.join(matched.hint("shuffle_merge"), ["hash", "more"]).select(
-        "doc_id",
-        "key",
-        F.explode(
-            F.filter(
-                F.transform("minima", lambda m, i: F.when(m < F.col("doc_id"), F.col("start") + i)),
-                lambda x: x.isNotNull(),
-            )
-        ).alias("start"),
+    windows = stored(
+        stretch.where("is_hot")
+        .select("hash", "more", "first_id", "words")
+        .mapInArrow(
+            _windows(window),
+            "hash bigint, more bigint, first_id bigint, i bigint, own bigint, other bigint",
+        )
     )
-    lows = (
-        found.where("words is null")
+    lows = windows.groupBy("own", "other").agg(F.min("first_id").alias("low"))
+    hot = (
+        windows.join(lows.hint("shuffle_merge"), ["own", "other"])
         .groupBy("hash", "more")
-        .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-        .where("a < b")
-        .select("hash", "more", "a")
+        .agg(F.array_sort(F.collect_list(F.struct("i", "low"))).alias("all"))
+        .select("hash", "more", F.col("all.low").alias("minima"))
     )
-    hot = (
-        found.where("words is null")
-        .select("doc_id", "key", "start", "hash", "more")
-        .join(lows.hint("shuffle_merge"), ["hash", "more"])
-        .where("a < doc_id")
-        .select("doc_id", "key", "start")
+    early = F.transform("minima", lambda m, i: F.when(m < F.col("doc_id"), F.col("start") + i))
+    starts = (
+        found.select("doc_id", "key", "start", "hash", "more")
+        .join(cold.unionByName(hot).hint("shuffle_merge"), ["hash", "more"])
+        .select("doc_id", "key", F.filter(early, lambda x: x.isNotNull()).alias("starts"))
+        .where("size(starts) > 0")
+        .groupBy("doc_id", "key")
+        .agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     )
-    starts = cold.unionByName(hot).groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
     return Repeats(known, texts.select("doc_id", "packed"), starts)
 
 
