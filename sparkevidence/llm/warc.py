@@ -4,8 +4,9 @@ Writing. A page becomes a response record whose block is an HTTP response with c
 framing. Pages with equal payloads (``min_revisit_bytes`` and more) are found by their SHA-1: the
 smallest page_id is the response, the others are revisit records without a payload. A block longer
 than ``segment_bytes`` is split into a first segment and continuation records that name its
-identifier, so no record is larger than that; a task collects records into archives of
-``archive_bytes`` or so, one file each, which Spark's writer puts into the shared folder.
+identifier, so no record is larger than that. Each record is a gzip member of its own; a task
+collects members into archives of ``archive_bytes`` of records or so, one file each, which Spark's
+writer puts into the shared folder (it ends a file with a zero byte, which gzip readers skip).
 
 Reading. Archives are read whole (they are of bounded size) and cut into records by the lengths in
 their headers. Only continuation records and the first segments they belong to are shuffled: they
@@ -21,7 +22,9 @@ and is never what others revisit. Only page_id, url and html are read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -127,7 +130,7 @@ def _archives(segment_bytes: int, archive_bytes: int):
                     if held and size + len(record) > archive_bytes:
                         yield _archive(held)
                         held, size = [], 0
-                    held.append(record)
+                    held.append(gzip.compress(record, compresslevel=6, mtime=0))
                     size += len(record)
         if held:
             yield _archive(held)
@@ -135,9 +138,8 @@ def _archives(segment_bytes: int, archive_bytes: int):
     return run
 
 
-def _archive(records: list[bytes]) -> pa.RecordBatch:
-    # the writer ends the file with the last two bytes
-    return pa.RecordBatch.from_arrays([pa.array([b"".join(records)[:-2]], pa.binary())], names=["a"])
+def _archive(members: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["a"])
 
 
 def write_archives(
@@ -177,7 +179,7 @@ def write_archives(
         .mapInArrow(_archives(segment_bytes, archive_bytes), "a binary")
         .select(F.col("a").cast("string").alias("value"))
         .write.option("maxRecordsPerFile", 1)
-        .option("lineSep", "\r\n")
+        .option("lineSep", "\u0000")
         .text(path)
     )
 
@@ -222,7 +224,8 @@ def _read_batches(batches):
     schema = _schema()
     for batch in batches:
         for content in batch.column("content"):
-            found = list(records_of_archive(content.as_buffer().to_pybytes()))
+            data = gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())).read()
+            found = list(records_of_archive(data))
             for a in range(0, len(found), 256):
                 yield pa.RecordBatch.from_pylist(found[a : a + 256], schema)
 
