@@ -29,7 +29,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of all linked nodes; the component is its smallest node.
+    """(node, component) of all linked nodes but the smallest of each component, which names it.
 
     ``edges`` holds ids (a, b). Each round is written as a table, so a lost executor costs a round.
     """

@@ -241,7 +241,7 @@ def _cells(members: DataFrame, labels: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def _linked_components(regions: Regions) -> DataFrame:
-    """(node, component) of all documents that link with another one."""
+    """(node, component) of all documents that link with another one, but for the smallest ones."""
     members, labels, pivots_each, step = regions.members, None, 1, 0
     while True:
         slot = F.pmod(F.xxhash64("doc", F.lit(step)), F.lit(pivots_each)).alias("slot")
