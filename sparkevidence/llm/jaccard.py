@@ -6,10 +6,13 @@ The Jaccard distance of shingle sets is a metric. Two documents link at a distan
 1. Each text gives its set of ``SHINGLE``-word shingles. Documents with equal sets are one class,
    held by the smallest id.
 2. Coarse regions. A single shingle is a pivot too: its nearest documents are those that hold it.
-   Linked documents share one of the first n - ceil(0.75 n) + 1 shingles of either set in any fixed
-   order, so a document is replicated into the regions of those. The order puts shingles that a
-   sample of ``SAMPLE_DOCS`` documents shows to be frequent last, else it goes by hash; the sample
-   decides about cost only. Regions with the same members are joined once.
+   Linked documents share at least m of the first n - ceil(0.75 n) + m shingles of each set in any
+   fixed order; m is a tenth of n (one at least, and one less is asked for, against rounding). So
+   documents with fewer shared ones among those link with nothing and go, and the others are
+   replicated into the regions of their shared ones. The order puts shingles that a sample of
+   ``SAMPLE_DOCS`` documents shows to be frequent last, else it goes by hash; the sample decides
+   about cost only. Linked sets differ in size by a third at most, so regions are cut into bands of
+   sizes, each with the next smaller one. Regions with the same members are joined once.
 3. Voronoi recursion. In each region documents become pivots, and every member's exact distance to
    them is computed. Members go to the cell of the nearest pivot; those at the boundary, with a
    distance to another cell's pivot of at most 2 radii more, are replicated into that cell. A cell
@@ -45,6 +48,7 @@ from .words import Words, grams, lists, mix, signed, slices, words_of
 SHINGLE = 5
 PERCENT = 75
 RADIUS = 1 - PERCENT / 100
+TENTH = 10
 SAMPLE_DOCS = 10_000
 FREQUENT_IN_SAMPLE = 3
 FREQUENT_LIMIT = 200_000
@@ -89,7 +93,7 @@ def _profiles(frequent):
                 late = np.isin(value, last) if len(last) else np.zeros(len(value), bool)
                 order = np.lexsort((value, late, row))
                 place = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n)
-                first = n - (PERCENT * n + 99) // 100 + 1
+                first = np.minimum(n, n - (PERCENT * n + 99) // 100 + np.maximum(1, n // TENTH))
                 kept = place < np.repeat(first, n)
                 chosen = value[order][kept]
                 made = [pa.array(n, pa.int64()), *(pa.array(signed(x)) for x in sums)]
@@ -150,9 +154,32 @@ class Regions:
 
 
 def _coarse_regions(docs: DataFrame, heads: DataFrame) -> Regions:
-    held = heads.select(F.explode("prefix").alias("region"), F.col("doc_id").alias("doc"))
+    """Regions of the shared shingles of documents (doc_id, n, prefix) that may link at all."""
+    held = heads.select(F.explode("prefix").alias("shingle"), F.col("doc_id").alias("doc"))
     shared = (
-        held.groupBy("region")
+        held.groupBy("shingle")
+        .agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+        .where("a < b")
+        .select("shingle")
+    )
+    touching = stored(held.join(shared.hint("shuffle_merge"), "shingle"))
+    sizes = heads.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    band = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100 / PERCENT)))
+    live = (
+        touching.groupBy("doc")
+        .count()
+        .join(sizes.hint("shuffle_merge"), "doc")
+        .where(F.col("count") >= F.greatest(F.lit(1), F.floor(F.col("low") / TENTH) - 1))
+        .select("doc", F.sequence(band("low"), band("high") + 1).alias("bands"))
+    )
+    placed = (
+        touching.join(live.hint("shuffle_merge"), "doc")
+        .select("shingle", "doc", F.explode("bands").alias("band"))
+        .select(F.xxhash64("shingle", "band").alias("region"), "doc")
+    )
+    placed = stored(placed)
+    distinct = (
+        placed.groupBy("region")
         .agg(
             F.min("doc").alias("a"),
             F.max("doc").alias("b"),
@@ -165,11 +192,11 @@ def _coarse_regions(docs: DataFrame, heads: DataFrame) -> Regions:
         .select("region")
     )
     members = stored(
-        held.join(shared.hint("shuffle_merge"), "region").select("region", "doc", F.lit(True).alias("own"))
+        placed.join(distinct.hint("shuffle_merge"), "region").select("region", "doc", F.lit(True).alias("own"))
     )
-    live = members.select(F.col("doc").alias("doc_id")).distinct()
+    found = members.select(F.col("doc").alias("doc_id")).distinct()
     packed = docs.mapInArrow(_squeezed, "doc_id bigint, packed binary")
-    sets = packed.join(live.hint("shuffle_merge"), "doc_id").mapInArrow(
+    sets = packed.join(found.hint("shuffle_merge"), "doc_id").mapInArrow(
         _unpacked_sets, "doc_id bigint, shingles array<bigint>"
     )
     return Regions(members, stored(sets))
@@ -279,7 +306,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = known.where("first_id < doc_id").select("doc_id", "n", "key").distinct()
     heads = profile.where("doc_id is not null and n > 0").join(
         copies.hint("shuffle_merge"), ["doc_id", "n", "key"], "left_anti"
-    ).select("doc_id", "prefix")
+    ).select("doc_id", "n", "prefix")
     labels = _linked_components(_coarse_regions(rows.where("doc_id is not null"), heads))
     return known.join(
         labels.select(F.col("node").alias("first_id"), "component").hint("shuffle_merge"), "first_id", "left"
