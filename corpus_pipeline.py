@@ -24,7 +24,7 @@ from sparkevidence.llm.decontaminate import remove_contamination
 from sparkevidence.llm.jaccard import keep_first
 from sparkevidence.llm.langid import keep_identified
 from sparkevidence.llm.packing import pack, placed_pieces
-from sparkevidence.llm.suffixes import keep_first_passages
+from sparkevidence.llm.suffixes import drop_passages
 from sparkevidence.llm.tables import stored, table
 
 #: SQL has no way to tokenise or to learn profiles; the tests compare with brute force.
@@ -46,7 +46,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(keep_first_passages(docs))
+    return _counted(drop_passages(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

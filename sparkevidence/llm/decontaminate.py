@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .tables import pieces
+from .tables import pieces, shielded
 from .words import ALNUM, Words, lists, slices, spans_of, words_of
 
 BLOCK_BYTES = 16 << 20
@@ -169,15 +169,15 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
     A hit span goes with the white space and punctuation between its words. A document of which no
     word is left goes if it had a hit.
     """
-    columns = tuple(docs.columns)
-    found = find_contamination(docs, benchmark, window, keep=columns)
+    inner, columns = shielded(docs, "text")
+    found = find_contamination(inner, benchmark, window, keep=tuple(inner.columns))
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 yield _cut(part)
 
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in inner.schema.fields)
     return (
         found.mapInArrow(cut, f"{fields}, n_words bigint, n_hit bigint")
         .where("n_hit = 0 or n_hit < n_words")

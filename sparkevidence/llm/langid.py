@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import shielded, stored
 from .words import mix, slices
 
 UNKNOWN = "und"
@@ -181,5 +181,6 @@ def learn_and_identify(docs: DataFrame, folds: int = 5, keep=("doc_id",)) -> Dat
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents in a learned language; those without letters or without any known n-gram go."""
-    found = learn_and_identify(docs, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("distance") < 1)).select(*docs.columns)
+    inner, columns = shielded(docs, "doc_id", "text", "lang")
+    found = learn_and_identify(inner, keep=tuple(inner.columns))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("distance") < 1)).select(*columns)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import pieces, stored
+from .tables import pieces, shielded, stored
 from .words import (
     Words,
     grams,
@@ -326,30 +326,30 @@ def repeated_spans(found: Repeats, window: int) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, method: Method) -> DataFrame:
-    """All rows of the documents with the removed words cut out of the text, white space as it was.
+    """The documents with the repeated words cut out of the text, white space as it was.
 
-    Adds n_words and spans (what went). Rows that repeat nothing keep their text unchanged.
+    Rows that repeat nothing keep their text unchanged; those of which no word is left go.
     """
     found = repeated_spans(find_repeats(docs, method), method.window)
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("key", "spans")).alias("of_key"))
-    joined = docs.join(spans.hint("shuffle_merge"), "doc_id", "left")
+    inner, columns = shielded(docs, "doc_id", "text")
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in inner.schema.fields)
+    joined = inner.join(spans.hint("shuffle_merge"), "doc_id", "left").select(*inner.columns, "of_key")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 yield _cut(part)
 
-    return joined.select(*docs.columns, "of_key").mapInArrow(
-        run, fields + ", n_words bigint, spans array<struct<start:int,end:int>>"
-    )
+    cut = joined.mapInArrow(run, f"{fields}, n_words bigint, n_removed bigint")
+    return cut.where("n_removed = 0 or n_removed < n_words").select(*columns)
 
 
 def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     texts = batch.column("text").to_pylist()
     words = words_of(batch.column("text"))
     keys = signed(_keys(words.hashes(), words)[0])
-    removed: list[list[dict]] = [[] for _ in texts]
+    removed = [0] * len(texts)
     for i, found in enumerate(batch.column("of_key").to_pylist()):
         spans = next((x["spans"] for x in found or () if x["key"] == keys[i]), None)
         if spans and texts[i]:
@@ -358,13 +358,13 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
             for s in spans:
                 kept.append(raw[at : words.start[first + s["start"]] - base])
                 at = words.end[first + s["end"] - 1] - base
-            texts[i], removed[i] = b"".join([*kept, raw[at:]]).decode(), spans
+            texts[i] = b"".join([*kept, raw[at:]]).decode()
+            removed[i] = sum(s["end"] - s["start"] for s in spans)
     names = [x for x in batch.schema.names if x != "of_key"]
     made = {"text": pa.array(texts, batch.schema.field("text").type)}
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     columns = [made.get(x, batch.column(x)) for x in names]
-    columns += [pa.array(words.counts, pa.int64()), pa.array(removed, kind)]
-    return pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "spans"])
+    columns += [pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "n_removed"])
 
 
 def digest(docs: DataFrame, method: Method) -> DataFrame:

@@ -60,5 +60,5 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def drop_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without their repeated words, with n_words and the spans that went."""
+    """The documents without their repeated words; those of which no word is left go."""
     return without_repeats(docs, method(window, min(GRAM, window)))

@@ -1,11 +1,10 @@
-"""Small helpers shared by the operators: reading tables, naming columns, Arrow passes."""
+"""Small helpers shared by the operators: reading and storing tables, naming columns."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scale import ensure_checkpoint_dir
@@ -19,29 +18,20 @@ def stored(df: DataFrame) -> DataFrame:
     """Write rows as a compact table in the shared checkpoint folder and read them from there."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    import uuid
-
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_pass(
-    df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """``mapInArrow`` with a function for one batch."""
-
-    def run(batches):
-        for batch in batches:
-            yield from rows(batch)
+def shielded(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """The table with all columns but the used ones under names of their own, and the way back.
 
-    return df.mapInArrow(run, schema)
+    Columns that an operator adds can then not clash with those that the caller has.
+    """
+    names = {c: c if c in used else f"kept_{i}__" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return inner, [F.col(n).alias(c) for c, n in names.items()]
 
 
 def pieces(total: int, each: int) -> int:
     return max(1, -(-int(total) // each))
-
-
-def ids(name: str):
-    """An id column as long; anything that is no number becomes null."""
-    return F.col(name).try_cast("long")
