@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
@@ -10,7 +10,7 @@ from ..functions.outputs import normalize_answer
 from .dependency import codependency_topk
 from .entities import expand_aliases
 from .pairs import symmetric_closure
-from .topk import top_k
+from .scale import broadcast_if_small, cut_lineage
 
 
 def score_answers(answers: DataFrame) -> DataFrame:
@@ -42,54 +42,103 @@ def seeded_number(*parts: Column | str) -> Column:
 
 
 def numbered(genes: DataFrame) -> DataFrame:
-    """(grp, gene, idx): distinct genes numbered from 0 by group and name."""
-    rows = genes.select("grp", "gene").distinct().orderBy("grp", "gene")
-    indexed = rows.rdd.zipWithIndex().map(lambda r: (r[0]["grp"], r[0]["gene"], r[1]))
-    return genes.sparkSession.createDataFrame(indexed, "grp string, gene string, idx long")
+    """(grp, gene, pos): distinct genes numbered from 0 inside their group by name.
+
+    The rows are sorted in parts and each part counted; only the counts of the parts are summed in
+    one place, so a group with all genes is no single task.
+    """
+    rows = genes.select("grp", "gene").where("grp is not null and gene is not null").distinct()
+    placed = cut_lineage(
+        rows.orderBy("grp", "gene").withColumn("row", F.monotonically_increasing_id())
+    ).select("grp", "gene", F.shiftright("row", 33).alias("part"), F.expr("row & 8589934591").alias("k"))
+    before, parts = 0, []
+    for r in placed.groupBy("part").count().orderBy("part").collect():
+        parts.append((r["part"], before))
+        before += r["count"]
+    offsets = genes.sparkSession.createDataFrame(parts, "part long, before long")
+    at = placed.join(F.broadcast(offsets), "part").select(  # a row for each part of the sort
+        "grp", "gene", (F.col("before") + F.col("k")).alias("at")
+    )
+    start = at.groupBy("grp").agg(F.min("at").alias("start"))
+    return at.join(broadcast_if_small(start), "grp").select(
+        "grp", "gene", (F.col("at") - F.col("start")).alias("pos")
+    )
 
 
 def drawn_negatives(
-    positives: DataFrame, groups: DataFrame, seed: int, draws: int = 8, per_pair: int = 1
+    positives: DataFrame, groups: DataFrame, seed: int, per_pair: int = 1
 ) -> DataFrame:
     """(gene_a, gene_b, negative): for each positive pair, other genes drawn from a group.
 
-    ``groups`` is (grp, gene). Genes are numbered within their group and a seeded number points at
-    one of them, so a draw is an equality join and no pairs of a group are formed. Drawn positives
-    and repeats are dropped.
+    ``groups`` is (grp, gene). Of the groups that hold gene_a and some gene that is neither gene_a
+    nor a known partner, the seed picks one, and in it ``per_pair`` of those free genes. A draw is
+    a number below the count of free genes, moved past the taken positions before it, so it always
+    succeeds. A pair whose gene is in a group but has no free gene in any gets one row with NULL;
+    pairs whose gene is in no group give no row.
     """
-    index = numbered(groups)
-    span = index.groupBy("grp").agg(F.min("idx").alias("start"), F.count("*").alias("size"))
-    home = index.groupBy("gene").agg(F.min("grp").alias("grp"))
-    closure = symmetric_closure(positives)
-    number = seeded_number(F.lit(str(seed)), "gene_a", "gene_b", F.col("draw").cast("string"))
-    tries = (
-        positives.select("gene_a", "gene_b").distinct()
-        .join(home.withColumnRenamed("gene", "gene_a"), "gene_a")
-        .join(span, "grp")
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("idx", F.col("start") + number % F.col("size"))
-    )
-    found = (
-        tries.join(index.select("idx", F.col("gene").alias("negative")), "idx")
-        .where(F.col("negative") != F.col("gene_a"))
-        .join(
-            closure.select("gene_a", F.col("gene_b").alias("negative")),
-            ["gene_a", "negative"],
-            "left_anti",
+    index = cut_lineage(numbered(groups))
+    asked = positives.select("gene_a", "gene_b").where("gene_a is not null").distinct()
+    member = index.select(F.col("gene").alias("gene_a"), "grp").join(
+        asked.select("gene_a").distinct(), "gene_a"
+    )
+    known = symmetric_closure(positives).select("gene_a", F.col("gene_b").alias("gene"))
+    own = asked.select("gene_a", F.col("gene_a").alias("gene"))
+    taken = cut_lineage(
+        member.join(known.unionByName(own).distinct(), "gene_a").join(index, ["grp", "gene"])
+        .select("gene_a", "grp", "pos")
+    )
+    sizes = index.groupBy("grp").agg(F.count("*").alias("size"))
+    by_gene = Window.partitionBy("gene_a")
+    options = (
+        taken.groupBy("gene_a", "grp").agg(F.count("*").alias("n_taken"))
+        .join(broadcast_if_small(sizes), "grp")
+        .withColumn("free", F.col("size") - F.col("n_taken"))
+        .where("free > 0")
+        # as many rows as a gene has groups
+        .withColumn("option", F.row_number().over(by_gene.orderBy("grp")) - 1)
+        .withColumn("n_options", F.count("*").over(by_gene))
+        .select("gene_a", "grp", "free", "option", "n_options")
+    )
+    number = seeded_number(F.lit(str(seed)), "gene_a", "gene_b")
+    pick = seeded_number(F.lit(str(seed)), F.lit("group"), "gene_a", "gene_b")
+    draws = (
+        asked.join(options, "gene_a")
+        .where(F.col("option") == pick % F.col("n_options"))
+        .withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.lit(per_pair), "free") - 1)))
+        .select(
+            "gene_a", "gene_b", "grp", ((number + F.col("k")) % F.col("free")).alias("value"),
+            F.lit(1).alias("is_draw"),
         )
-        .groupBy("gene_a", "gene_b", "negative")
-        .agg(F.min("draw").alias("draw"))
     )
-    return top_k(found, per_pair, ["gene_a", "gene_b"], [F.asc("draw")], "n").select(
-        "gene_a", "gene_b", "negative"
+    in_order = Window.partitionBy("gene_a", "grp").orderBy("pos")
+    before = taken.select(
+        "gene_a", F.lit(None).cast("string").alias("gene_b"), "grp",
+        (F.col("pos") - F.row_number().over(in_order) + 1).alias("value"), F.lit(0).alias("is_draw"),
+    )
+    # a running count of the taken positions at or before each draw
+    so_far = Window.partitionBy("gene_a", "grp").orderBy("value", "is_draw").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    drawn = (
+        draws.unionByName(before)
+        .withColumn("passed", F.sum(1 - F.col("is_draw")).over(so_far))
+        .where("is_draw = 1")
+        .select("gene_a", "gene_b", "grp", (F.col("value") + F.col("passed")).alias("pos"))
+        .join(index.withColumnRenamed("gene", "negative"), ["grp", "pos"])
+        .select("gene_a", "gene_b", "negative")
+    )
+    in_groups = asked.join(member.select("gene_a").distinct(), "gene_a", "left_semi")
+    none = in_groups.join(options.select("gene_a").distinct(), "gene_a", "left_anti").select(
+        "gene_a", "gene_b", F.lit(None).cast("string").alias("negative")
     )
+    return drawn.unionByName(none)
 
 
 def random_negatives(
-    positives: DataFrame, genes: DataFrame, seed: int = 0, draws: int = 8, per_pair: int = 1
+    positives: DataFrame, genes: DataFrame, seed: int = 0, per_pair: int = 1
 ) -> DataFrame:
     everyone = genes.select(F.lit("all").alias("grp"), "gene")
-    return drawn_negatives(positives, everyone, seed, draws, per_pair)
+    return drawn_negatives(positives, everyone, seed, per_pair)
 
 
 def correlated_negatives(

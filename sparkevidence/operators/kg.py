@@ -222,8 +222,10 @@ def gene_evidence(
         }).alias("content"),
         score.alias("score"),
     )
-    one = genes.groupBy(F.col("symbol").alias("gene")).agg(
-        *[F.min(c).alias(c) for c in ("name", "function", "pathway", "essentiality_score")]
+    # one whole record for each symbol, the first in order of its fields
+    record = F.struct("name", "function", "pathway", "essentiality_score")
+    one = genes.groupBy(F.col("symbol").alias("gene")).agg(F.min(record).alias("r")).select(
+        "gene", "r.*"
     )
     info_rows = asked.join(one, "gene").select(
         "query_id", "pos", F.lit(10_000).alias("n"), "gene",

@@ -295,24 +295,28 @@ def gene_lookup(spark, sf_dir):
 # ---------------------------------------------------------------- negatives
 
 
-_NUMBER = "('0x' || left(md5('7|' || gene_a || '|' || gene_b || '|' || draw), 8))::bigint"
+def _number(*parts: str) -> str:
+    return "('0x' || left(md5('7|' || " + " || '|' || ".join(parts) + "), 8))::bigint"
 
 
 def _negatives(groups: str) -> str:
+    """The seeded gene among all of a seeded group that are neither the gene nor a known partner."""
     return f"""
     with {sql.pairs()}, {sql.CLOSURE}, groups as ({groups}),
-    idx as (select grp, gene, row_number() over (order by grp, gene) - 1 as idx from groups),
-    span as (select grp, min(idx) as start, count(*) as size from idx group by grp),
-    home as (select gene, min(grp) as grp from idx group by gene),
-    tries as (select gene_a, gene_b, draw, start + {_NUMBER} % size as idx
-      from (select distinct gene_a, gene_b from pairs) p join home h on h.gene = gene_a
-        join span using (grp), (select unnest(range(1, 9)) as draw)),
-    found as (select t.gene_a, t.gene_b, i.gene as negative, min(draw) as draw
-      from tries t join idx i using (idx)
-      where i.gene <> t.gene_a and (t.gene_a, i.gene) not in (select (gene_a, gene_b) from closure)
-      group by all)
-    select gene_a, gene_b, negative from (select *, row_number() over
-      (partition by gene_a, gene_b order by draw) as r from found) where r = 1"""
+    asked as (select distinct gene_a, gene_b from pairs),
+    free as (select a.gene_a, g.grp, m.gene as negative,
+        row_number() over (partition by a.gene_a, g.grp order by m.gene) - 1 as place,
+        count(*) over (partition by a.gene_a, g.grp) as n
+      from (select distinct gene_a from asked) a join groups g on g.gene = a.gene_a join groups m using (grp)
+      where m.gene <> a.gene_a and (a.gene_a, m.gene) not in (select (gene_a, gene_b) from closure)),
+    options as (select *, row_number() over (partition by gene_a order by grp) - 1 as option,
+        count(*) over (partition by gene_a) as n_options
+      from (select distinct gene_a, grp, n from free)),
+    drawn as (select gene_a, gene_b, grp, {_number("gene_a", "gene_b")} % n as place
+      from asked join options using (gene_a) where option = {_number("'group'", "gene_a", "gene_b")} % n_options)
+    select gene_a, gene_b, negative from drawn join free using (gene_a, grp, place)
+    union all select gene_a, gene_b, null from asked
+    where gene_a in (select gene from groups) and gene_a not in (select gene_a from options)"""
 
 
 @query("negatives_random", _negatives("select distinct 'all' as grp, 'G' || (l_partkey % 100) as gene from lineitem"))
@@ -478,11 +482,14 @@ def lethality_partners(spark, sf_dir):
     o as (select gene_a as gene, gene_b as partner, * from lethality
           union all select gene_b, gene_a, * from lethality),
     b as (select *, row_number() over (partition by gene order by sl_score desc nulls last, partner, source) as n from o),
-    g as (select 'G' || (p_partkey % 100) as gene, min(p_name) as name, min(p_type) as function, min(p_brand) as pathway,
-            min(p_size::double) as score from part group by 1)
+    g as (select 'G' || (p_partkey % 100) as gene, min(row(p_name, p_type, p_brand, p_size::double)) as r from part group by 1)
     select query_id, pos, n, gene, case when sl_score = 0 then 0.8 else sl_score end as score,
-      round(sl_score, 4)::varchar is not null as has_score from q join b using (gene) where n <= 3
-    union all select query_id, pos, 10000, gene, 0.9::double, true from q join g using (gene)""")
+      md5('Synthetic Lethality: ' || gene_a || ' ↔ ' || gene_b || chr(10) || 'SL Score: ' || sl_score::double || chr(10)
+        || 'Evidence: ' || evidence_type || chr(10) || case when pmid <> '' then 'PMID: ' || pmid || chr(10) else '' end
+        || '[Source: ' || source || ']') as digest from q join b using (gene) where n <= 3
+    union all select query_id, pos, 10000, gene, 0.9::double,
+      md5('Gene: ' || gene || ' (' || r[1] || ')' || chr(10) || 'Function: ' || r[2] || chr(10) || 'Pathway: ' || r[3] || chr(10)
+        || 'Essentiality Score: ' || r[4] || chr(10) || '[Source: External KG]') from q join g using (gene)""")
 def gene_evidence(spark, sf_dir):
     genes = testbed.table(spark, sf_dir, "part").select(
         testbed.gene_of("p_partkey").alias("symbol"), F.col("p_name").alias("name"),
@@ -492,7 +499,7 @@ def gene_evidence(spark, sf_dir):
     asked = pairs.query_symbols(_gene_questions(spark, sf_dir), 10)
     out = kg.gene_evidence(asked, _lethality(spark, sf_dir), genes, 3)
     return out.select(
-        "query_id", "pos", "n", "gene", "score", F.col("content").isNotNull().alias("has_score")
+        "query_id", "pos", "n", "gene", "score", F.md5("content").alias("digest")
     )
 
 

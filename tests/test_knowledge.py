@@ -120,15 +120,31 @@ def test_partner_document_counts_a_hub_whole(spark):
 def test_negatives_avoid_known_pairs(spark):
     known = spark.createDataFrame([("A", "B"), ("A", "C"), ("D", "E")], "gene_a string, gene_b string")
     genes = spark.createDataFrame([(g,) for g in "ABCDEFGH"], "gene string")
-    out = evaluate.random_negatives(known, genes, seed=1, draws=40, per_pair=2).collect()
+    out = evaluate.random_negatives(known, genes, seed=1, per_pair=2).collect()
     assert len(out) == 6
     for r in out:
         assert r["negative"] != r["gene_a"] and (r["gene_a"], r["negative"]) not in {("A", "B"), ("A", "C"), ("D", "E")}
     groups = spark.createDataFrame([("x", g) for g in "ABCF"] + [("y", g) for g in "DEGH"], "grp string, gene string")
-    for r in evaluate.drawn_negatives(known, groups, 1, 60).collect():
+    drawn = evaluate.drawn_negatives(known, groups, 1, 60).collect()
+    assert len(drawn) == 4  # F twice for A, and both G and H for D
+    for r in drawn:
         assert (r["negative"] == "F") if r["gene_a"] == "A" else (r["negative"] in "GH")
 
 
+def test_every_pair_gets_a_negative_if_there_is_one(spark):
+    genes = [f"g{i:02d}" for i in range(40)]
+    known = [("g00", g) for g in genes[1:39]] + [("g05", "g06"), ("g39", "x"), ("lone", "g01"), ("full", "p1")]
+    groups = [("all", g) for g in genes] + [("z", "g05"), ("z", "g06"), ("f", "full"), ("f", "p1")]
+    out = evaluate.drawn_negatives(
+        spark.createDataFrame(known, "gene_a string, gene_b string"),
+        spark.createDataFrame(groups, "grp string, gene string"), seed=3,
+    ).collect()
+    got = {(r["gene_a"], r["gene_b"]): r["negative"] for r in out}
+    assert len(out) == len(got) and set(got) == {p for p in known if p[0] != "lone"}
+    assert {n for (a, _), n in got.items() if a == "g00"} == {"g39"}
+    assert got[("full", "p1")] is None and got[("g05", "g06")] not in ("g05", "g06", "g00", None)
+
+
 def test_substring_join_is_exact(spark):
     rnd = random.Random(4)
     names = ["".join(rnd.choices("ab-", k=rnd.randint(1, 9))) for _ in range(120)]
