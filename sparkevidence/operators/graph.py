@@ -74,20 +74,28 @@ def nodes_of(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return ends.distinct().withColumns({"type": F.lit("Entity"), "name": F.col("id")})
 
 
-def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """Add nodes; a new row replaces the stored one with the same id."""
-    both = nodes.withColumn("_new", F.lit(0)).unionByName(
+def _upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """New rows replace stored ones with the same keys; of several new ones the last in order."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(
         new.withColumn("_new", F.lit(1)), allowMissingColumns=True
     )
-    return top_k(both, 1, ["id"], [F.desc("_new")], "_n").drop("_n", "_new")
+    last = [F.desc("_new"), *[F.desc_nulls_last(c) for c in order]]
+    extra = [c for c in order if c not in old.columns]
+    return top_k(both, 1, keys, last, "_n").drop("_n", "_new", *extra)
 
 
-def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """Add edges; a new row replaces the stored one between the same nodes."""
-    both = edges.withColumn("_new", F.lit(0)).unionByName(
-        new.withColumn("_new", F.lit(1)), allowMissingColumns=True
-    )
-    return top_k(both, 1, ["src", "dst"], [F.desc("_new")], "_n").drop("_n", "_new")
+def upsert_nodes(nodes: DataFrame, new: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Add nodes; the last new row for an id, by the ``order`` columns, replaces the stored one.
+
+    Without ``order`` the greatest values of the other columns win, so that results repeat.
+    """
+    return _upsert(nodes, new, ["id"], order or [c for c in new.columns if c != "id"])
+
+
+def upsert_edges(edges: DataFrame, new: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Add edges; the last new row between two nodes, by ``order``, replaces the stored one."""
+    rest = [c for c in new.columns if c not in ("src", "dst")]
+    return _upsert(edges, new, ["src", "dst"], order or rest)
 
 
 # ---------------------------------------------------------------- validation

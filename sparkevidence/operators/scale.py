@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,22 +21,23 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
-def broadcast_within(df: DataFrame, bound: int, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a narrow table whose row count is known to be at most ``bound``."""
-    return F.broadcast(df) if bound <= rows else df
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use ``spark.checkpoint.dir``; where it is unset, a folder inside the warehouse directory.
+
+    Both are shared by the driver and all executors on a cluster.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkevidence-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables that this session's jobs have written with ``cut_lineage``."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/tables")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -55,9 +55,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan that has fewer splits than the session has cores.
+    """Deal the rows of a single split to all cores.
 
-    On large inputs the scan already has more splits than cores and nothing is shuffled.
+    Only a scan of one split, a file too small to be divided, is shuffled; every larger input is
+    read by as many tasks as it has splits.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() > 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

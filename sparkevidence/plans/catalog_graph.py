@@ -148,22 +148,50 @@ def validate_triplets(spark, sf_dir):
 
 
 @query("graph_upsert", f"""
-    with {sql.PLACES}, {EDGES},
-    new as (select upper(c_name) as src, upper(n_name) as dst, c_mktsegment as relationship
-      from customer join nation on c_nationkey = n_nationkey where c_acctbal < 0)
-    select src, dst, coalesce(new.relationship, edges.relationship) as relationship
-    from edges full join new using (src, dst)""")
+    with {sql.TRIPLES}, all_edges as (select x_name as src, y_name as dst, display_relation as relationship from triples),
+    new as (select upper(c_name) as src, 'PART#' || l_partkey as dst,
+        arg_max('ordered in ' || l_returnflag, (l_orderkey, l_linenumber)) as relationship
+      from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+      where l_returnflag <> 'N' group by all)
+    select src, dst, coalesce(new.relationship, e.relationship) as relationship
+    from all_edges e full join new using (src, dst)""")
 def graph_upsert(spark, sf_dir):
-    """Edges of customers in debt renamed by an upsert."""
+    """Edges of returned or accepted order lines renamed; the last line of a pair of nodes counts."""
+    lines = testbed.table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") != "N")
     new = (
-        testbed.table(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0)
-        .join(testbed.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        lines.join(testbed.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(testbed.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
-            F.upper("c_name").alias("src"), F.upper("n_name").alias("dst"),
-            F.col("c_mktsegment").alias("relationship"),
+            F.upper("c_name").alias("src"), testbed.part_name("l_partkey").alias("dst"),
+            F.concat(F.lit("ordered in "), "l_returnflag").alias("relationship"),
+            "l_orderkey", "l_linenumber",
         )
     )
-    return graph.upsert_edges(_edges(spark, sf_dir), new)
+    edges = testbed.triples(spark, sf_dir).select(
+        F.col("x_name").alias("src"), F.col("y_name").alias("dst"),
+        F.col("display_relation").alias("relationship"),
+    )
+    return graph.upsert_edges(edges, new, ["l_orderkey", "l_linenumber"])
+
+
+@query("node_upsert", f"""
+    with {sql.TRIPLES}, n as (select x_name as id, x_type as type from triples union select y_name, y_type from triples),
+    new as (select 'PART#' || l_partkey as id, arg_max(l_returnflag, (l_orderkey, l_linenumber)) as type
+      from lineitem group by all)
+    select id, coalesce(new.type, n.type) as type, coalesce(case when new.id is null then lower(n.id) end, 'part') as name
+    from n full join new using (id)""")
+def node_upsert(spark, sf_dir):
+    """Parts typed by the flag of their last order line."""
+    t = testbed.triples(spark, sf_dir)
+    nodes = (
+        t.select(F.col("x_name").alias("id"), F.col("x_type").alias("type"))
+        .union(t.select("y_name", "y_type")).distinct().withColumn("name", F.lower("id"))
+    )
+    new = testbed.table(spark, sf_dir, "lineitem").select(
+        testbed.part_name("l_partkey").alias("id"), F.col("l_returnflag").alias("type"),
+        F.lit("part").alias("name"), "l_orderkey", "l_linenumber",
+    )
+    return graph.upsert_nodes(nodes, new, ["l_orderkey", "l_linenumber"])
 
 
 # ---------------------------------------------------------------- traversal
