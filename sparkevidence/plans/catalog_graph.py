@@ -8,7 +8,7 @@ from ..operators import graph
 from . import sql, testbed
 from .registry import query
 
-EDGES = "edges as (select x_name as src, y_name as dst, display_relation as relationship from places)"
+EDGES = "edges as (select x_name as src, y_name as dst, display_relation as relationship from triples)"
 BOTH = """both_ways as (select src as node, dst as next from edges
     union select dst, src from edges)"""
 # every region and nation stands for a question about the nodes around it
@@ -27,7 +27,7 @@ def _seeds(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    return testbed.place_edges(spark, sf_dir)
+    return testbed.triple_edges(spark, sf_dir)
 
 
 # ---------------------------------------------------------------- building
@@ -167,11 +167,7 @@ def graph_upsert(spark, sf_dir):
             "l_orderkey", "l_linenumber",
         )
     )
-    edges = testbed.triples(spark, sf_dir).select(
-        F.col("x_name").alias("src"), F.col("y_name").alias("dst"),
-        F.col("display_relation").alias("relationship"),
-    )
-    return graph.upsert_edges(edges, new, ["l_orderkey", "l_linenumber"])
+    return graph.upsert_edges(_edges(spark, sf_dir), new, ["l_orderkey", "l_linenumber"])
 
 
 @query("node_upsert", f"""
@@ -182,23 +178,18 @@ def graph_upsert(spark, sf_dir):
     from n full join new using (id)""")
 def node_upsert(spark, sf_dir):
     """Parts typed by the flag of their last order line."""
-    t = testbed.triples(spark, sf_dir)
-    nodes = (
-        t.select(F.col("x_name").alias("id"), F.col("x_type").alias("type"))
-        .union(t.select("y_name", "y_type")).distinct().withColumn("name", F.lower("id"))
-    )
     new = testbed.table(spark, sf_dir, "lineitem").select(
         testbed.part_name("l_partkey").alias("id"), F.col("l_returnflag").alias("type"),
         F.lit("part").alias("name"), "l_orderkey", "l_linenumber",
     )
-    return graph.upsert_nodes(nodes, new, ["l_orderkey", "l_linenumber"])
+    return graph.upsert_nodes(testbed.triple_nodes(spark, sf_dir), new, ["l_orderkey", "l_linenumber"])
 
 
 # ---------------------------------------------------------------- traversal
 
 
 @query("find_seeds", f"""
-    with {sql.PLACES}, {EDGES}, nodes as (select src as node from edges union select dst from edges),
+    with {sql.TRIPLES}, {EDGES}, nodes as (select src as node from edges union select dst from edges),
     q as (select s_suppkey as query_id, s_name as gene, 'about nation_1 or asia' as query from supplier
       union all select -1 - n_nationkey, n_name || ' gene', 'about ' || n_name || ' or asia' from nation),
     named as (select distinct query_id, node from q join nodes on node = upper(gene)),
@@ -221,12 +212,12 @@ def find_seeds(spark, sf_dir):
     asked = supplier.unionByName(nation)
     return graph.find_seeds(
         asked.select("query_id", "gene"), asked.select("query_id", "query"),
-        testbed.place_nodes(spark, sf_dir),
+        testbed.triple_nodes(spark, sf_dir),
     )
 
 
 @query("find_seeds_loose", f"""
-    with {sql.PLACES}, {EDGES}, nodes as (select src as node from edges union select dst from edges),
+    with {sql.TRIPLES}, {EDGES}, nodes as (select src as node from edges union select dst from edges),
     e as (select n_nationkey::bigint as query_id, upper(n_name) as e from nation
       union all select 100 + r_regionkey, upper(r_name) || ' MARKET' from region)
     select distinct query_id, node from e join nodes on contains(upper(node), e) or contains(e, upper(node))""")
@@ -239,11 +230,11 @@ def find_seeds_loose(spark, sf_dir):
             F.concat("r_name", F.lit(" market")).alias("entity"),
         )
     )
-    return graph.find_seeds_loose(asked, testbed.place_nodes(spark, sf_dir))
+    return graph.find_seeds_loose(asked, testbed.triple_nodes(spark, sf_dir))
 
 
 _REACH = f"""
-    with recursive {sql.PLACES}, {EDGES}, {BOTH}, {SEEDS},
+    with recursive {sql.TRIPLES}, {EDGES}, {BOTH}, {SEEDS},
     walk as (select query_id, node, 0 as hop from seeds
       union select w.query_id, b.next, w.hop + 1 from walk w join both_ways b using (node) where w.hop < 2),
     reached as (select query_id, node, min(hop) as hop from walk group by all)"""
@@ -279,7 +270,7 @@ def graph_relevance(spark, sf_dir):
 
 
 @query("graph_paths", f"""
-    with recursive {sql.PLACES}, e0 as (select x_name as src, y_name as dst, display_relation as relationship from places),
+    with recursive {sql.TRIPLES}, e0 as (select x_name as src, y_name as dst, display_relation as relationship from triples),
     edges as (select * from e0 union all
       select upper(n_name), upper(s_name), 'hosts' from nation join supplier on s_nationkey = n_nationkey),
     asked as (select upper(s_name) as source, upper(r_name) as target from supplier, region),
@@ -307,7 +298,7 @@ def graph_paths(spark, sf_dir):
 
 
 @query("graph_neighbours", f"""
-    with {sql.PLACES}, {EDGES}, {SEEDS}
+    with {sql.TRIPLES}, {EDGES}, {SEEDS}
     select distinct node, 'outgoing' as direction, relationship, dst as neighbour from seeds join edges on src = node
     union all select distinct node, 'incoming', relationship, src from seeds join edges on dst = node""")
 def graph_neighbours(spark, sf_dir):
@@ -318,7 +309,7 @@ def graph_neighbours(spark, sf_dir):
 
 
 _CONTEXT = f"""
-    nodes as (select x_name as id, x_type as type from places union select y_name, y_type from places),
+    nodes as (select x_name as id, x_type as type from triples union select y_name, y_type from triples),
     sides as (select src as node, 0 as way, dst as other, relationship from edges
       union all select dst, 1, src, relationship from edges),
     k as (select *, row_number() over (partition by node, way order by other, relationship) as n from sides),
@@ -330,11 +321,11 @@ _CONTEXT = f"""
 
 
 @query("node_context", f"""
-    with {sql.PLACES}, {EDGES}, {SEEDS}, {_CONTEXT}
+    with {sql.TRIPLES}, {EDGES}, {SEEDS}, {_CONTEXT}
     select distinct node, content from seeds join ctx using (node)""")
 def node_context(spark, sf_dir):
     return graph.node_context(
-        _seeds(spark, sf_dir), _edges(spark, sf_dir), testbed.place_nodes(spark, sf_dir)
+        _seeds(spark, sf_dir), _edges(spark, sf_dir), testbed.triple_nodes(spark, sf_dir)
     )
 
 
@@ -353,13 +344,13 @@ def graph_search(spark, sf_dir):
     found = graph.graph_search(
         asked.select("query_id", F.col("node").alias("gene")),
         asked.select("query_id", F.lower("node").alias("query")),
-        _edges(spark, sf_dir), testbed.place_nodes(spark, sf_dir),
+        _edges(spark, sf_dir), testbed.triple_nodes(spark, sf_dir),
     )
     return found.select("query_id", "node", "hop", "score", "rank", F.md5("content").alias("digest"))
 
 
 _LINES = f"""
-    with {sql.PLACES}, {EDGES}, {SEEDS},
+    with {sql.TRIPLES}, {EDGES}, {SEEDS},
     sides as (select src as node, 0 as way, dst as other, src || ' --[' || relationship || ']--> ' || dst as line from edges
       union all select dst, 1, src, src || ' --[' || relationship || ']--> ' || dst from edges),
     f as (select query_id, line, min((node, way, other)) as seen from seeds join sides using (node) group by all),
@@ -378,7 +369,7 @@ def graph_context(spark, sf_dir):
 
 
 @query("graph_insights", f"""
-    with {sql.PLACES}, {EDGES}, {SEEDS},
+    with {sql.TRIPLES}, {EDGES}, {SEEDS},
     l as (select *, src || ' --[' || relationship || ']--> ' || dst as line from edges),
     o as (select query_id, dst as next, line from seeds join l on src = node),
     i as (select query_id, src as next, line from seeds join l on dst = node)

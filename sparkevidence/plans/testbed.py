@@ -1,6 +1,6 @@
 """The driver's tables seen as domain inputs: corpus, questions, scores, pairs and triples.
 
-The oracle side builds the same inputs in SQL, see ``oracle.py``.
+The comparison side builds the same inputs in SQL, see ``sql.py``.
 """
 
 from __future__ import annotations
@@ -202,15 +202,15 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trade_triples(spark, sf_dir).unionByName(place_triples(spark, sf_dir))
 
 
-def place_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place_triples(spark, sf_dir).select(
+def triple_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triples(spark, sf_dir).select(
         F.col("x_name").alias("src"), F.col("y_name").alias("dst"),
         F.col("display_relation").alias("relationship"),
     )
 
 
-def place_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = place_triples(spark, sf_dir)
+def triple_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triples(spark, sf_dir)
     ends = t.select(F.col("x_name").alias("id"), F.col("x_type").alias("type")).unionByName(
         t.select(F.col("y_name").alias("id"), F.col("y_type").alias("type"))
     )
