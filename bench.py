@@ -14,6 +14,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from sparkevidence.operators.scale import drop_stored
 from sparkevidence.plans import catalog
 
 HEADLINE = (
@@ -59,6 +60,7 @@ def main() -> None:
     for name in names:
         cold[name] = timed(spark, name, sf_dir)
         warm[name] = timed(spark, name, sf_dir)
+    drop_stored(spark)
     spark.stop()
     print(
         json.dumps({

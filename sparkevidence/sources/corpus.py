@@ -22,8 +22,8 @@ BENCHMARK_SCHEMA = """
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, content, metadata columns) from JSON lines ``{text, metadata}``.
 
-    A file without ``doc_id`` gets ids by position in the scan. Write such a corpus out once and
-    search the written table, so that ids stay the same.
+    A row without ``doc_id`` gets an id from its text and metadata, so a file read again, in other
+    splits, gives the same ids. Equal rows get equal ids.
     """
     raw = spark.read.schema(CORPUS_SCHEMA).json(path)
     return flatten_corpus(raw)
@@ -36,7 +36,7 @@ def flatten_corpus(raw: DataFrame) -> DataFrame:
         "is_web", "is_synthetic",
     )
     return raw.select(
-        F.coalesce("doc_id", F.monotonically_increasing_id()).alias("doc_id"),
+        F.coalesce("doc_id", F.xxhash64("text", F.to_json("metadata"))).alias("doc_id"),
         F.col("text").alias("content"),
         *[m[f].alias(f) for f in fields],
         m["source"].alias("source_name"),

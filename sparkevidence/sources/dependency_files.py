@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections import Counter
 
 from pyspark.errors import AnalysisException
@@ -28,6 +29,9 @@ CELL_LINE_COLUMNS = {
 }
 
 
+_COMMA_OUTSIDE_QUOTES = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def _first_existing(df: DataFrame, spec: dict[str, tuple[tuple[str, ...], str]]) -> list[Column]:
     """One column for each name, from the first header that exists; its blanks stay blank."""
     out = []
@@ -42,20 +46,22 @@ def read_dependency_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(gene, cell_line, score) from a wide CSV with a ``SYMBOL (ID)`` column for each gene.
 
     Lines are split and exploded against the header, so the width of the matrix is data and not
-    plan size. Values that are no numbers are dropped. For a symbol that heads several columns the
+    plan size. Commas inside quotes part nothing. Values that are no numbers are dropped. For a symbol that heads several columns the
     last one with a value wins.
     """
     lines = spark.read.text(path)
     first = lines.first()
     if first is None:
         return spark.createDataFrame([], "gene string, cell_line string, score double")
-    header = [h.strip().strip('"') for h in first["value"].split(",")]
+    header = [h.strip() for h in next(csv.reader([first["value"]], skipinitialspace=True))]
     id_pos = header.index("DepMap_ID") if "DepMap_ID" in header else header.index("")
     columns = [
         (i, h.split(" ")[0].strip()) for i, h in enumerate(header) if h not in ("DepMap_ID", "")
     ]
     genes = spark.createDataFrame(columns, "pos int, gene string")
-    values = F.split(F.col("value"), ",", -1)
+    values = F.when(
+        F.contains("value", F.lit('"')), F.split(F.col("value"), _COMMA_OUTSIDE_QUOTES, -1)
+    ).otherwise(F.split(F.col("value"), ",", -1))
     cells = (
         lines.where((F.col("value") != first["value"]) & (F.trim("value") != ""))
         .select(

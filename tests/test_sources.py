@@ -99,3 +99,17 @@ def test_knowledge_base_round_trip(spark, tmp_path):
     one = spark.range(1)
     dependency_files.write_knowledge_base(one, one, one, str(tmp_path / "kb"))
     assert spark.read.parquet(str(tmp_path / "kb" / "matrix")).count() == 1
+
+
+def test_quoted_commas_shift_no_column(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('DepMap_ID,"AAA (1, old)",BBB (2)\n"ACH-1, x",-0.5,0.25\nACH-2,"0.75",1\n')
+    got = {(r.gene, r.cell_line): r.score for r in dependency_files.read_dependency_matrix(spark, str(path)).collect()}
+    assert got == {("AAA", "ACH-1, x"): -0.5, ("BBB", "ACH-1, x"): 0.25, ("AAA", "ACH-2"): 0.75, ("BBB", "ACH-2"): 1.0}
+
+
+def test_ids_of_a_corpus_without_ids_repeat(spark, tmp_path):
+    path = tmp_path / "c.jsonl"
+    path.write_text('{"text": "a", "metadata": {"title": "t"}}\n{"text": "b"}\n')
+    ids = [{r.content: r.doc_id for r in corpus.read_corpus(spark, str(path)).repartition(n).collect()} for n in (1, 3)]
+    assert ids[0] == ids[1] and len(set(ids[0].values())) == 2
