@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
