@@ -8,15 +8,16 @@ The Jaccard distance of shingle sets is a metric. Two documents link at a distan
 2. Coarse regions. A single shingle is a pivot too: its nearest documents are those that hold it.
    Linked documents share at least m of the first n - ceil(0.75 n) + m shingles of each set in any
    fixed order; m is a tenth of n (one at least, and one less is asked for, against rounding). So
-   documents with fewer shared ones among those link with nothing and go, and the others are
-   replicated into the regions of their shared ones. The order puts shingles that a sample of
+   documents with fewer shared ones among those link with nothing and go, as do all copies of a
+   class but the one that holds it, and the others are replicated into the regions of their shared ones. The order puts shingles that a sample of
    ``SAMPLE_DOCS`` documents shows to be frequent last, else it goes by hash; the sample decides
    about cost only. Linked sets differ in size by a third at most, so regions are cut into bands of
    sizes, each with the next smaller one. Regions with the same members are joined once.
 3. Voronoi recursion. In each region documents become pivots, and every member's exact distance to
    them is computed. Members go to the cell of the nearest pivot; those at the boundary, with a
    distance to another cell's pivot of at most 2 radii more, are replicated into that cell. A cell
-   is a region of the next round. Documents that links already connect need no comparison: the
+   is a region of the next round; a region whose cells would hold ``SPLIT_LIMIT`` times its members
+   is no set of cells (nearly all distances are alike) and stays whole, without its pivots. Documents that links already connect need no comparison: the
    members that are not connected with the cell's most common component stay, and of the others
    those whose distance to the pivot is within a radius of theirs (triangle inequality). The number
    of pivots doubles each round. Pivots leave their region, so the recursion ends.
@@ -49,6 +50,7 @@ SHINGLE = 5
 PERCENT = 75
 RADIUS = 1 - PERCENT / 100
 TENTH = 10
+SPLIT_LIMIT = 1.5
 SAMPLE_DOCS = 10_000
 FREQUENT_IN_SAMPLE = 3
 FREQUENT_LIMIT = 200_000
@@ -153,22 +155,40 @@ class Regions:
     sets: DataFrame  # doc_id, shingles
 
 
-def _coarse_regions(docs: DataFrame, heads: DataFrame) -> Regions:
-    """Regions of the shared shingles of documents (doc_id, n, prefix) that may link at all."""
-    held = heads.select(F.explode("prefix").alias("shingle"), F.col("doc_id").alias("doc"))
-    shared = (
-        held.groupBy("shingle")
-        .agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+def _distinct_regions(members: DataFrame) -> DataFrame:
+    """Of regions with the same members (region, doc, own) one; regions of one document go."""
+    distinct = (
+        members.groupBy("region")
+        .agg(
+            F.min("doc").alias("a"),
+            F.max("doc").alias("b"),
+            F.count("*").alias("n"),
+            F.sum(F.xxhash64("doc", "own").cast("decimal(38,0)")).alias("members"),
+        )
         .where("a < b")
-        .select("shingle")
+        .groupBy("a", "b", "n", "members")
+        .agg(F.min("region").alias("region"))
+        .select("region")
     )
+    return members.join(distinct.hint("shuffle_merge"), "region").select("region", "doc", "own")
+
+
+def _coarse_regions(docs: DataFrame, profile: DataFrame, heads: DataFrame) -> Regions:
+    """Regions of the shared shingles of documents (doc_id, n, prefix) that may link at all.
+
+    ``heads`` (doc) are the documents that hold a class; the others go once texts are no matter any
+    more, so that no join moves the prefixes.
+    """
+    held = profile.select(F.explode("prefix").alias("shingle"), F.col("doc_id").alias("doc"))
+    shared = held.groupBy("shingle").count().where("count > 1").select("shingle")
     touching = stored(held.join(shared.hint("shuffle_merge"), "shingle"))
-    sizes = heads.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    sizes = profile.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     band = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100 / PERCENT)))
     live = (
         touching.groupBy("doc")
         .count()
         .join(sizes.hint("shuffle_merge"), "doc")
+        .join(heads.hint("shuffle_merge"), "doc", "left_semi")
         .where(F.col("count") >= F.greatest(F.lit(1), F.floor(F.col("low") / TENTH) - 1))
         .select("doc", F.sequence(band("low"), band("high") + 1).alias("bands"))
     )
@@ -178,22 +198,7 @@ def _coarse_regions(docs: DataFrame, heads: DataFrame) -> Regions:
         .select(F.xxhash64("shingle", "band").alias("region"), "doc")
     )
     placed = stored(placed)
-    distinct = (
-        placed.groupBy("region")
-        .agg(
-            F.min("doc").alias("a"),
-            F.max("doc").alias("b"),
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members"),
-        )
-        .where("a < b")
-        .groupBy("a", "b", "n", "members")
-        .agg(F.min("region").alias("region"))
-        .select("region")
-    )
-    members = stored(
-        placed.join(distinct.hint("shuffle_merge"), "region").select("region", "doc", F.lit(True).alias("own"))
-    )
+    members = stored(_distinct_regions(placed.withColumn("own", F.lit(True))))
     found = members.select(F.col("doc").alias("doc_id")).distinct()
     packed = docs.mapInArrow(_squeezed, "doc_id bigint, packed binary")
     sets = packed.join(found.hint("shuffle_merge"), "doc_id").mapInArrow(
@@ -233,18 +238,35 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.union(merged).groupBy("node").agg(F.min("component").alias("component")))
 
 
-def _cells(members: DataFrame, labels: DataFrame, met: DataFrame) -> DataFrame:
+def _cells(labels: DataFrame, met: DataFrame) -> DataFrame:
     """The regions of the next round from members' distances to pivots (region, doc, slot, d)."""
     near = met.groupBy("region", "doc").agg(
         F.min(F.struct("d", "slot")).alias("home"), F.collect_list(F.struct("slot", "d")).alias("all")
     )
-    own_cell = (F.col("at.slot") == F.col("home.slot")) | (
-        (F.col("at.slot") > F.col("home.slot")) & (F.col("at.d") <= F.col("home.d") + 2 * RADIUS + 1e-9)
+    near = stored(
+        near.withColumn(
+            "cells",
+            F.filter(
+                "all",
+                lambda at: (at["slot"] == F.col("home.slot"))
+                | (at["slot"] > F.col("home.slot")) & (at["d"] <= F.col("home.d") + 2 * RADIUS + 1e-9),
+            ),
+        )
+    )
+    alike = (
+        near.groupBy("region")
+        .agg((F.sum(F.size("cells")) > SPLIT_LIMIT * F.count("*")).alias("whole"), F.min("home.slot").alias("one"))
     )
+    whole = F.col("whole")
     placed = (
-        near.select("region", "doc", "home", F.explode("all").alias("at"))
-        .where(own_cell)
-        .select(F.xxhash64("region", "at.slot").alias("region"), "doc", F.col("at.d").alias("d"))
+        near.join(alike.hint("shuffle_merge"), "region")
+        .withColumn("cells", F.when(whole, F.filter("all", lambda at: at["slot"] == F.col("one"))).otherwise(F.col("cells")))
+        .select("region", "doc", "whole", F.explode("cells").alias("at"))
+        .select(
+            F.when(whole, F.col("region")).otherwise(F.xxhash64("region", "at.slot")).alias("region"),
+            "doc",
+            F.col("at.d").alias("d"),
+        )
         .join(labels.select(F.col("node").alias("doc"), "component").hint("shuffle_merge"), "doc", "left")
         .withColumn("component", F.coalesce("component", "doc"))
     )
@@ -281,7 +303,8 @@ def _linked_components(regions: Regions) -> DataFrame:
         placed = met.join(
             pivots.select("region", F.col("pivot").alias("doc")).hint("shuffle_merge"), ["region", "doc"], "left_anti"
         ).join(found.select("a", "b", "d").hint("shuffle_merge"), ["a", "b"])
-        members = stored(_cells(members, labels, placed.select("region", "doc", "slot", "d")))
+        cells = stored(_cells(labels, placed.select("region", "doc", "slot", "d")))
+        members = stored(_distinct_regions(cells))
         if not members.where("own").take(1):
             return labels
         pivots_each, step = 2 * pivots_each, step + 1
@@ -303,11 +326,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .join(classes.where("copies > 1").hint("shuffle_merge"), ["n", "key", "more"], "left")
         .select("doc_id", "n", "key", F.coalesce("first_id", "doc_id").alias("first_id"))
     )
-    copies = known.where("first_id < doc_id").select("doc_id", "n", "key").distinct()
-    heads = profile.where("doc_id is not null and n > 0").join(
-        copies.hint("shuffle_merge"), ["doc_id", "n", "key"], "left_anti"
-    ).select("doc_id", "n", "prefix")
-    labels = _linked_components(_coarse_regions(rows.where("doc_id is not null"), heads))
+    heads = known.where("first_id = doc_id").select(F.col("doc_id").alias("doc")).distinct()
+    with_set = profile.where("doc_id is not null and n > 0").select("doc_id", "n", "prefix")
+    labels = _linked_components(_coarse_regions(rows.where("doc_id is not null"), with_set, heads))
     return known.join(
         labels.select(F.col("node").alias("first_id"), "component").hint("shuffle_merge"), "first_id", "left"
     ).select(
