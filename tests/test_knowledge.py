@@ -132,17 +132,17 @@ def test_negatives_avoid_known_pairs(spark):
 
 
 def test_every_pair_gets_a_negative_if_there_is_one(spark):
-    genes = [f"g{i:02d}" for i in range(40)]
-    known = [("g00", g) for g in genes[1:39]] + [("g05", "g06"), ("g39", "x"), ("lone", "g01"), ("full", "p1")]
-    groups = [("all", g) for g in genes] + [("z", "g05"), ("z", "g06"), ("f", "full"), ("f", "p1")]
+    genes = [f"G{i:02d}" for i in range(40)]
+    known = [("G00", g) for g in genes[1:39]] + [("G05", "G06"), ("G39", "X"), ("LONE", "G01"), ("FULL", "P1")]
+    groups = [("all", g) for g in genes] + [("z", "G05"), ("z", "G06"), ("f", "FULL"), ("f", "P1")]
     out = evaluate.drawn_negatives(
         spark.createDataFrame(known, "gene_a string, gene_b string"),
         spark.createDataFrame(groups, "grp string, gene string"), seed=3,
     ).collect()
     got = {(r["gene_a"], r["gene_b"]): r["negative"] for r in out}
-    assert len(out) == len(got) and set(got) == {p for p in known if p[0] != "lone"}
-    assert {n for (a, _), n in got.items() if a == "g00"} == {"g39"}
-    assert got[("full", "p1")] is None and got[("g05", "g06")] not in ("g05", "g06", "g00", None)
+    assert len(out) == len(got) and set(got) == {p for p in known if p[0] != "LONE"}
+    assert {n for (a, _), n in got.items() if a == "G00"} == {"G39"}
+    assert got[("FULL", "P1")] is None and got[("G05", "G06")] not in ("G05", "G06", "G00", None)
 
 
 def test_substring_join_is_exact(spark):
