@@ -25,7 +25,7 @@ from sparkevidence.llm.jaccard import keep_first
 from sparkevidence.llm.langid import keep_identified
 from sparkevidence.llm.packing import pack, placed_pieces
 from sparkevidence.llm.suffixes import drop_passages
-from sparkevidence.llm.tables import stored, table
+from sparkevidence.llm.tables import small_batches, stored, table
 
 #: SQL has no way to tokenise or to learn profiles; the tests compare with brute force.
 ORACLE_SQL = None
@@ -38,22 +38,27 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return keep_identified(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return keep_first(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _counted(drop_passages(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _counted(remove_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return placed_pieces(pack(docs)).drop("ids")
 
 

@@ -12,7 +12,7 @@ from .langid import learn_and_identify
 from .packing import pack, placed_pieces
 from .substrings import repeated_substrings
 from .suffixes import repeated_passages
-from .tables import table
+from .tables import small_batches, table
 from .toxicity import score_toxicity
 from .urlfilter import filter_urls
 from .warc import archive_folder, round_trip
@@ -22,7 +22,11 @@ QUERIES, ORACLES = {}, {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

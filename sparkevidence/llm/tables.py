@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 
 from ..operators.scale import ensure_checkpoint_dir
 
+BATCH_ROWS = 1_000
+BATCH_BYTES = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in small batches: texts are long, and several workers share an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write rows as a compact table in the shared checkpoint folder and read them from there."""
     spark = df.sparkSession
