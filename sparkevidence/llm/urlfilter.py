@@ -3,7 +3,7 @@
 The rules split the URLs into accepted, rejected and open ones. Accepted and rejected URLs teach a
 variable-order Markov model each (orders 0 to ``ORDER``, interpolated by the number of different
 continuations a context has had, down to a uniform share), counted over all of them but those kept
-for calibration (a sixteenth share by the URL's md5). The score of a URL is the sum of the log
+for calibration (three sixteenths, by the URL's md5). The score of a URL is the sum of the log
 ratios of its characters and its end, over their number. The calibration URLs give the mean and
 spread of the scores of both kinds; the threshold stands between the means in proportion to the
 spreads. URLs at or above it are allowed.
