@@ -187,7 +187,7 @@ left join (select doc_id, min(c) c from reach group by 1) using (doc_id)
 
 @query("op8_jaccard_join", OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
 
 
 @query("op3_toxicity")

@@ -1,4 +1,11 @@
-"""Jaccard join of documents by their word shingles, as a metric-space join.
+"""Jaccard join of documents by their word shingles.
+
+``near_duplicates`` and ``linked_classes`` find every link between classes of equal sets: candidates
+are the pairs that sizes and the number of shared prefix shingles (step 2) leave, and each one is
+verified. A group of k near copies with different texts has up to k(k-1)/2 links, and as many are
+compared and stored. Prefix shingles meet in a window by shingle, so one task sees all holders of
+one. ``keep_first`` needs components only and takes the metric-space join below, whose search leaves
+out documents that links already connect.
 
 The Jaccard distance of shingle sets is a metric. Two documents link at a distance of at most
 ``RADIUS`` (1 - 0.75). The steps:
@@ -23,8 +30,8 @@ The Jaccard distance of shingle sets is a metric. Two documents link at a distan
    of pivots doubles each round. Pivots leave their region, so the recursion ends.
 4. Links give connected components.
 
-Only distances between members and pivots are computed; a large group of near copies costs one
-distance each. No step gathers a region: counts and minima are partial sums, and joins on a hot
+There only distances between members and pivots are computed; a large group of near copies costs one
+distance each. No step of it gathers a region: counts and minima are partial sums, and joins on a hot
 region or pivot have one row on the other side, which adaptive execution can split.
 
 Defined results: a null or empty text has an empty set and links with nothing; rows without an id
@@ -39,7 +46,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -173,6 +180,14 @@ def _distinct_regions(members: DataFrame) -> DataFrame:
     return members.join(distinct.hint("shuffle_merge"), "region").select("region", "doc", "own")
 
 
+def _sets_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The shingle sets (doc_id, shingles) of the documents in ``found`` (doc_id)."""
+    packed = docs.mapInArrow(_squeezed, "doc_id bigint, packed binary")
+    return packed.join(found.hint("shuffle_merge"), "doc_id").mapInArrow(
+        _unpacked_sets, "doc_id bigint, shingles array<bigint>"
+    )
+
+
 def _coarse_regions(docs: DataFrame, profile: DataFrame, heads: DataFrame) -> Regions:
     """Regions of the shared shingles of documents (doc_id, n, prefix) that may link at all.
 
@@ -200,11 +215,7 @@ def _coarse_regions(docs: DataFrame, profile: DataFrame, heads: DataFrame) -> Re
     placed = stored(placed)
     members = stored(_distinct_regions(placed.withColumn("own", F.lit(True))))
     found = members.select(F.col("doc").alias("doc_id")).distinct()
-    packed = docs.mapInArrow(_squeezed, "doc_id bigint, packed binary")
-    sets = packed.join(found.hint("shuffle_merge"), "doc_id").mapInArrow(
-        _unpacked_sets, "doc_id bigint, shingles array<bigint>"
-    )
-    return Regions(members, stored(sets))
+    return Regions(members, stored(_sets_of(docs, found)))
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -310,8 +321,62 @@ def _linked_components(regions: Regions) -> DataFrame:
         pivots_each, step = 2 * pivots_each, step + 1
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of documents (doc_id, text)."""
+def _links(docs: DataFrame, profile: DataFrame, heads: DataFrame) -> DataFrame:
+    """(a, b), a < b, of all documents that hold a class (``heads``: doc) and link, stored.
+
+    Two sets with c shared shingles in their prefixes share at most c and what is behind the prefix
+    that ends first; pairs for which that is too few go before any set is moved. Prefix shingles
+    with the same members are one region with their number as its weight.
+    """
+    own = profile.select(F.col("doc_id").alias("doc"), "n", "prefix").join(
+        heads.hint("shuffle_merge"), "doc", "left_semi"
+    )
+    held = own.select(F.explode("prefix").alias("shingle"), "doc", "n")
+    together = Window.partitionBy("shingle")  # one shuffle of all prefix shingles, by shingle
+    ends = held.withColumns({"low": F.min("doc").over(together), "high": F.max("doc").over(together)})
+    touching = stored(ends.where("low < high").drop("low", "high"))
+    live = (
+        touching.groupBy("doc", "n")
+        .count()
+        .where(F.col("count") >= F.greatest(F.lit(1), F.floor(F.col("n") / TENTH) - 1))
+        .select("doc", "n")
+    )
+    placed = stored(touching.join(live.hint("shuffle_merge"), ["doc", "n"]))
+    regions = (
+        placed.groupBy("shingle")
+        .agg(
+            F.min("doc").alias("a"),
+            F.max("doc").alias("b"),
+            F.count("*").alias("members"),
+            F.sum(F.xxhash64("doc", "n").cast("decimal(38,0)")).alias("all"),
+        )
+        .where("a < b")
+        .groupBy("a", "b", "members", "all")
+        .agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight"))
+        .select("shingle", "weight")
+    )
+    placed = stored(placed.join(regions.hint("shuffle_merge"), "shingle"))
+    left = placed.select("shingle", F.col("doc").alias("a"), F.col("n").alias("na"), "weight")
+    right = placed.select("shingle", F.col("doc").alias("b"), F.col("n").alias("nb"))
+    least, most = F.least("na", "nb"), F.greatest("na", "nb")
+    behind = F.ceil(PERCENT * most / 100) - F.greatest(F.lit(1), F.floor(most / TENTH))
+    candidates = (
+        left.join(right.hint("shuffle_merge"), "shingle")
+        .where((F.col("a") < F.col("b")) & (100 * least >= PERCENT * most))
+        .groupBy("a", "b", "na", "nb")
+        .agg(F.sum("weight").alias("c"))
+        .where((100 + PERCENT) * (F.col("c") + behind + 1) >= PERCENT * (F.col("na") + F.col("nb")))
+        .select("a", "b")
+        .distinct()
+    )
+    candidates = stored(candidates)
+    found = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stored(_sets_of(docs, found))
+    return stored(_distances(candidates, sets).where("linked").select("a", "b").distinct())
+
+
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents, their profiles, each one's class (doc_id, n, key, first_id), and class holders."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
     profile = stored(
@@ -328,22 +393,66 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     heads = known.where("first_id = doc_id").select(F.col("doc_id").alias("doc")).distinct()
     with_set = profile.where("doc_id is not null and n > 0").select("doc_id", "n", "prefix")
-    labels = _linked_components(_coarse_regions(rows.where("doc_id is not null"), with_set, heads))
+    return rows.where("doc_id is not null"), with_set, known, heads
+
+
+def _with_components(known: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(
         labels.select(F.col("node").alias("first_id"), "component").hint("shuffle_merge"), "first_id", "left"
-    ).select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "first_id").alias("component_id"),
+    ).withColumn("component_id", F.coalesce("component", "first_id"))
+
+
+def linked_classes(docs: DataFrame) -> DataFrame:
+    """(a, b), a < b, of all linked classes of equal sets of documents (doc_id, text), by their smallest ids."""
+    rows, with_set, _, heads = _prepared(docs)
+    return _links(rows, with_set, heads)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row of documents (doc_id, text).
+
+    ``n_links`` counts the other documents at a distance of at most RADIUS, copies among them; a
+    class counts with its size. It is null for rows without an id and 0 without a set.
+    """
+    rows, with_set, known, heads = _prepared(docs)
+    links = _links(rows, with_set, heads)
+    sizes = stored(
+        known.where("doc_id is not null and n > 0")
+        .groupBy("first_id")
+        .agg(F.countDistinct("doc_id").alias("size"))
+    )
+    both = links.union(links.select("b", "a")).toDF("first_id", "other")
+    others = (
+        both.join(sizes.toDF("other", "size").hint("shuffle_merge"), "other")
+        .groupBy("first_id")
+        .agg(F.sum("size").alias("linked"))
+    )
+    counts = sizes.join(others.hint("shuffle_merge"), "first_id", "left").select(
+        "first_id", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+    )
+    return (
+        _with_components(known, components(links))
+        .join(counts.hint("shuffle_merge"), "first_id", "left")
+        .select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            "component_id",
+            F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0))
+            .cast("long")
+            .alias("n_links"),
+        )
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id; rows without an id stay.
 
-    Of rows repeated under that id one stays.
+    Of rows repeated under that id one stays. Only components matter here, so documents that links
+    already connect are not compared.
     """
-    others = near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
+    rows, with_set, known, heads = _prepared(docs)
+    found = _with_components(known, _linked_components(_coarse_regions(rows, with_set, heads)))
+    others = found.where("component_id < doc_id").select("doc_id").distinct()
     kept = docs.join(others.hint("shuffle_merge"), "doc_id", "left_anti")
     return kept.where("doc_id is null").unionByName(
         kept.where("doc_id is not null").dropDuplicates(["doc_id"])

@@ -33,6 +33,30 @@ def test_jaccard_chains_and_clouds(spark, seed):
     assert joined(jaccard.near_duplicates(docs)) == brute.near_duplicates(rows)
 
 
+def test_jaccard_links(spark):
+    """Every link between different texts is there, and copies count by the size of their class."""
+    rnd, base = random.Random(7), [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(40):
+        own = list(base)
+        own[rnd.randrange(80)] = f"x{rnd.randrange(30)}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, rows[i % 3][1]) for i in range(7)] + [(5, rows[5][1])]
+    rows += [(200, "alone in this table"), (201, ""), (202, None)]
+    sets = {}
+    for i, text in rows:
+        w = (text or "").split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    near = lambda x, y: bool(x) and 100 * len(x & y) >= 75 * len(x | y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {i: sum(i != j and near(sets[i], sets[j]) for j in sets) for i in sets}
+    heads = {min(j for j in sets if sets[j] == sets[i]) for i in sets if sets[i]}
+    want = {(i, j) for i in heads for j in heads if i < j and near(sets[i], sets[j])}
+    assert len(want) > len(heads)
+    assert {tuple(r) for r in jaccard.linked_classes(docs).collect()} == want
+
+
 def test_keep_first(mixed, mixed_rows, no_documents):
     kept = jaccard.keep_first(mixed)
     assert kept.columns == mixed.columns
