@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions.text import tokenize
 from .scale import cut_lineage
-from .topk import HIT_SCHEMA, RunningTopK, rank_hits
+from .topk import HIT_SCHEMA, RunningTopK, rank_hits, six_places_of
 
 # Question words that may be broadcast: about 40 MB of words and weights.
 BROADCAST_TERMS = 1_000_000
@@ -225,7 +225,7 @@ def _join_scores(terms: DataFrame, index: Index, s: Settings) -> DataFrame:
     return (
         postings.join(weights, ["term", "salt"])
         .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(F.col("weight") * F.col("gain")), 6).alias("score"))
+        .agg(six_places_of(F.sum(F.col("weight") * F.col("gain"))).alias("score"))
         .where(F.col("score") > 0)
         .select("query_id", "doc_id", "score")
     )

@@ -44,6 +44,20 @@ def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     return top_k(hits, k, ["query_id"], [F.desc("score"), F.asc("doc_id")])
 
 
+def six_places(scores: np.ndarray) -> np.ndarray:
+    """Scores to six places, halves away from zero."""
+    scaled = scores * 1e6
+    whole = np.trunc(scaled)
+    with np.errstate(invalid="ignore"):
+        half = np.abs(scaled - whole) >= 0.5
+    return (whole + np.where(half, np.sign(scaled), 0)) / 1e6
+
+
+def six_places_of(score: Column) -> Column:
+    """The same for a column."""
+    return F.round(score * 1e6) / 1e6
+
+
 class RunningTopK:
     """Best k (score, id) pairs of many questions over a stream of score blocks.
 
@@ -63,7 +77,7 @@ class RunningTopK:
         n = len(doc_ids)
         if n == 0 or len(query_ids) == 0:
             return
-        scores = np.round(scores, 6)
+        scores = six_places(scores)
         if n > self.k:
             floor = np.partition(scores, n - self.k, axis=1)[:, n - self.k]
             keep = scores >= floor[:, None]

@@ -71,6 +71,25 @@ def test_bm25_join_form_beyond_the_bound(spark):
     check_bm25(spark, tokenize_hyphen, broadcast_terms=1)
 
 
+def test_bm25_forms_round_halves_alike(spark, monkeypatch):
+    """Scores at a half of the sixth place, on both sides of the bound."""
+    rows = [(i, "common" if i < 9 else " ".join(f"rare{k}" for k in range(40))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, content string")
+    words = lambda column: F.split(column, " ")
+    index = bm25.build_index(docs, words)
+    monkeypatch.setattr(bm25, "_totals", lambda index: (12, 13.0, 1.0))
+    how = Settings(bm25_k1=0.0, bm25_epsilon=2.5e-6)
+    asked = range(1, 40, 2)
+    queries = spark.createDataFrame([(n, " ".join(["common"] * n)) for n in asked], "query_id long, query string")
+    both = [
+        sorted(tuple(r) for r in bm25.search(queries, index, 5, how, words, bound).collect())
+        for bound in (len(asked), len(asked) - 1)
+    ]
+    assert len(both[0]) == 5 * len(asked)
+    assert both[0] == both[1]
+    assert {score for query, _, score, _ in both[0] if query == 1} == {3e-6}
+
+
 def test_dense_slices_agree_with_one_pass(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(80)]
