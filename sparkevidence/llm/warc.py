@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scale import ensure_checkpoint_dir
 
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 16 << 10
 ARCHIVE_BYTES = 16 << 20
 CHUNK_BYTES = 8192
 DATE = "2024-01-01T00:00:00Z"

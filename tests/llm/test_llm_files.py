@@ -114,6 +114,17 @@ def test_warc_round_trip(spark, least, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == sorted(expected(PAGES, least), key=repr)
 
 
+def test_warc_segments_long_pages_by_default(spark):
+    pages = spark.createDataFrame([(1, "http://a", "<p>x</p>" * 6_000), (2, "http://b", "<p>short</p>")],
+                                  "page_id long, url string, html string")
+    path = warc.archive_folder(spark)
+    warc.write_archives(pages, path)
+    records = warc.read_records(spark, path)
+    assert {r.segment for r in records.collect()} == {0, 1, 2, 3}
+    found = {r.page_id: (bytes(r.payload), r.error) for r in warc.reassemble(records).collect()}
+    assert found == {1: (b"<p>x</p>" * 6_000, None), 2: (b"<p>short</p>", None)}
+
+
 def test_warc_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(pages, warc.archive_folder(spark)).count() == 0
