@@ -9,6 +9,7 @@ from .decontaminate import find_contamination
 from .jaccard import near_duplicates
 from .kdtree import top_k, whole_vectors
 from .langid import learn_and_identify
+from .line_dedup import build_index, drop_lines
 from .packing import pack, placed_pieces
 from .substrings import repeated_substrings
 from .suffixes import repeated_passages
@@ -258,3 +259,25 @@ from hp join s using (url) left join best using (url), t
 @query("op7_url_filter", OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).drop("score")
+
+
+OP11 = r"""
+with d as (select row_number() over () r, doc_id, string_split(coalesce(text, ''), chr(10)) l from documents),
+e as (select r, doc_id, unnest(l) line, unnest(range(1, len(l) + 1)) i from d),
+k as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') own from e),
+f as (select own from k where length(own) >= 1 group by own having count(distinct r) >= 10)
+select doc_id, count(*) n_lines, count(f.own) n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where f.own is null), '')) kept_sha256
+from k left join f using (own)
+group by r, doc_id
+"""
+
+
+@query("op11_line_dedup", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_lines(docs, build_index(docs)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )

@@ -43,4 +43,4 @@ def test_query(spark, duck, name):
 
 def test_each_operator_has_a_query():
     numbers = sorted(int(x[2:].split("_")[0]) for x in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
