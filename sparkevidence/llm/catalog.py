@@ -10,6 +10,7 @@ from .jaccard import near_duplicates
 from .kdtree import top_k, whole_vectors
 from .langid import learn_and_identify
 from .line_dedup import build_index, drop_lines
+from .merkle import document_manifest, prove
 from .packing import pack, placed_pieces
 from .substrings import repeated_substrings
 from .suffixes import repeated_passages
@@ -281,3 +282,66 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_lines(docs, build_index(docs)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
+
+
+def _nibbles() -> str:
+    """The table of a CRC-32 that takes four bits a step, as a list in SQL."""
+    out = []
+    for x in range(16):
+        for _ in range(4):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return "[" + ", ".join(f"{x}::bigint" for x in out) + "]"
+
+
+_LEVELS_SQL = """
+{name} as (
+  select {tree} tree, 0 lvl, {pos} pos, {h} h, {n} n from {rows}
+  union all
+  select tree, lvl + 1, pos // 8, sha256(string_agg(h, '' order by pos)), (n + 7) // 8
+  from {name} where n > 1 group by tree, lvl, pos // 8, n),
+{name}_runs as (select tree, lvl, pos // 8 pos, list(h order by pos) hs from {name} where n > 1
+                group by tree, lvl, pos // 8),"""
+_CLIMB_SQL = """
+{name} as (
+  select doc_id, leaf, {tree} tree, 0 lvl, {pos} pos, {n} n, {f} f, {p} p from {rows}
+  union all
+  select doc_id, leaf, c.tree, c.lvl + 1, c.pos // 8, (n + 7) // 8,
+         sha256(array_to_string(hs[1:c.pos % 8] || [f] || hs[c.pos % 8 + 2:], '')),
+         p || array_to_string(hs[1:c.pos % 8] || hs[c.pos % 8 + 2:], '')
+  from {name} c join {levels}_runs r on c.tree = r.tree and c.lvl = r.lvl and c.pos // 8 = r.pos
+  where c.n > 1),"""
+_FRAMES = {x: f"coalesce(strlen({x}::varchar) || ':' || {x}, '-')" for x in ("doc_id", "source", "lang", "n_chars")}
+OP13 = f"""
+with recursive
+crc as (
+  select doc_id, lang, source, n_chars, text,
+         xor(list_reduce(flatten([[4294967295::bigint], flatten(list_transform(
+               string_split(doc_id::varchar, ''), lambda s: [(ascii(s) & 15)::bigint, (ascii(s) >> 4)::bigint]))]),
+             lambda c, x: xor(c >> 4, ({_nibbles()})[(xor(c, x) & 15) + 1])), 4294967295) % 3 = 0 hit
+  from documents),
+hashed as (
+  select doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) leaf,
+         sha256(head || coalesce(strlen(given) || ':' || given, '-')) given
+  from (select *, {" || ".join(_FRAMES.values())} head,
+               case when hit then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz') else text end given from crc)),
+leaves as (
+  select *, dense_rank() over (order by lang nulls first) - 1 tree,
+         row_number() over (partition by lang order by doc_id) - 1 pos, count(*) over (partition by lang) n
+  from hashed),
+{_LEVELS_SQL.format(name="low", tree="tree", pos="pos", h="leaf", n="n", rows="leaves")}
+subs as (select tree, h, count(*) over () n from low where n = 1),
+{_LEVELS_SQL.format(name="high", tree="0::bigint", pos="tree", h="h", n="n", rows="subs")}
+{_CLIMB_SQL.format(name="up", tree="tree", pos="pos", n="n", f="given", p="''", rows="leaves", levels="low")}
+arrived as (select doc_id, leaf, up.tree, f, p, subs.n, subs.h from up join subs using (tree) where up.n = 1),
+{_CLIMB_SQL.format(name="top", tree="0::bigint", pos="tree", n="n", f="f", p="p", rows="arrived", levels="high")}
+root as (select h root from high where n = 1)
+select doc_id, leaf, h subroot, root, sha256(top.p) proof_sha256, top.f folded_root, top.f = root verified
+from top join arrived using (doc_id, leaf), root where top.n = 1
+"""
+
+
+@query("op13_merkle", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prove(document_manifest(table(spark, sf_dir, "documents")))
