@@ -18,6 +18,7 @@ from .tables import small_batches, table
 from .toxicity import score_toxicity
 from .urlfilter import filter_urls
 from .warc import archive_folder, round_trip
+from .whitening import fit_whitening, integer_vectors, whiten
 
 QUERIES, ORACLES = {}, {}
 
@@ -345,3 +346,9 @@ from top join arrived using (doc_id, leaf), root where top.n = 1
 @query("op13_merkle", OP13)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prove(document_manifest(table(spark, sf_dir, "documents")))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"), 256)
+    return whiten(vectors, fit_whitening(vectors))
