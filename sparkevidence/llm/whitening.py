@@ -76,23 +76,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _blocks(vectors: DataFrame) -> DataFrame:
-    """Each distinct vector once, packed into rows of many vectors."""
+    """Each distinct vector once, packed into rows of many vectors, in the narrowest integers that hold them."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(0))
+                kind = np.result_type(np.min_scalar_type(x.min()), np.min_scalar_type(x.max()), np.int8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["n", "data"]
+                    [
+                        pa.array([len(x)], pa.int64()),
+                        pa.array([kind.str]),
+                        pa.array([x.astype(kind).tobytes()], pa.binary()),
+                    ],
+                    names=["n", "kind", "data"],
                 )
 
-    return stored(vectors.select("x").distinct().mapInArrow(run, "n bigint, data binary"))
+    return stored(vectors.select("x").distinct().mapInArrow(run, "n bigint, kind string, data binary"))
 
 
 def _unpacked(batches) -> Iterator[np.ndarray]:
     for batch in batches:
-        for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist()):
-            yield np.frombuffer(data, dtype=np.int64).reshape(n, -1)
+        for row in batch.to_pylist():
+            x = np.frombuffer(row["data"], dtype=np.dtype(row["kind"])).reshape(row["n"], -1)
+            yield x.astype(np.int64)
 
 
 def _exact_sums(blocks: DataFrame) -> tuple[int, list[int], int]:

@@ -88,7 +88,7 @@ def test_nothing_to_whiten(spark, rows):
 
 def test_few_dimensions_and_low_rank(spark):
     rnd = np.random.default_rng(8)
-    line = [(i, [float(t), 2.0 * t, 0.0]) for i, t in enumerate(rnd.integers(-50, 50, 40))]
+    line = [(i, [float(t), float(2 * t), 0.0]) for i, t in enumerate(rnd.integers(-50, 50, 40))]
     got = run(spark, line, scale=1)
     assert {r.component for r in got} == {1} and abs(got[0].explained - 1) < 1e-12
     one = [(i, [float(i)]) for i in range(5)]
