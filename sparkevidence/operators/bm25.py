@@ -1,10 +1,17 @@
-"""BM25 ranking of a corpus for many questions at once.
-
-The index is split by document, so a word that occurs in a third of all documents is spread over
-all tasks like any other; word counts are a second, much smaller table. The question side (a few
-words for each question) is broadcast after its size was checked, each task scores its documents
-block by block and keeps the best k for each question, and only those leave the task. A question
-side beyond the bound takes the join form instead, in which words meet in a salted shuffle join.
+"""BM25 ranking of a corpus for many questions at once, by a block-max inverted index.
+
+**Index.** Tasks cut their documents into buckets of ``BUCKET_DOCS`` and invert each bucket where it
+lies, so building moves no postings: a row holds the postings of one word in one bucket, with the best
+gain of each block of ``BLOCK_DOCS`` documents. Files are sorted by word, so that a search reads the row
+groups of the asked words only. A word that occurs in a third of all documents is spread over all
+buckets like any other.
+
+**Search.** The weights of the question words come from a join with the word counts. Buckets are dealt
+to groups, the postings of asked words go to their group, and so do the questions, ``GROUP_WEIGHTS``
+words at a time. A task reads its questions first and then its buckets one by one: block gains times weights
+bound the score of every block for every question, blocks below the k-th score found so far are
+skipped, and the postings of the others are added up. k rows for each question leave a task. Questions
+never pass through the driver, and the number of jobs does not grow with them.
 """
 
 from __future__ import annotations
@@ -13,30 +20,56 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import tokenize
-from .scale import cut_lineage
-from .topk import HIT_SCHEMA, RunningTopK, rank_hits, six_places_of
-
-# Question words that may be broadcast: about 40 MB of words and weights.
-BROADCAST_TERMS = 1_000_000
-QUERY_BLOCK = 256
-DOC_BLOCK = 512
-SALTS = 32
+from .scale import cut_lineage, spread
+from .topk import HIT_SCHEMA, RunningTopK, rank_hits, six_places
+
+BUCKET_DOCS = 1024
+BLOCK_DOCS = 64
+GROUP_BUCKETS = 256
+#: Question words that a task holds at once.
+GROUP_WEIGHTS = 262_144
+#: Questions whose scores of one bucket are held at once: 4 MB.
+CHUNK_QUERIES = 512
+#: Asked words up to which their list is given to the scan, which then skips row groups without them.
+PUSHED_TERMS = 1_000
+ROW_GROUP_BYTES = 4 << 20
+#: A word in more than this part (one in so many) of a bucket's documents is frequent there.
+FREQUENT = 8
+#: Scores are compared after rounding to six places.
+MARGIN = 1e-6
+
+POSTINGS = "bucket long, term string, docs array<int>, tf array<int>, blocks array<int>, tops array<double>"
+BUCKETS = "bucket long, ids array<long>, lengths array<int>"
 
 Tokens = Callable[[str], Column]
 
 
+@dataclass(frozen=True)
+class Totals:
+    n_docs: int
+    avg_length: float
+    mean_idf: float
+    n_buckets: int
+
+
 @dataclass(frozen=True)
 class Index:
-    forward: DataFrame  # doc_id, terms
-    words: DataFrame  # term, df, length
+    """``postings`` by bucket and word, ``buckets`` with ids and lengths of their documents, ``words``."""
+
+    postings: DataFrame
+    buckets: DataFrame
+    words: DataFrame
+    totals: Totals
+    k1: float = DEFAULTS.bm25_k1
+    b: float = DEFAULTS.bm25_b
 
 
 def tokenized(
@@ -46,12 +79,92 @@ def tokenized(
     return docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("terms"))
 
 
+def raw_idf(df: Column, n_docs: Column) -> Column:
+    return F.log(n_docs - df + 0.5) - F.log(df + 0.5)
+
+
+def open_index(
+    postings: DataFrame, buckets: DataFrame, words: DataFrame, settings: Settings = DEFAULTS
+) -> Index:
+    """An index over stored tables, with its totals."""
+    length = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    row = buckets.agg(
+        F.count("*").alias("n"), F.sum(F.size("ids")).alias("docs"), F.sum(length).alias("length")
+    ).first()
+    n_docs = row["docs"] or 0
+    mean = words.agg(F.avg(raw_idf(F.col("df"), F.lit(n_docs)))).first()[0]
+    totals = Totals(n_docs, (row["length"] or 0) / max(n_docs, 1), mean or 0.0, row["n"])
+    return Index(postings, buckets, words, totals, settings.bm25_k1, settings.bm25_b)
+
+
 def build_index(
-    docs: DataFrame, tokens: Tokens = tokenize, id_col: str = "doc_id", text_col: str = "content"
+    docs: DataFrame,
+    tokens: Tokens = tokenize,
+    id_col: str = "doc_id",
+    text_col: str = "content",
+    settings: Settings = DEFAULTS,
 ) -> Index:
     """Tokenize a corpus once and write the index out for all later searches."""
-    forward = cut_lineage(tokenized(docs, tokens, id_col, text_col))
-    return Index(forward, cut_lineage(vocabulary(forward)))
+    forward = cut_lineage(tokenized(spread(docs), tokens, id_col, text_col))
+    sums = forward.agg(F.count("*"), F.sum(F.size(F.coalesce("terms", F.array())))).first()
+    avg_length = (sums[1] or 0) / max(sums[0], 1)
+    rows = forward.mapInArrow(_inverted(avg_length, settings), f"{POSTINGS}, ids array<long>")
+    rows = cut_lineage(rows.sortWithinPartitions("term", "bucket"), {"parquet.block.size": str(ROW_GROUP_BYTES)})
+    buckets = rows.where("term is null").select("bucket", "ids", F.col("tf").alias("lengths"))
+    postings = rows.where("term is not null").drop("ids")
+    words = cut_lineage(postings.groupBy("term").agg(F.sum(F.size("docs")).alias("df")))
+    return open_index(postings, buckets, words, settings)
+
+
+def _inverted(avg_length: float, s: Settings):
+    """Documents into buckets: one row with ids and lengths, and one for each word."""
+    kinds = [pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.float64()), pa.list_(pa.int64())]
+    names = ["bucket", "term", "docs", "tf", "blocks", "tops", "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for start in range(0, batch.num_rows, BUCKET_DOCS):
+                for columns in _bucket(batch.slice(start, BUCKET_DOCS), avg_length, s):
+                    columns.insert(0, pa.array(np.full(len(columns[0]), bucket)))
+                    yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds)], names=names)
+                bucket += 1
+
+    return run
+
+
+def _listed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+
+
+def _bucket(part: pa.RecordBatch, avg_length: float, s: Settings) -> Iterator[list[pa.Array]]:
+    """Columns after the bucket number: first the documents, then the postings by word."""
+    ids, lists = part.column(0), part.column(1)
+    n = len(ids)
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    one = np.array([0, n])
+    nothing = pa.nulls(1, pa.list_(pa.int32()))
+    yield [
+        pa.nulls(1, pa.string()), nothing, _listed(lengths, one), nothing, pa.nulls(1, pa.list_(pa.float64())),
+        pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids.cast(pa.int64())),
+    ]
+    words = lists.flatten().dictionary_encode()
+    if not len(words):
+        return
+    rows = np.repeat(np.arange(n), lengths)
+    cell, tf = np.unique(words.indices.to_numpy() * np.int64(n) + rows, return_counts=True)
+    word, doc = cell // n, cell % n
+    norm = s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * lengths / avg_length)
+    gain = tf * (s.bm25_k1 + 1) / (tf + norm[doc])
+    block = doc // BLOCK_DOCS
+    opens = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])])
+    tops = np.maximum.reduceat(gain, opens)
+    heads = np.arange(len(words.dictionary) + 1)
+    at, block_at = np.searchsorted(word, heads), np.searchsorted(word[opens], heads)
+    yield [
+        words.dictionary, _listed(doc, at), _listed(tf, at), _listed(block[opens], block_at),
+        _listed(tops, block_at), pa.nulls(len(words.dictionary), pa.list_(pa.int64())),
+    ]
 
 
 def query_terms(queries: DataFrame, tokens: Tokens = tokenize) -> DataFrame:
@@ -64,168 +177,237 @@ def query_terms(queries: DataFrame, tokens: Tokens = tokenize) -> DataFrame:
     )
 
 
-def vocabulary(index: DataFrame) -> DataFrame:
-    """(term, df, length): documents with the word, counted in the tasks before the shuffle.
-
-    ``length`` sums to the length of the whole corpus: each document adds its length to one word.
-    """
-    words = index.select(
-        F.size("terms").alias("n"), F.posexplode(F.array_distinct("terms")).alias("pos", "term")
-    )
-    return words.groupBy("term").agg(
-        F.count("*").alias("df"),
-        F.sum(F.when(F.col("pos") == 0, F.col("n")).otherwise(0)).alias("length"),
-    )
-
-
-def raw_idf(df: Column, n_docs: Column) -> Column:
-    return F.log(n_docs - df + 0.5) - F.log(df + 0.5)
-
-
 def index_stats(index: Index) -> DataFrame:
     """One row: documents, distinct words, mean document length, mean raw word weight."""
-    n_docs = index.forward.agg(F.count("*")).scalar()
+    n_docs = F.lit(index.totals.n_docs).cast("long")
     return index.words.agg(
         F.max(n_docs).alias("n_docs"),
         F.count("*").alias("n_terms"),
         F.max("df").alias("max_df"),
-        (F.sum("length") / F.max(n_docs)).alias("avg_length"),
+        F.max(F.lit(index.totals.avg_length)).alias("avg_length"),
         F.avg(raw_idf(F.col("df"), n_docs)).alias("mean_idf"),
     )
 
 
+def _weights(terms: DataFrame, words: DataFrame, totals: Totals, s: Settings) -> DataFrame:
+    """(query_id, term, weight) of the asked words that the corpus has."""
+    idf = raw_idf(F.col("df"), F.lit(totals.n_docs))
+    floor = F.lit(totals.mean_idf * s.bm25_epsilon)
+    weight = F.when(idf < 0, floor).otherwise(idf) * F.col("qtf")
+    return terms.join(words, "term").select(
+        F.col("query_id").cast("long").alias("query_id"), "term", weight.alias("weight")
+    ).where("weight <> 0")
+
+
 def search(
-    queries: DataFrame,
-    index: Index,
-    k: int,
-    settings: Settings = DEFAULTS,
-    tokens: Tokens = tokenize,
-    broadcast_terms: int = BROADCAST_TERMS,
+    queries: DataFrame, index: Index, k: int, settings: Settings = DEFAULTS, tokens: Tokens = tokenize
 ) -> DataFrame:
     """(query_id, doc_id, score, rank): the best k documents with a positive score.
 
     The ranking is small against the corpus and is written out once, so that whatever is built on
     it does not score the corpus again.
     """
-    terms = query_terms(queries, tokens)
-    asked = terms.limit(broadcast_terms + 1).toPandas()
-    if len(asked) <= broadcast_terms:
-        hits = _block_scores(asked, index, k, settings)
-    else:
-        hits = _join_scores(cut_lineage(terms), index, settings)
-    return cut_lineage(rank_hits(hits, k))
-
-
-def _totals(index: Index) -> tuple[int, float, float]:
-    """Documents, mean length and mean raw word weight."""
-    n_docs = index.forward.count()
-    row = index.words.agg(
-        F.sum("length").alias("length"),
-        F.avg(raw_idf(F.col("df"), F.lit(n_docs))).alias("mean_idf"),
-    ).first()
-    return n_docs, (row["length"] or 0) / max(n_docs, 1), row["mean_idf"] or 0.0
-
-
-def _block_scores(asked: pd.DataFrame, index: Index, k: int, s: Settings) -> DataFrame:
-    """Question side broadcast, documents scored in place, k rows per question leave a task."""
-    spark = index.forward.sparkSession
-    n_docs, avg_length, mean_idf = _totals(index)
-    wanted = spark.createDataFrame(asked[["term"]].drop_duplicates(), "term string")
-    found = index.words.join(F.broadcast(wanted), "term", "left_semi").select("term", "df")
-    counts = {r["term"]: r["df"] for r in found.collect()}  # no more rows than asked words
-    asked = asked[asked["term"].isin(counts.keys())]
-    df = asked["term"].map(counts).to_numpy(dtype=np.float64)
-    idf = np.log(n_docs - df + 0.5) - np.log(df + 0.5)
-    idf = np.where(idf < 0, s.bm25_epsilon * mean_idf, idf)
-    asked = asked.assign(weight=idf * asked["qtf"])
-    asked = asked[asked["weight"] != 0].sort_values(["query_id", "term"])
-    if asked.empty:
-        return spark.createDataFrame([], HIT_SCHEMA)
-    side = spark.sparkContext.broadcast(_pack(asked))
-    k1, b = s.bm25_k1, s.bm25_b
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, blocks = side.value
-        known = pa.array(words)
-        best = RunningTopK(k, positive_only=True)
-        for batch in batches:
-            for start in range(0, batch.num_rows, DOC_BLOCK):
-                part = batch.slice(start, DOC_BLOCK)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                lists = part.column(1)
-                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(
-                    zero_copy_only=False
-                )
-                found = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(
-                    zero_copy_only=False
-                )
-                rows = np.repeat(np.arange(len(ids)), lengths)
-                hit = found >= 0
-                cell, tf = np.unique(
-                    rows[hit] * len(words) + found[hit], return_counts=True
-                )
-                norm = k1 * (1 - b + b * lengths / avg_length)
-                gain = np.zeros(len(ids) * len(words))
-                gain[cell] = tf * (k1 + 1) / (tf + norm[cell // len(words)])
-                gain = gain.reshape(len(ids), len(words))
-                for query_ids, cols, row, col, weight in blocks:
-                    w = np.zeros((len(query_ids), len(cols)))
-                    w[row, col] = weight
-                    part_gain = gain if len(cols) == len(words) else gain[:, cols]
-                    best.add(query_ids, ids, w @ part_gain.T)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(best.query), pa.array(best.doc), pa.array(best.score)],
-            names=["query_id", "doc_id", "score"],
-        )
+    if (settings.bm25_k1, settings.bm25_b) != (index.k1, index.b):
+        raise ValueError("the index was built for other k1 and b")
+    return cut_lineage(rank_hits(scored(query_terms(queries, tokens), index, k, settings), k))
+
+
+def _any_of(column: str, values: list[str]) -> Column:
+    """A list condition as one expression, which is handed over and planned at once."""
+    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
+    return F.expr(f"{column} in ({', '.join(quoted)})") if quoted else F.lit(False)
+
+
+def scored(terms: DataFrame, index: Index, k: int, settings: Settings = DEFAULTS) -> DataFrame:
+    """(query_id, doc_id, score): k rows or less for each question and group of buckets."""
+    postings, words = index.postings, index.words
+    asked = terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
+    if len(asked) <= PUSHED_TERMS:
+        listed = _any_of("term", [r["term"] for r in asked])
+        postings, words = postings.where(listed), words.where(listed)
+    weights = cut_lineage(_weights(terms, words, index.totals, settings))
+    parts = -(-max(weights.count(), 1) // GROUP_WEIGHTS)
+    usual = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = index.totals.n_buckets
+    groups = max(-(-n // GROUP_BUCKETS), min(n, usual), 1)
+
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
+    # buckets of one builder task, and the same buckets of several, are dealt to different groups
+    place = F.shiftright("bucket", 32) + F.col("bucket").bitwiseAND(0xFFFFFFFF) * 7919
+    group = F.pmod(place, F.lit(groups)).cast("int")
+    every = lambda number: F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+    asking = weights.select(
+        every(groups).alias("grp"), part.alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("bucket"),
+        "term", "query_id", "weight",
+    )
+    wanted = postings.join(weights.select("term").distinct(), "term", "left_semi").select(
+        group.alias("grp"), every(parts).alias("part"), F.lit(2).alias("kind"), "bucket", "term",
+        "docs", "tf", "blocks", "tops",
+    )
+    heads = index.buckets.select(
+        group.alias("grp"), every(parts).alias("part"), F.lit(1).alias("kind"), "bucket",
+        F.col("lengths").alias("docs"), "ids",
+    )
+    rows = wanted.unionByName(asking, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
+    order = ["grp", "part", "bucket", "kind", "term", "query_id"]
+    dealt = rows.repartition(groups * parts, "grp", "part").sortWithinPartitions(*order)
+    columns = ["grp", "part", "kind", "bucket", "term", "query_id", "weight", "docs", "tf", "blocks", "tops", "ids"]
+    return dealt.select(*columns).mapInArrow(_scorer(k, index), HIT_SCHEMA)
+
+
+class _Questions:
+    """Weights of one part of the questions, by question; words by number."""
+
+    def __init__(self, query_id: np.ndarray, terms: list[str], weight: np.ndarray):
+        self.ids, self.query = np.unique(query_id, return_inverse=True)
+        order = np.lexsort((terms, self.query)) if len(terms) else np.empty(0, np.int64)
+        self.number = {t: i for i, t in enumerate(dict.fromkeys(terms))}
+        self.query, self.weight = self.query[order], weight[order]
+        self.word = np.array([self.number[terms[i]] for i in order], dtype=np.int64)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a list column without nulls."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), sizes
+
+
+def _scorer(k: int, index: Index):
+    k1, b, avg_length = index.k1, index.b, index.totals.avg_length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by group and part: the questions, then for each bucket its documents and postings."""
+        at = bucket = best = None
+        asked: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+
+        def finish() -> None:
+            nonlocal held
+            if held:
+                best.add(_Bucket(held, best.questions, k1, b, avg_length))
+            held = []
 
-    return index.forward.select("doc_id", "terms").mapInArrow(score, HIT_SCHEMA)
-
-
-def _pack(asked: pd.DataFrame) -> tuple[list[str], list[tuple]]:
-    """Words, and question blocks as (ids, word columns, row, column, weight)."""
-    word_of, words = pd.factorize(asked["term"])
-    query_of, query_ids = pd.factorize(asked["query_id"])
-    weight = asked["weight"].to_numpy()
-    blocks = []
-    for start in range(0, len(query_ids), QUERY_BLOCK):
-        mine = (query_of >= start) & (query_of < start + QUERY_BLOCK)
-        cols, col = np.unique(word_of[mine], return_inverse=True)
-        blocks.append((
-            np.asarray(query_ids[start : start + QUERY_BLOCK], dtype=np.int64),
-            cols, query_of[mine] - start, col, weight[mine],
-        ))
-    return list(words), blocks
-
-
-def _join_scores(terms: DataFrame, index: Index, s: Settings) -> DataFrame:
-    """Both sides meet by word; a salt spreads the documents of a frequent word over many tasks."""
-    n_docs, avg_length, mean_idf = _totals(index)
-    idf = raw_idf(F.col("df"), F.lit(n_docs))
-    floor = F.lit(mean_idf * s.bm25_epsilon)
-    weights = (
-        terms.join(index.words, "term")
-        .select(
-            "query_id", "term", (F.when(idf < 0, floor).otherwise(idf) * F.col("qtf")).alias("weight")
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
+            number = batch.column(3).fill_null(-1).to_numpy()
+            change = np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1) | (np.diff(number) != 0)) + 1
+            for start, end in zip(np.r_[0, change], np.r_[change, len(number)]):
+                part = batch.slice(start, end - start)
+                if at != tuple(key[start]):
+                    finish()
+                    if best is not None:
+                        yield best.rows()
+                    at, bucket, best, asked = tuple(key[start]), -1, None, []
+                if number[start] == -1:
+                    asked.append(part)
+                    continue
+                if best is None:
+                    best = _Best(asked, k)
+                if number[start] != bucket:
+                    finish()
+                    bucket = number[start]
+                held.append(part)
+        finish()
+        if best is not None:
+            yield best.rows()
+
+    return run
+
+
+class _Bucket:
+    """Postings of the asked words in one bucket, with the gains of documents and blocks."""
+
+    def __init__(self, rows: list[pa.RecordBatch], questions: _Questions, k1: float, b: float, avg_length: float):
+        table = pa.Table.from_batches(rows).combine_chunks()
+        kind = table.column("kind").to_numpy()
+        head, rest = table.filter(pa.array(kind == 1)), table.filter(pa.array(kind == 2))
+        self.ids = head.column("ids")[0].values.to_numpy(zero_copy_only=False)
+        lengths = head.column("docs")[0].values.to_numpy(zero_copy_only=False)
+        self.n_blocks = -(-len(self.ids) // BLOCK_DOCS)
+        #: Row of each word of the questions, or -1.
+        self.row = np.full(len(questions.number), -1, dtype=np.int64)
+        terms = rest.column("term").to_pylist()
+        numbers = np.array([questions.number.get(t, -1) for t in terms], dtype=np.int64)
+        self.row[numbers[numbers >= 0]] = np.flatnonzero(numbers >= 0)
+        self.tops = np.zeros((len(terms), self.n_blocks))
+        if not terms:
+            return
+        self.docs, self.size = _lists(rest.column("docs").chunk(0))
+        tf, _ = _lists(rest.column("tf").chunk(0))
+        self.first = np.concatenate(([0], np.cumsum(self.size)[:-1]))
+        norm = k1 * (1 - b + b * lengths / avg_length) if len(lengths) else lengths
+        self.gain = tf * (k1 + 1) / (tf + norm[self.docs])
+        blocks, own = _lists(rest.column("blocks").chunk(0))
+        self.tops[np.repeat(np.arange(len(terms)), own), blocks] = _lists(rest.column("tops").chunk(0))[0]
+
+
+def _dense(query, row, weight, n_queries: int, bucket: _Bucket) -> np.ndarray:
+    """Scores by words that many documents of the bucket have, as one product of matrices."""
+    words, column = np.unique(row, return_inverse=True)
+    gains = np.zeros((len(words), len(bucket.ids)))
+    for i, r in enumerate(words):
+        own = slice(bucket.first[r], bucket.first[r] + bucket.size[r])
+        gains[i, bucket.docs[own]] = bucket.gain[own]
+    asked = np.zeros((n_queries, len(words)))
+    asked[query, column] = weight
+    return asked @ gains
+
+
+class _Best:
+    """The running results of the questions of one part."""
+
+    def __init__(self, asked: list[pa.RecordBatch], k: int):
+        columns = [pa.Table.from_batches(asked).column(x) for x in ("query_id", "term", "weight")] if asked else None
+        self.questions = (
+            _Questions(columns[0].to_numpy(), columns[1].to_pylist(), columns[2].to_numpy())
+            if asked
+            else _Questions(np.empty(0, np.int64), [], np.empty(0))
         )
-        .where(F.col("weight") != 0)
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    norm = s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("n") / F.lit(avg_length))
-    postings = (
-        index.forward.select("doc_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-        .groupBy("doc_id", "n", "term")
-        .agg(F.count("*").alias("tf"))
-        .select(
-            "doc_id",
-            "term",
-            (F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + norm)).alias("gain"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
+        self.k = k
+        self.chunks = [
+            RunningTopK(k, positive_only=True) for _ in range(0, len(self.questions.ids), CHUNK_QUERIES)
+        ]
+
+    def add(self, bucket: _Bucket) -> None:
+        q = self.questions
+        row = bucket.row[q.word]
+        for number, best in enumerate(self.chunks):
+            start = number * CHUNK_QUERIES
+            ids = q.ids[start : start + CHUNK_QUERIES]
+            low, high = np.searchsorted(q.query, (start, start + len(ids)))
+            mine = np.flatnonzero(row[low:high] >= 0) + low
+            if len(mine):
+                self._add(best, ids, q.query[mine] - start, row[mine], q.weight[mine], bucket)
+
+    def _add(self, best, ids, query, row, weight, bucket: _Bucket) -> None:
+        bound = np.zeros((len(ids), bucket.n_blocks))
+        heads = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        most = np.maximum(weight, 0)[:, None] * bucket.tops[row]
+        bound[query[heads]] = np.add.reduceat(most, heads, axis=0)
+        floor = best.floors(ids)
+        open_blocks = (bound >= np.maximum(floor - MARGIN, 0)[:, None]) & (bound > 0)
+        going = open_blocks.any(axis=1)
+        keep = going[query]
+        query, row, weight = (np.cumsum(going) - 1)[query[keep]], row[keep], weight[keep]
+        if not len(query):
+            return
+        open_blocks, n = open_blocks[going], len(bucket.ids)
+        frequent = bucket.size[row] * FREQUENT >= n
+        total = _dense(query[frequent], row[frequent], weight[frequent], going.sum(), bucket)
+        query, row, weight = query[~frequent], row[~frequent], weight[~frequent]
+        size = bucket.size[row]
+        at = np.repeat(bucket.first[row] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        doc, of, gain = bucket.docs[at], np.repeat(query, size), bucket.gain[at] * np.repeat(weight, size)
+        if not open_blocks.all():
+            live = open_blocks[of, doc // BLOCK_DOCS]
+            doc, of, gain = doc[live], of[live], gain[live]
+            total[~np.repeat(open_blocks, BLOCK_DOCS, axis=1)[:, :n]] = 0
+        total += np.bincount(of * n + doc, gain, minlength=total.size).reshape(total.shape)
+        best.add(ids[going], bucket.ids, total, floor[going])
+
+    def rows(self) -> pa.RecordBatch:
+        found = [np.concatenate([getattr(c, x) for c in self.chunks] or [np.empty(0)]) for x in ("query", "doc", "score")]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found[0].astype(np.int64)), pa.array(found[1].astype(np.int64)), pa.array(found[2])],
+            names=["query_id", "doc_id", "score"],
         )
-    )
-    return (
-        postings.join(weights, ["term", "salt"])
-        .groupBy("query_id", "doc_id")
-        .agg(six_places_of(F.sum(F.col("weight") * F.col("gain"))).alias("score"))
-        .where(F.col("score") > 0)
-        .select("query_id", "doc_id", "score")
-    )

@@ -40,7 +40,7 @@ def drop_stored(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Write the rows as a table in the shared checkpoint folder and go on from there.
 
     Iterative jobs call this once per round, so that neither the plan nor the work to redo after a
@@ -50,16 +50,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a single split to all cores.
+    """Deal the rows of a small table to all cores.
 
-    Only a scan of one split, a file too small to be divided, is shuffled; every larger input is
-    read by as many tasks as it has splits.
+    A file is read by as many tasks as it has row groups, often by one. A table smaller than one
+    split for each core is dealt out row by row, which moves no more than that; a larger one is read
+    as it lies, since its row groups keep all cores busy.
     """
-    if df.rdd.getNumPartitions() > 1:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df if int(size) > cores * split else df.repartition(cores)

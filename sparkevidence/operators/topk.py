@@ -72,19 +72,32 @@ class RunningTopK:
         self.doc = np.empty(0, dtype=np.int64)
         self.score = np.empty(0, dtype=np.float64)
 
-    def add(self, query_ids: np.ndarray, doc_ids: np.ndarray, scores: np.ndarray) -> None:
-        """Offer a block of scores with one row for each question."""
+    def floors(self, query_ids: np.ndarray) -> np.ndarray:
+        """The k-th score so far of each question; minus infinity where there are fewer."""
+        last = np.searchsorted(self.query, query_ids) + self.k - 1
+        inside = last < len(self.query)
+        out = np.full(len(query_ids), -np.inf)
+        at = last[inside]
+        out[inside] = np.where(self.query[at] == query_ids[inside], self.score[at], -np.inf)
+        return out
+
+    def add(
+        self, query_ids: np.ndarray, doc_ids: np.ndarray, scores: np.ndarray, floor: np.ndarray | None = None
+    ) -> None:
+        """Offer a block of scores with one row for each question; scores below ``floor`` are passed over."""
         n = len(doc_ids)
         if n == 0 or len(query_ids) == 0:
             return
         scores = six_places(scores)
         if n > self.k:
-            floor = np.partition(scores, n - self.k, axis=1)[:, n - self.k]
-            keep = scores >= floor[:, None]
+            own = np.partition(scores, n - self.k, axis=1)[:, n - self.k]
+            keep = scores >= own[:, None]
         else:
             keep = np.ones(scores.shape, dtype=bool)
         if self.positive_only:
             keep &= scores > 0
+        if floor is not None:
+            keep &= scores >= floor[:, None]
         row, col = np.nonzero(keep)
         self.query = np.concatenate([self.query, query_ids[row]])
         self.doc = np.concatenate([self.doc, doc_ids[col]])

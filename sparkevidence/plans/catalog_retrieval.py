@@ -230,7 +230,7 @@ _CLEAN = (
     select doc_id, {_FINGERPRINT} as fingerprint
     from (select *, {_CLEAN} as clean from documents)""")
 def title_fingerprint(spark, sf_dir):
-    return ranking.with_fingerprint(testbed.corpus(spark, sf_dir)).select("doc_id", "fingerprint")
+    return ranking.with_fingerprint(testbed.corpus(spark, sf_dir, testbed.texts)).select("doc_id", "fingerprint")
 
 
 _SCORED = f"""
@@ -354,7 +354,7 @@ def sentence_filter(spark, sf_dir):
 
 @query("extractive_compress")
 def extractive_compress(spark, sf_dir):
-    docs = testbed.corpus(spark, sf_dir).select("doc_id", "content", "key_genes")
+    docs = testbed.corpus(spark, sf_dir, testbed.texts).select("doc_id", "content", "key_genes")
     out = compress.compress_extractive(docs, "key_genes")
     return out.select(
         "doc_id", "original_length", "compressed_length", F.md5("content").alias("digest")
@@ -456,6 +456,6 @@ def prefix_budget(spark, sf_dir):
 
 @query("embed_corpus")
 def embed_corpus(spark, sf_dir):
-    made = dense.embed_corpus(testbed.corpus(spark, sf_dir))
+    made = dense.embed_corpus(testbed.corpus(spark, sf_dir, testbed.texts))
     size = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     return made.select("vec_id", F.size("embedding").alias("dims"), F.round(size, 4).alias("norm"))

@@ -39,9 +39,10 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    """The documents as a corpus; ``read`` is ``texts`` where all of them are worked through."""
     none = F.lit(None).cast("string")
-    return texts(spark, sf_dir, "documents").select(
+    return read(spark, sf_dir, "documents").select(
         "doc_id",
         F.col("text").alias("content"),
         F.substring_index("text", "\n", 1).alias("title"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bm25 import Index
+from ..config import DEFAULTS, Settings
+from ..operators.bm25 import ROW_GROUP_BYTES, Index, open_index
 
 METADATA_SCHEMA = """
   struct<title:string,paper_title:string,link:string,url:string,source:string,date:string,
@@ -58,13 +59,16 @@ def write_vectors(vectors: DataFrame, path: str, mode: str = "error") -> None:
 def write_index(index: Index, folder: str, mode: str = "error") -> None:
     """Keep a word index beyond the session that built it."""
     base = folder.rstrip("/")
-    index.forward.write.mode(mode).parquet(f"{base}/forward")
+    postings = index.postings.sortWithinPartitions("term", "bucket")
+    postings.write.mode(mode).option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{base}/postings")
+    index.buckets.write.mode(mode).parquet(f"{base}/buckets")
     index.words.write.mode(mode).parquet(f"{base}/words")
 
 
-def read_index(spark: SparkSession, folder: str) -> Index:
+def read_index(spark: SparkSession, folder: str, settings: Settings = DEFAULTS) -> Index:
+    """An index from ``write_index``; ``settings`` must have the k1 and b it was built with."""
     base = folder.rstrip("/")
-    return Index(spark.read.parquet(f"{base}/forward"), spark.read.parquet(f"{base}/words"))
+    return open_index(*[spark.read.parquet(f"{base}/{x}") for x in ("postings", "buckets", "words")], settings)
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:

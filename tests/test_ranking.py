@@ -1,8 +1,14 @@
+import inspect
 import math
 import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkevidence.config import Settings
@@ -61,33 +67,95 @@ def check_bm25(spark, tokens, **how):
         assert np.allclose([x[1] for x in got[q_id]], [x[1] for x in want[q_id]], atol=2e-6)
 
 
-def test_bm25_broadcast_form(spark):
+def test_bm25(spark):
     check_bm25(spark, tokenize)
     check_bm25(spark, tokenize_hyphen)
 
 
-def test_bm25_join_form_beyond_the_bound(spark):
-    check_bm25(spark, tokenize, broadcast_terms=1)
-    check_bm25(spark, tokenize_hyphen, broadcast_terms=1)
+def test_bm25_over_many_buckets_and_parts(spark, monkeypatch):
+    """Small buckets, blocks, groups and chunks, and a word list too long to be pushed."""
+    for name, size in {
+        "BUCKET_DOCS": 7, "BLOCK_DOCS": 2, "GROUP_BUCKETS": 2, "GROUP_WEIGHTS": 3, "CHUNK_QUERIES": 1,
+        "PUSHED_TERMS": 1,
+    }.items():
+        monkeypatch.setattr(bm25, name, size)
+    check_bm25(spark, tokenize)
+    check_bm25(spark, tokenize_hyphen)
 
 
-def test_bm25_forms_round_halves_alike(spark, monkeypatch):
-    """Scores at a half of the sixth place, on both sides of the bound."""
-    rows = [(i, "common" if i < 9 else " ".join(f"rare{k}" for k in range(40))) for i in range(12)]
-    docs = spark.createDataFrame(rows, "doc_id long, content string")
-    words = lambda column: F.split(column, " ")
+def test_bm25_skips_blocks_below_the_kth_score(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "BUCKET_DOCS", 16)
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 4)
+    rows = [(i, "rare " * (9 if i < 3 else 1) + "filler " * (i % 5)) for i in range(200)]
+    docs = spark.createDataFrame([*rows, *((1_000 + i, "other") for i in range(600))], "doc_id long, content string")
+    index = bm25.build_index(docs.coalesce(1), lambda c: F.split(F.trim(c), " +"))
+    seen = []
+    add = bm25.RunningTopK.add
+    asked = pa.RecordBatch.from_pydict({"query_id": [1], "term": ["rare"], "weight": [1.0]})
+    monkeypatch.setattr(
+        bm25.RunningTopK, "add", lambda self, q, d, s, floor=None: (seen.append((s > 0).sum()), add(self, q, d, s, floor))
+    )
+    best = bm25._Best([asked], 3)
+    heads = index.buckets.selectExpr("bucket", "1 kind", "'' term", "lengths docs", "null tf", "null blocks", "null tops", "ids")
+    lists = index.postings.where("term = 'rare'").selectExpr(
+        "bucket", "2 kind", "term", "docs", "tf", "blocks", "tops", "cast(null as array<long>) ids"
+    )
+    table = heads.union(lists).orderBy("bucket", "kind").toArrow()
+    for bucket in sorted(set(table.column("bucket").to_pylist())):
+        own = table.filter(pc.equal(table.column("bucket"), bucket)).to_batches()
+        best.add(bm25._Bucket(own, best.questions, index.k1, index.b, index.totals.avg_length))
+    assert sorted(best.rows().column("doc_id").to_pylist()) == [0, 1, 2]
+    assert sum(seen) < 40
+
+
+def test_bm25_questions_stay_in_the_tasks(spark, monkeypatch):
+    """Many questions over many words: nothing of them comes to the driver."""
+    monkeypatch.setattr(bm25, "PUSHED_TERMS", 100)
+    docs = spark.range(2_000).selectExpr("id as doc_id", "concat_ws(' ', 'w', id % 997, id % 89, id % 7) as content")
+    queries = spark.range(100_000).selectExpr("id as query_id", "concat_ws(' ', id % 997, id % 89) as query")
+    words = lambda c: F.split(c, " ")
     index = bm25.build_index(docs, words)
-    monkeypatch.setattr(bm25, "_totals", lambda index: (12, 13.0, 1.0))
-    how = Settings(bm25_k1=0.0, bm25_epsilon=2.5e-6)
-    asked = range(1, 40, 2)
-    queries = spark.createDataFrame([(n, " ".join(["common"] * n)) for n in asked], "query_id long, query string")
-    both = [
-        sorted(tuple(r) for r in bm25.search(queries, index, 5, how, words, bound).collect())
-        for bound in (len(asked), len(asked) - 1)
-    ]
-    assert len(both[0]) == 5 * len(asked)
-    assert both[0] == both[1]
-    assert {score for query, _, score, _ in both[0] if query == 1} == {3e-6}
+    brought = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: brought.append(out := collect(self)) or out)
+    found = bm25.search(queries, index, 3, tokens=words)
+    monkeypatch.undo()
+    assert sum(map(len, brought)) < 200 and "toPandas" not in inspect.getsource(bm25)
+    assert found.select("query_id").distinct().count() == 100_000
+    few = queries.where("query_id in (5, 996, 1994, 99999)")
+    assert sorted(map(tuple, bm25.search(few, index, 3, tokens=words).collect())) == sorted(
+        map(tuple, found.where("query_id in (5, 996, 1994, 99999)").collect())
+    )
+
+
+def test_bm25_reads_the_asked_words_only(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "ROW_GROUP_BYTES", 20_000)
+    docs = spark.range(6_000).selectExpr("id as doc_id", "concat_ws(' ', 'all', 'u' || id, 'v' || id * 7) as content")
+    index = bm25.build_index(docs.coalesce(1), lambda c: F.split(c, " "))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    one = index.postings.where(bm25._any_of("term", ["u17", "it's \\ '"]))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "In(term, [it's \\ ',u17])" in plan or "In(term, [u17,it's \\ '])" in plan
+    assert [r.term for r in one.collect()] == ["u17"]
+    files = index.postings.inputFiles()
+    assert max(pq.ParquetFile(f.removeprefix("file:")).num_row_groups for f in files) > 3
+
+
+def test_bm25_wants_the_settings_of_the_index(spark):
+    index = bm25.build_index(spark.createDataFrame([(1, "a")], "doc_id long, content string"))
+    asked = spark.createDataFrame([(1, "a")], "query_id long, query string")
+    with pytest.raises(ValueError):
+        bm25.search(asked, index, 1, Settings(bm25_k1=0.5))
+
+
+def test_bm25_odd_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, content string")
+    asked = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "query_id long, query string")
+    assert bm25.search(asked, bm25.build_index(none), 3).collect() == []
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "zeta"), (4, "b b")], "doc_id long, content string")
+    assert [r.doc_id for r in bm25.search(asked, bm25.build_index(docs), 3).collect()] == [4]
+    assert bm25.search(asked.where("query_id > 1"), bm25.build_index(docs), 3).collect() == []
 
 
 def test_dense_slices_agree_with_one_pass(spark):

@@ -17,7 +17,8 @@ def test_corpus_and_index(spark, tmp_path):
     index = bm25.build_index(corpus.read_corpus(spark, str(path)))
     corpus.write_index(index, str(tmp_path / "index"))
     again = corpus.read_index(spark, str(tmp_path / "index"))
-    assert again.forward.count() == 2 and again.words.where("term = 'MTAP'").first()["df"] == 1
+    assert again.totals == index.totals and again.totals.n_docs == 2 and again.postings.count() == 8
+    assert again.words.where("term = 'MTAP'").first()["df"] == 1
 
 
 def test_vectors_benchmark_payloads_results(spark, tmp_path):
