@@ -1,34 +1,34 @@
-"""Cosine ranking of stored vectors for many question vectors at once.
+"""Cosine ranking of stored vectors for many question vectors at once, as a join of blocks.
 
-Every question has to be compared with every vector, so nothing is joined: the questions go out
-in slices of a checked size, each task multiplies its vectors block by block and keeps the best k
-for each question. More questions than one slice holds mean more passes over the vectors, never a
-larger broadcast.
+Tasks pack questions and vectors into blocks of ``BLOCK_BYTES`` where they lie. Every question has to be
+compared with every vector, so blocks of vectors are dealt to groups, blocks of questions to parts of
+``PART_BYTES``, and each pair of a group and a part meets in one task by a single shuffle: the questions
+come first and stay, the vector blocks pass by one after the other, and the best k of each question
+leave the task. Nothing goes through the driver, and the number of jobs does not grow with the questions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scale import cut_lineage
 from .topk import HIT_SCHEMA, RunningTopK, rank_hits
 
-SLICE_QUERIES = 20_000
+BLOCK_BYTES = 4 << 20
+#: Questions that a task holds, and vectors that one group lets pass.
+PART_BYTES = 64 << 20
+GROUP_BYTES = 1 << 30
 QUERY_BLOCK = 512
 DOC_BLOCK = 4096
 EPSILON = 1e-8
-
-
-def _matrix(lists: pa.Array, dtype=np.float64) -> np.ndarray:
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(dtype)
-    return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
+BLOCKS = "block long, width int, ids binary, data binary"
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -36,47 +36,97 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(norms, EPSILON)
 
 
-def search(
-    query_vectors: DataFrame, vectors: DataFrame, k: int, slice_queries: int = SLICE_QUERIES
-) -> DataFrame:
-    """(query_id, doc_id, score, rank) from (query_id, embedding) and (vec_id, embedding)."""
-    asked = query_vectors.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    first = asked.limit(slice_queries + 1).toPandas()
-    if len(first) <= slice_queries:
-        hits = [_slice_scores(first, vectors, k)]
-    else:
-        n = -(-asked.count() * 5 // (slice_queries * 4))
-        part = F.pmod(F.xxhash64("query_id"), F.lit(n))
-        hits = [_slice_scores(asked.where(part == i).toPandas(), vectors, k) for i in range(n)]
-    return cut_lineage(rank_hits(reduce(DataFrame.unionByName, hits), k))
-
-
-def _slice_scores(pdf: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    spark = vectors.sparkSession
-    if pdf.empty:
-        return spark.createDataFrame([], HIT_SCHEMA)
-    ids = pdf["query_id"].to_numpy(dtype=np.int64)
-    rows = _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
-    side = spark.sparkContext.broadcast((ids, rows))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_rows = side.value
-        best = RunningTopK(k, positive_only=False)
+def _packed(vectors: DataFrame, id_col: str) -> DataFrame:
+    """Vectors of one length each, packed into blocks: ids as int64 and entries as float64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            for width in np.unique(sizes):
+                own = batch.filter(pa.array(sizes == width))
+                ids = own.column(0).to_numpy()
+                data = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                each = max(1, BLOCK_BYTES // max(8 * int(width), 1))
+                for start in range(0, len(ids), each):
+                    end = min(start + each, len(ids))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([block], pa.int64()),
+                            pa.array([int(width)], pa.int32()),
+                            pa.array([ids[start:end].tobytes()], pa.binary()),
+                            pa.array([data[start * width : end * width].tobytes()], pa.binary()),
+                        ],
+                        names=["block", "width", "ids", "data"],
+                    )
+                    block += 1
+
+    named = vectors.select(F.col(id_col).cast("long").alias("id"), "embedding")
+    whole = named.where("id is not null and embedding is not null and size(embedding) > 0")
+    return cut_lineage(whole.mapInArrow(run, BLOCKS))
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(row["data"], dtype=np.float64).reshape(-1, row["width"])
+    return np.frombuffer(row["ids"], dtype=np.int64), _unit(data)
+
+
+def _dealt(blocks: DataFrame, each: int, least: int) -> tuple[Column, int]:
+    """The share of a block when shares hold ``each`` bytes, and their number."""
+    row = blocks.agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("size")).first()
+    shares = max(-(-(row["size"] or 0) // each), min(row["n"], least), 1)
+    place = F.shiftright("block", 32) + F.col("block").bitwiseAND(0xFFFFFFFF) * 7919
+    return F.pmod(place, F.lit(shares)).cast("int"), shares
+
+
+def search(query_vectors: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank) from (query_id, embedding) and (vec_id, embedding).
+
+    Rows without id or vector take no part, and vectors of different lengths are not compared.
+    """
+    asked, stored = _packed(query_vectors, "query_id"), _packed(vectors, "vec_id")
+    part, parts = _dealt(asked, PART_BYTES, 1)
+    usual = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group, groups = _dealt(stored, GROUP_BYTES, usual)
+    every = lambda number: F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+    rows = asked.select(part.alias("part"), every(groups).alias("grp"), F.lit(0).alias("kind"), *asked.columns).union(
+        stored.select(every(parts).alias("part"), group.alias("grp"), F.lit(1), *stored.columns)
+    )
+    dealt = rows.repartition(groups * parts, "grp", "part").sortWithinPartitions("grp", "part", "kind", "block")
+    return cut_lineage(rank_hits(dealt.mapInArrow(_scorer(k), HIT_SCHEMA), k))
+
+
+def _scorer(k: int):
+    def found(asked: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for _, _, best in asked:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(best.query), pa.array(best.doc), pa.array(best.score)],
+                names=["query_id", "doc_id", "score"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked = None, []
         for batch in batches:
-            for start in range(0, batch.num_rows, DOC_BLOCK):
-                part = batch.slice(start, DOC_BLOCK)
-                doc_ids = part.column(0).to_numpy(zero_copy_only=False)
-                docs = _unit(_matrix(part.column(1)))
-                for q in range(0, len(query_ids), QUERY_BLOCK):
-                    block = slice(q, q + QUERY_BLOCK)
-                    best.add(query_ids[block], doc_ids, query_rows[block] @ docs.T)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(best.query), pa.array(best.doc), pa.array(best.score)],
-            names=["query_id", "doc_id", "score"],
-        )
-
-    stored = vectors.select(F.col("vec_id").cast("long"), "embedding")
-    return stored.where(F.col("embedding").isNotNull()).mapInArrow(score, HIT_SCHEMA)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if at != (row["grp"], row["part"]):
+                    yield from found(asked)
+                    at, asked = (row["grp"], row["part"]), []
+                ids, unit = _unpacked(row)
+                if row["kind"] == 0:
+                    for q in range(0, len(ids), QUERY_BLOCK):
+                        block = slice(q, q + QUERY_BLOCK)
+                        asked.append((ids[block], unit[block], RunningTopK(k, positive_only=False)))
+                    continue
+                for query_ids, queries, best in asked:
+                    if queries.shape[1] != unit.shape[1]:
+                        continue
+                    for d in range(0, len(ids), DOC_BLOCK):
+                        block = slice(d, d + DOC_BLOCK)
+                        best.add(query_ids, ids[block], queries @ unit[block].T)
+        yield from found(asked)
+
+    return run
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -158,14 +158,23 @@ def test_bm25_odd_tables(spark):
     assert bm25.search(asked.where("query_id > 1"), bm25.build_index(docs), 3).collect() == []
 
 
-def test_dense_slices_agree_with_one_pass(spark):
+def test_dense_blocks_agree_with_one_pass(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(80)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     q = v.withColumnRenamed("vec_id", "query_id")
     one_pass = sorted(map(tuple, dense.search(q, v, 4).collect()))
-    slices = sorted(map(tuple, dense.search(q, v, 4, slice_queries=9).collect()))
-    assert one_pass == slices
+    with monkeypatch.context() as m:
+        for name, size in {"BLOCK_BYTES": 300, "PART_BYTES": 900, "GROUP_BYTES": 700, "QUERY_BLOCK": 2, "DOC_BLOCK": 3}.items():
+            m.setattr(dense, name, size)
+        blocks = sorted(map(tuple, dense.search(q.repartition(3), v.repartition(5), 4).collect()))
+    assert one_pass == blocks
+    odd = v.union(spark.createDataFrame([(900, None), (901, []), (None, [1.0] * 8), (902, [1.0] * 3)], v.schema))
+    asked = q.union(spark.createDataFrame([(903, [2.0] * 3), (904, None), (None, [1.0] * 8)], q.schema))
+    odd_rows = sorted(map(tuple, dense.search(asked, odd, 4).collect()))
+    assert [r for r in odd_rows if r[0] != 903] == one_pass and [r[1] for r in odd_rows if r[0] == 903] == [902]
+    assert dense.search(q, v.where("false"), 4).count() == dense.search(q.where("false"), v, 4).count() == 0
+    assert "toPandas" not in inspect.getsource(dense) and "collect(" not in inspect.getsource(dense)
     m = np.array([r[1] for r in rows], dtype=np.float32).astype(float)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     sims = np.round(m @ m.T, 6)
