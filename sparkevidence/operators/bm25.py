@@ -249,6 +249,9 @@ def scored(terms: DataFrame, index: Index, k: int, settings: Settings = DEFAULTS
         F.col("lengths").alias("docs"), "ids",
     )
     rows = wanted.unionByName(asking, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
+    # null lists are slow to hand over to Python: the time of each grows with its batch
+    lists = [x.name for x in rows.schema.fields if x.dataType.typeName() == "array"]
+    rows = rows.withColumns({x: F.coalesce(x, F.array().cast(rows.schema[x].dataType)) for x in lists})
     order = ["grp", "part", "bucket", "kind", "term", "query_id"]
     dealt = rows.repartition(groups * parts, "grp", "part").sortWithinPartitions(*order)
     columns = ["grp", "part", "kind", "bucket", "term", "query_id", "weight", "docs", "tf", "blocks", "tops", "ids"]
