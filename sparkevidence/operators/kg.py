@@ -283,7 +283,8 @@ def drug_evidence(
     )
 
 
-def kg_text_search(queries: DataFrame, facts: DataFrame, k: int = 10) -> DataFrame:
-    """Word search over rendered facts (doc_id, content); hits carry a fixed score."""
-    hits = bm25.search(queries, bm25.build_index(facts), k)
+def kg_text_search(queries: DataFrame, facts: DataFrame | bm25.Index, k: int = 10) -> DataFrame:
+    """Word search over rendered facts (doc_id, content) or their index; hits carry a fixed score."""
+    index = facts if isinstance(facts, bm25.Index) else bm25.build_index(facts)
+    hits = bm25.search(queries, index, k)
     return hits.withColumnRenamed("score", "match_score").withColumn("score", F.lit(0.7))

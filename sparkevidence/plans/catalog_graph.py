@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from . import sql, testbed
+from .catalog_knowledge import _triples
 from .registry import query
 
 EDGES = "edges as (select x_name as src, y_name as dst, display_relation as relationship from triples)"
@@ -27,7 +28,8 @@ def _seeds(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    return testbed.triple_edges(spark, sf_dir)
+    """Edges of the stored triple table."""
+    return testbed.triple_edges(_triples(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- building
@@ -98,12 +100,12 @@ def normalize_names(spark, sf_dir):
 _CHECKED = f"""
     with {sql.pairs()},
     t as (select pair_pos as doc_id, gene_a as src, gene_b as dst from pairs
-      union all select pair_pos, gene_a, c_mktsegment || ' DISEASE' from pairs join orders on o_orderkey = pair_pos
+      union all select pair_pos, gene_a, c_mktsegment || ' DISEASE' from pairs join orders on o_orderkey = pair_pos // 10
         join customer on o_custkey = c_custkey),
     i as (select least(gene_a, gene_b) as lo, greatest(gene_a, gene_b) as hi, max(round(o_totalprice / 500000, 4)) as score
-      from pairs join orders on o_orderkey = pair_pos where o_orderpriority <> '1-URGENT' group by all),
+      from pairs join orders on o_orderkey = pair_pos // 10 where o_orderpriority <> '1-URGENT' group by all),
     a as (select gene_a as s, c_mktsegment || ' DISEASE' as o, max(round(c_acctbal / 10000, 4)) as score
-      from pairs join orders on o_orderkey = pair_pos join customer on o_custkey = c_custkey group by all)"""
+      from pairs join orders on o_orderkey = pair_pos // 10 join customer on o_custkey = c_custkey group by all)"""
 
 
 @query("validate_triplets", f"""{_CHECKED}
@@ -120,7 +122,7 @@ def validate_triplets(spark, sf_dir):
     known = testbed.pairs(spark, sf_dir)
     orders = testbed.table(spark, sf_dir, "orders")
     customer = testbed.table(spark, sf_dir, "customer")
-    rows = known.join(orders, F.col("pair_pos") == F.col("o_orderkey")).join(
+    rows = known.join(orders, testbed.order_of_pair() == F.col("o_orderkey")).join(
         customer, F.col("o_custkey") == F.col("c_custkey")
     )
     disease = F.concat("c_mktsegment", F.lit(" DISEASE"))
@@ -182,7 +184,7 @@ def node_upsert(spark, sf_dir):
         testbed.part_name("l_partkey").alias("id"), F.col("l_returnflag").alias("type"),
         F.lit("part").alias("name"), "l_orderkey", "l_linenumber",
     )
-    return graph.upsert_nodes(testbed.triple_nodes(spark, sf_dir), new, ["l_orderkey", "l_linenumber"])
+    return graph.upsert_nodes(testbed.triple_nodes(_triples(spark, sf_dir)), new, ["l_orderkey", "l_linenumber"])
 
 
 # ---------------------------------------------------------------- traversal
@@ -212,7 +214,7 @@ def find_seeds(spark, sf_dir):
     asked = supplier.unionByName(nation)
     return graph.find_seeds(
         asked.select("query_id", "gene"), asked.select("query_id", "query"),
-        testbed.triple_nodes(spark, sf_dir),
+        testbed.triple_nodes(_triples(spark, sf_dir)),
     )
 
 
@@ -230,7 +232,7 @@ def find_seeds_loose(spark, sf_dir):
             F.concat("r_name", F.lit(" market")).alias("entity"),
         )
     )
-    return graph.find_seeds_loose(asked, testbed.triple_nodes(spark, sf_dir))
+    return graph.find_seeds_loose(asked, testbed.triple_nodes(_triples(spark, sf_dir)))
 
 
 _REACH = f"""
@@ -325,7 +327,7 @@ _CONTEXT = f"""
     select distinct node, content from seeds join ctx using (node)""")
 def node_context(spark, sf_dir):
     return graph.node_context(
-        _seeds(spark, sf_dir), _edges(spark, sf_dir), testbed.triple_nodes(spark, sf_dir)
+        _seeds(spark, sf_dir), _edges(spark, sf_dir), testbed.triple_nodes(_triples(spark, sf_dir))
     )
 
 
@@ -344,7 +346,7 @@ def graph_search(spark, sf_dir):
     found = graph.graph_search(
         asked.select("query_id", F.col("node").alias("gene")),
         asked.select("query_id", F.lower("node").alias("query")),
-        _edges(spark, sf_dir), testbed.triple_nodes(spark, sf_dir),
+        _edges(spark, sf_dir), testbed.triple_nodes(_triples(spark, sf_dir)),
     )
     return found.select("query_id", "node", "hop", "score", "rank", F.md5("content").alias("digest"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dependency, evaluate, kg, pairs
+from ..operators import bm25, dependency, evaluate, kg, pairs
 from ..operators.scale import cut_lineage
 from . import sql, testbed
 from .registry import query, shared
@@ -110,7 +110,7 @@ def gene_correlation(spark, sf_dir):
 
 
 @query("compare_genes", f"""
-    with {sql.MATRIX}, {sql.SUMMARY}, {sql.pairs(3)}, asked as (select distinct gene_a, gene_b from pairs),
+    with {sql.MATRIX}, {sql.SUMMARY}, {sql.pairs(2)}, asked as (select distinct gene_a, gene_b from pairs),
     {_CORRELATION}
     select gene_a, gene_b, correlation, round(a.mean_score, 9) as mean_a, round(b.mean_score, 9) as mean_b,
       a.essential_count as essential_a, b.essential_count as essential_b
@@ -118,7 +118,7 @@ def gene_correlation(spark, sf_dir):
       left join summary b on b.gene = gene_b""")
 def compare_genes(spark, sf_dir):
     out = dependency.compare_genes(
-        testbed.pairs(spark, sf_dir, 3), cut_lineage(testbed.matrix(spark, sf_dir))
+        testbed.pairs(spark, sf_dir, 2), cut_lineage(testbed.matrix(spark, sf_dir))
     )
     return out.select(
         "gene_a", "gene_b", F.round("correlation", 6).alias("correlation"),
@@ -161,7 +161,7 @@ _FIRST = "order by pair_pos, partner, evidence_source, pubmed_id, benchmark_leve
 
 
 @query("validate_pairs", f"""
-    with {sql.pairs()}, {sql.ORIENTED}, {sql.pairs(3, 'others')},
+    with {sql.pairs()}, {sql.ORIENTED}, {sql.pairs(2, 'others')},
     asked as (select distinct gene_a, gene_b from others),
     f as (select * from (select *, row_number() over (partition by gene, partner {_FIRST}) as r
           from oriented) where r = 1)
@@ -171,7 +171,7 @@ _FIRST = "order by pair_pos, partner, evidence_source, pubmed_id, benchmark_leve
       pubmed_id
     from asked left join f on gene_a = gene and gene_b = partner""")
 def validate_pairs(spark, sf_dir):
-    return pairs.validate_pairs(testbed.pairs(spark, sf_dir, 3), testbed.pairs(spark, sf_dir))
+    return pairs.validate_pairs(testbed.pairs(spark, sf_dir, 2), testbed.pairs(spark, sf_dir))
 
 
 _KB = f"""
@@ -450,13 +450,13 @@ def kg_search(spark, sf_dir):
 _LETHALITY = """
     lethality as (select gene_a, gene_b, round(o_totalprice / 500000, 4) as sl_score, evidence_source as evidence_type,
         pubmed_id as pmid, benchmark_level as source
-      from pairs join orders on o_orderkey = pair_pos)"""
+      from pairs join orders on o_orderkey = pair_pos // 10)"""
 
 
 def _lethality(spark, sf_dir):
     orders = testbed.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return (
-        testbed.pairs(spark, sf_dir).join(orders, F.col("pair_pos") == F.col("o_orderkey"))
+        testbed.pairs(spark, sf_dir).join(orders, testbed.order_of_pair() == F.col("o_orderkey"))
         .select(
             "gene_a", "gene_b", F.round(F.col("o_totalprice") / 500000, 4).alias("sl_score"),
             F.col("evidence_source").alias("evidence_type"), F.col("pubmed_id").alias("pmid"),
@@ -549,25 +549,26 @@ def drug_evidence(spark, sf_dir):
 
 
 _FACTS = """
-    select c_custkey as doc_id, upper(c_name) || ' located in ' || upper(n_name) as content
-    from customer join nation on c_nationkey = n_nationkey"""
+    select ('0x' || left(md5(content), 15))::bigint as doc_id, content from (
+      select distinct x_name || ' ' || display_relation || ' ' || y_name as content from triples)"""
 _ASK_NATION = "select n_nationkey as query_id, 'who is located in ' || n_name as query from nation"
 
 
+def _facts(spark, sf_dir):
+    """Every triple as a sentence, under a number made from it."""
+    content = F.concat_ws(" ", "x_name", "display_relation", "y_name").alias("content")
+    number = F.conv(F.substring(F.md5("content"), 1, 15), 16, 10).cast("long")
+    return _triples(spark, sf_dir).select(content).distinct().select(number.alias("doc_id"), "content")
+
+
 @query("kg_text_search", f"""
-    with {sql.bm25(_ASK_NATION, _FACTS)}
+    with {sql.TRIPLES}, {sql.bm25(_ASK_NATION, _FACTS)}
     select query_id, doc_id, score as match_score, rank, 0.7::double as score from hits""")
 def kg_text_search(spark, sf_dir):
-    """Word search over the rendered facts on all customers."""
-    nation = testbed.table(spark, sf_dir, "nation")
-    facts = testbed.table(spark, sf_dir, "customer").join(
-        nation, F.col("c_nationkey") == F.col("n_nationkey")
-    ).select(
-        F.col("c_custkey").alias("doc_id"),
-        F.concat(F.upper("c_name"), F.lit(" located in "), F.upper("n_name")).alias("content"),
-    )
-    asked = nation.select(
+    """Word search over the rendered facts of the whole triple table."""
+    asked = testbed.table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("long").alias("query_id"),
         F.concat(F.lit("who is located in "), "n_name").alias("query"),
     )
-    return kg.kg_text_search(asked, facts)
+    index = shared(spark, sf_dir, "fact_index", lambda: bm25.build_index(_facts(spark, sf_dir)))
+    return kg.kg_text_search(asked, index)

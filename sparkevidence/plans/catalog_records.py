@@ -154,7 +154,7 @@ def extract_dates(spark, sf_dir):
 
 
 _HITS = f"""
-    hits as (select conv_id as query_id, turn as pos, 'Hit ' || turn as title, url as link, left(text, 80) as snippet, role as date
+    hits as (select conv_id as query_id, turn as pos, 'Hit ' || turn as title, url as link, text as snippet, role as date
       from conversations join pages on page_id = (conv_id * 7 + turn) % (select count(*) from pages)),
     first as (select * from (select *, row_number() over (partition by query_id, link order by pos) as r from hits) where r = 1),
     kept as (select * from (select *, row_number() over (partition by query_id order by pos) as r2 from first) where r2 <= 20),
@@ -180,7 +180,7 @@ def web_candidates(spark, sf_dir):
     hits = turns.join(pages.select("page_id", "url"), "page_id").select(
         F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"),
         F.concat(F.lit("Hit "), F.col("turn").cast("string")).alias("title"),
-        F.col("url").alias("link"), F.substring("text", 1, 80).alias("snippet"),
+        F.col("url").alias("link"), F.col("text").alias("snippet"),
         F.col("role").alias("date"),
     )
     body = urls.main_text("html")
@@ -443,14 +443,14 @@ def record_texts(spark, sf_dir):
 
 @query("hit_lists", """
     select page_id, 'Web Search Results:' || chr(10) || chr(10) || '1. No title' || chr(10) || '   URL: ' || url || chr(10)
-      || '   ' || left(html, 40) || chr(10) || chr(10) || '2. Page ' || page_id || chr(10) || '   URL: N/A' || chr(10) as listing
+      || '   ' || html || chr(10) || chr(10) || '2. Page ' || page_id || chr(10) || '   URL: N/A' || chr(10) as listing
     from pages""")
 def hit_lists(spark, sf_dir):
     """Two hits for each page: one without a title, one without link and snippet."""
     none = F.lit(None).cast("string")
     hits = F.array(
         F.struct(
-            none.alias("title"), F.col("url").alias("link"), F.substring("html", 1, 40).alias("snippet")
+            none.alias("title"), F.col("url").alias("link"), F.col("html").alias("snippet")
         ),
         F.struct(
             F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"),

@@ -142,15 +142,15 @@ HISTOGRAM = """
                   where score < -0.5 group by all)"""
 
 
-def pairs(second: int = 2, name: str = "pairs") -> str:
+def pairs(apart: int = 1, name: str = "pairs") -> str:
     return f"""
     {name} as (select 'G' || (a.l_partkey % 100) as gene_a, 'G' || (b.l_partkey % 100) as gene_b,
                  o_orderpriority as evidence_source, o_orderkey::varchar as pubmed_id,
                  case when o_orderstatus = 'F' then 'Gold' else 'Silver' end as benchmark_level,
-                 o_orderkey as pair_pos
+                 o_orderkey * 10 + a.l_linenumber as pair_pos
                from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey
                  join orders on a.l_orderkey = o_orderkey
-               where a.l_linenumber = 1 and b.l_linenumber = {second}
+               where b.l_linenumber = a.l_linenumber + {apart}
                  and a.l_partkey % 100 <> b.l_partkey % 100)"""
 
 

@@ -101,23 +101,24 @@ def cell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_genes(spark: SparkSession, sf_dir: str, line: int, gene: str, part: str) -> DataFrame:
-    """Gene and part of one line number of each order."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where(F.col("l_linenumber") == line)
-        .select("l_orderkey", gene_of("l_partkey").alias(gene), F.col("l_partkey").alias(part))
+def order_genes(spark: SparkSession, sf_dir: str, back: int, gene: str) -> DataFrame:
+    """The gene of each order line, under the number of the line ``back`` before it."""
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", (F.col("l_linenumber") - back).alias("line"), gene_of("l_partkey").alias(gene)
     )
 
 
-def pairs(spark: SparkSession, sf_dir: str, second: int = 2) -> DataFrame:
-    """Known pairs: the genes of two lines of one order."""
+def pairs(spark: SparkSession, sf_dir: str, apart: int = 1) -> DataFrame:
+    """Known pairs: the genes of any two lines of one order that are ``apart`` numbers apart.
+
+    ``pair_pos`` is ten times the order plus the number of the first line.
+    """
     none = F.lit("")
-    a = order_genes(spark, sf_dir, 1, "gene_a", "part_a")
-    b = order_genes(spark, sf_dir, second, "gene_b", "part_b")
+    a = order_genes(spark, sf_dir, 0, "gene_a")
+    b = order_genes(spark, sf_dir, apart, "gene_b")
     orders = table(spark, sf_dir, "orders")
     return (
-        a.join(b, "l_orderkey")
+        a.join(b, ["l_orderkey", "line"])
         .where(F.col("gene_a") != F.col("gene_b"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
@@ -130,11 +131,16 @@ def pairs(spark: SparkSession, sf_dir: str, second: int = 2) -> DataFrame:
             F.when(F.col("o_orderstatus") == "F", "Gold").otherwise("Silver").alias(
                 "benchmark_level"
             ),
-            F.col("o_orderkey").alias("pair_pos"),
+            (F.col("o_orderkey") * 10 + F.col("line")).alias("pair_pos"),
         )
     )
 
 
+def order_of_pair():
+    """The order that a pair comes from."""
+    return F.floor(F.col("pair_pos") / 10)
+
+
 def part_name(column: str):
     return F.concat(F.lit("PART#"), F.col(column).cast("string"))
 
@@ -203,16 +209,15 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trade_triples(spark, sf_dir).unionByName(place_triples(spark, sf_dir))
 
 
-def triple_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triples(spark, sf_dir).select(
+def triple_edges(triples: DataFrame) -> DataFrame:
+    return triples.select(
         F.col("x_name").alias("src"), F.col("y_name").alias("dst"),
         F.col("display_relation").alias("relationship"),
     )
 
 
-def triple_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = triples(spark, sf_dir)
-    ends = t.select(F.col("x_name").alias("id"), F.col("x_type").alias("type")).unionByName(
-        t.select(F.col("y_name").alias("id"), F.col("y_type").alias("type"))
+def triple_nodes(triples: DataFrame) -> DataFrame:
+    ends = triples.select(F.col("x_name").alias("id"), F.col("x_type").alias("type")).unionByName(
+        triples.select(F.col("y_name").alias("id"), F.col("y_type").alias("type"))
     )
     return ends.distinct().withColumn("name", F.lower("id"))
