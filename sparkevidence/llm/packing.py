@@ -50,13 +50,12 @@ class Encoder:
     """Token ids of whole texts, with the ids of space-separated stretches remembered.
 
     A byte-level tokenizer splits a text before any single space between two other characters, so
-    the stretches between such spaces can be encoded alone. Texts with other white space beside a space, and all texts of other tokenizers, are
-    encoded whole. The memory is bounded: it is emptied at ``CACHE_ENTRIES``.
+    the stretches between such spaces can be encoded alone; its added tokens hold no space. Texts with
+    other white space beside a space, and all texts of other tokenizers, are encoded whole. The memory is bounded: it is emptied at ``CACHE_ENTRIES``.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         splitter = type(self.tokenizer.pre_tokenizer).__name__
         self.splits = splitter == "ByteLevel" and self.tokenizer.normalizer is None
         self.after_space: dict[str, bytes] = {}

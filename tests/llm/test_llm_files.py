@@ -55,7 +55,6 @@ def test_packing_corner_cases(spark, tokenizer, no_documents, monkeypatch):
     rows = [(i, t) for i, t in enumerate(texts)] + [(1, ""), (3, texts[3])]
     rows += [(100 + i, "t " * (17 * i)) for i in range(60)]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, piece int").repartition(5)
-    tokenizer.encode_special_tokens = True
     check_packing(tokenizer, rows, packing.placed_pieces(packing.pack(docs)).collect())
     assert packing.placed_pieces(packing.pack(no_documents)).count() == 0
     null_id = spark.createDataFrame([(None, "a")], "doc_id long, text string")
@@ -71,9 +70,10 @@ def test_packing_with_ids(spark, tokenizer):
 
 
 def test_encoder_equals_tokenizer(tokenizer):
-    tokenizer.encode_special_tokens = True
     texts = ["", " ", "  a", "a  b", "a \n b", "it's o'clock 's", "x\n\ny z", "a\tb c", "\x1ca b\x1c c",
-             " lead", "trail ", "Ünï 12ab, ... !! (foo) <|endoftext|>", "a\u00a0b c", "日本 語 text"]
+             " lead", "trail ", "Ünï 12ab, ... !! (foo) <|endoftext|>", "a\u00a0b c", "日本 語 text",
+             "foo <|endoftext|> bar", "<|endoftext|> x", "a<|endoftext|>b c", "x <|endoftext|>", "<|endoftext|><|endoftext|>",
+             "a  <|endoftext|> b", "<|endoftext| > y"]
     found = packing.Encoder(packing.TOKENIZER).encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [
         tokenizer.encode(t, add_special_tokens=False).ids for t in texts
