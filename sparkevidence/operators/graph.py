@@ -260,12 +260,17 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     return reached
 
 
+#: Levels whose tables are read one by one before they are put together.
+KEPT_LEVELS = 8
+
+
 def _directed_levels(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """(query_id, node, hop): shortest directed distance from the seeds, to the last level."""
-    reached = cut_lineage(
-        seeds.select("query_id", "node").distinct().withColumn("hop", F.lit(0))
-    )
-    frontier, level = reached, 0
+    """(query_id, node, hop): shortest directed distance from the seeds, to the last level.
+
+    Each level is a table of its own, so what was reached is not written again with every level.
+    """
+    frontier = cut_lineage(seeds.select("query_id", "node").distinct().withColumn("hop", F.lit(0)))
+    reached, level = frontier, 0
     while True:
         level += 1
         frontier = cut_lineage(
@@ -273,7 +278,9 @@ def _directed_levels(seeds: DataFrame, links: DataFrame) -> DataFrame:
         )
         if frontier.isEmpty():
             return reached
-        reached = cut_lineage(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)
+        if level % KEPT_LEVELS == 0:
+            reached = cut_lineage(reached)
 
 
 def distance_to_seeds(targets: DataFrame, seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -325,61 +332,64 @@ def relevance(targets: DataFrame, seeds: DataFrame, edges: DataFrame) -> DataFra
 # ---------------------------------------------------------------- paths and neighbours
 
 
+def _walks(starts: DataFrame, links: DataFrame, steps: int, forward: bool) -> list[DataFrame]:
+    """Simple walks of 1 to ``steps`` steps from, or with ``forward`` false to, the given nodes.
+
+    Each is (end, at, path, relations): ``path`` holds its nodes in the direction of the edges, with
+    ``end`` at one side and ``at`` at the other.
+    """
+    walks = starts.select(
+        "end", F.col("end").alias("at"), F.array("end").alias("path"),
+        F.array().cast("array<string>").alias("relations"),
+    )
+    out = []
+    for _ in range(steps):
+        node, name = F.array("next"), F.array("relationship")
+        grown = walks.join(links, "at").where(~F.array_contains("path", F.col("next")))
+        walks = cut_lineage(grown.select(
+            "end", F.col("next").alias("at"),
+            (F.concat("path", node) if forward else F.concat(node, "path")).alias("path"),
+            (F.concat("relations", name) if forward else F.concat(name, "relations")).alias("relations"),
+        ))
+        out.append(walks)
+    return out
+
+
 def find_paths(
     pairs: DataFrame, edges: DataFrame, max_length: int = 4, limit: int = 10
 ) -> DataFrame:
     """(source, target, rank, path, text): the first simple directed paths between two nodes.
 
-    Shorter paths come first, equal ones by their nodes. Only nodes that can still reach the
-    target in the steps left are visited, and a pair that has its paths is not searched further.
+    Shorter paths come first, equal ones by their nodes. Walks from the source and walks to the target
+    meet in the middle: a path of four steps is two steps forward and two back with no node in common
+    but the middle one, so no more than the square of the degree is kept for a node. A pair that has
+    its paths is not searched further.
     """
-    asked = pairs.select("source", "target").distinct()
-    back = edges.select(F.col("dst").alias("at"), F.col("src").alias("prev")).distinct()
-    near = asked.select("target").distinct().withColumns({"at": F.col("target"), "left": F.lit(0)})
-    frontier = near
-    for step in range(1, max_length):
-        frontier = (
-            frontier.join(back, "at")
-            .select("target", F.col("prev").alias("at"))
-            .distinct()
-            .join(near, ["target", "at"], "left_anti")
-            .withColumn("left", F.lit(step))
-        )
-        near = near.unionByName(frontier)
-    near = cut_lineage(near)
-
+    asked = pairs.select("source", "target").where(F.col("source") != F.col("target")).distinct()
     out = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"), "relationship")
-    open_paths = asked.where(F.col("source") != F.col("target")).select(
-        "source", "target", F.col("source").alias("at"),
-        F.array("source").alias("path"), F.array().cast("array<string>").alias("relations"),
-    )
-    done = None
+    into = edges.select(F.col("dst").alias("at"), F.col("src").alias("next"), "relationship")
+    ends = lambda c: asked.select(F.col(c).alias("end")).distinct()
+    ahead = _walks(ends("source"), out, (max_length + 1) // 2, True)
+    behind = _walks(ends("target"), into, max_length // 2, False)
+    done, open_pairs = None, asked
     for length in range(1, max_length + 1):
-        grown = (
-            open_paths.join(out, "at")
-            .where(~F.array_contains("path", F.col("next")))
-            .join(
-                near.select("target", F.col("at").alias("next"), "left"), ["target", "next"]
+        first = ahead[(length + 1) // 2 - 1].withColumnRenamed("end", "source")
+        met = open_pairs.join(first, "source")
+        if length == 1:
+            met = met.where(F.col("at") == F.col("target")).select("source", "target", "path", "relations")
+        else:
+            rest = behind[length // 2 - 1].select(
+                F.col("end").alias("target"), "at", F.col("path").alias("tail"), F.col("relations").alias("more")
             )
-            .where(F.col("left") <= max_length - length)
-            .select(
-                "source", "target", F.col("next").alias("at"),
-                F.concat("path", F.array("next")).alias("path"),
-                F.concat("relations", F.array("relationship")).alias("relations"),
+            head = F.slice("path", F.lit(1), F.size("path") - 1)
+            met = met.join(rest, ["target", "at"]).where(~F.arrays_overlap(head, F.col("tail"))).select(
+                "source", "target", F.concat(head, "tail").alias("path"),
+                F.concat("relations", "more").alias("relations"),
             )
-        )
-        grown = cut_lineage(grown)
-        hit = top_k(
-            grown.where(F.col("at") == F.col("target")), limit, ["source", "target"],
-            [F.asc("path")], "n",
-        ).drop("n", "at")
+        hit = cut_lineage(top_k(met, limit, ["source", "target"], [F.asc("path")], "n").drop("n"))
         done = hit if done is None else done.unionByName(hit)
-        full = done.groupBy("source", "target").agg(F.count("*").alias("c")).where(
-            F.col("c") >= limit
-        )
-        open_paths = grown.where(F.col("at") != F.col("target")).join(
-            full.select("source", "target"), ["source", "target"], "left_anti"
-        )
+        full = done.groupBy("source", "target").agg(F.count("*").alias("c")).where(F.col("c") >= limit)
+        open_pairs = asked.join(full.select("source", "target"), ["source", "target"], "left_anti")
     text = F.array_join(
         F.transform(
             F.sequence(F.lit(1), F.size("relations")),

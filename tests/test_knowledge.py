@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -319,3 +320,55 @@ def test_lineage_is_cut(spark):
     df = scale.cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2))
     assert df.count() == 5 and len(df.inputFiles()) > 0
     assert scale.at_most(df, 5) and not scale.at_most(df, 4)
+
+
+def test_substring_join_by_the_rarest_gram(spark):
+    names = [f"CUSTOMER#{i:09d}" for i in range(300)] + ["a", "ab", "xaby", "", None, "Ünï-çödé", "x" * 40]
+    needles = [f"CUSTOMER#{i:09d}" for i in range(0, 300, 7)] + [
+        "CUSTOMER#", "a", "ab", "b", "zz", "", None, "ï-ç", "00000012", "x" * 30, "x" * 41, "MER#0000000", "q" * 12,
+    ]
+    got = grams.substring_join(
+        spark.createDataFrame([(x, 1) for x in needles * 2], "w string, n int"), "w",
+        spark.createDataFrame([(x, 2) for x in names * 2], "t string, n int"), "t",
+    )
+    want = sorted((w, t) for w in set(needles) for t in set(names) if w and t and w in t)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_substring_candidates_are_about_the_matches(spark, monkeypatch):
+    """Names that share all but their last characters: candidates grow with the matches, not with the pairs."""
+    names = spark.range(3_000).selectExpr("concat('CUSTOMER#', lpad(id, 9, '0')) as t")
+    needles = names.where("right(t, 1) = '7'").withColumnRenamed("t", "w")
+    joined = grams.substring_join(needles, "w", names, "t")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan
+    monkeypatch.setattr(grams.F, "contains", lambda a, b: grams.F.lit(True))
+    candidates = grams.substring_join(needles, "w", names, "t").count()
+    assert joined.count() == 300 and candidates <= 600
+
+
+def test_paths_against_a_plain_search(spark):
+    rnd = random.Random(3)
+    edges = sorted({(f"n{rnd.randrange(14)}", f"n{rnd.randrange(14)}") for _ in range(45)})
+    links = defaultdict(list)
+    for a, b in edges:
+        links[a].append(b)
+
+    def walks(path, target, most):
+        if path[-1] == target:
+            return [path]
+        if len(path) > most:
+            return []
+        return [w for n in links[path[-1]] if n not in path for w in walks([*path, n], target, most)]
+
+    pairs_ = [("n0", "n5"), ("n3", "n9"), ("n1", "n1"), ("n2", "nowhere"), ("n7", "n13")]
+    df = spark.createDataFrame([(a, b, f"{a}>{b}") for a, b in edges], "src string, dst string, relationship string")
+    asked = spark.createDataFrame(pairs_ * 2, "source string, target string")
+    for most, limit in ((4, 10), (5, 3), (3, 100), (1, 2)):
+        got = defaultdict(list)
+        for r in graph.find_paths(asked, df, most, limit).orderBy("source", "target", "rank").collect():
+            got[r.source, r.target].append(r.path)
+            assert r.text == "; ".join(f"{a} -[{a}>{b}]-> {b}" for a, b in zip(r.path, r.path[1:]))
+        for a, b in set(pairs_):
+            want = sorted(walks([a], b, most), key=lambda p: (len(p), p))[:limit] if a != b else []
+            assert got[a, b] == want
