@@ -79,24 +79,23 @@ class Encoder:
             if len(known) > CACHE_ENTRIES:
                 known.clear()
         split = [text.split(" ") for text in texts]
-        self._learn(self.at_start, {x[0] for x in split if x[0] not in self.at_start}, "")
-        found = [self._ids(parts) for parts in split]
-        new: set[str] = set()
-        for parts, ids in zip(split, found):
-            if None in ids:
-                new.update(x for x, known in zip(parts[1:], ids[1:]) if known is None)
-        self._learn(self.after_space, new, " ")
-        out = []
-        for text, parts, ids in zip(texts, split, found):
-            if None in ids:
-                ids = self._ids(parts)
-            out.append(self._whole([text])[0] if None in ids else b"".join(ids))
+        out = [self._ids(parts) for parts in split]
+        failed = [i for i, ids in enumerate(out) if ids is None]
+        heads = {split[i][0] for i in failed} - self.at_start.keys()
+        self._learn(self.at_start, heads, "")
+        self._learn(self.after_space, {x for i in failed for x in split[i][1:]} - self.after_space.keys(), " ")
+        for i in failed:
+            ids = self._ids(split[i])
+            out[i] = self._whole([texts[i]])[0] if ids is None else ids
         return out
 
-    def _ids(self, parts: list[str]) -> list[bytes | None]:
-        ids = list(map(self.after_space.get, parts))
-        ids[0] = b"" if not parts[0] else self.at_start.get(parts[0])
-        return ids
+    def _ids(self, parts: list[str]) -> bytes | None:
+        """The ids of a split text, or None where a stretch is not known."""
+        try:
+            head = self.at_start[parts[0]] if parts[0] else b""
+            return head + b"".join(map(self.after_space.__getitem__, parts[1:]))
+        except KeyError:
+            return None
 
 
 @lru_cache(maxsize=2)
