@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
-from .jaccard import near_duplicates
+from .jaccard import near_groups
 from .kdtree import top_k, whole_vectors
 from .langid import learn_and_identify
 from .line_dedup import build_index, drop_lines
@@ -190,7 +190,7 @@ left join (select doc_id, min(c) c from reach group by 1) using (doc_id)
 
 @query("op8_jaccard_join", OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
+    return near_groups(table(spark, sf_dir, "documents"))
 
 
 @query("op3_toxicity")

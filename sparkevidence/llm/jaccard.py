@@ -1,11 +1,13 @@
 """Jaccard join of documents by their word shingles.
 
-``near_duplicates`` and ``linked_classes`` find every link between classes of equal sets: candidates
-are the pairs that sizes and the number of shared prefix shingles (step 2) leave, and each one is
-verified. A group of k near copies with different texts has up to k(k-1)/2 links, and as many are
-compared and stored. Prefix shingles meet in a window by shingle, so one task sees all holders of
-one. ``keep_first`` needs components only and takes the metric-space join below, whose search leaves
-out documents that links already connect.
+``near_groups`` and ``keep_first`` need the connected components of the links, found by the
+metric-space join below; its search leaves out documents that links already connect, so a large
+group of near copies costs one distance each.
+
+``near_duplicates`` and ``linked_classes`` are a listing beside it, for callers that want every link
+or the number of links: candidates are the pairs that sizes and the number of shared prefix shingles
+(step 2) leave, and each one is verified. A group of k near copies with different texts has up to
+k(k-1)/2 links, and as many are compared and stored; no query or pipeline stage calls them.
 
 The Jaccard distance of shingle sets is a metric. Two documents link at a distance of at most
 ``RADIUS`` (1 - 0.75). The steps:
@@ -16,7 +18,8 @@ The Jaccard distance of shingle sets is a metric. Two documents link at a distan
    Linked documents share at least m of the first n - ceil(0.75 n) + m shingles of each set in any
    fixed order; m is a tenth of n (one at least, and one less is asked for, against rounding). So
    documents with fewer shared ones among those link with nothing and go, as do all copies of a
-   class but the one that holds it, and the others are replicated into the regions of their shared ones. The order puts shingles that a sample of
+   class but the one that holds it, and the others are replicated into the regions of their shared
+   ones. The order puts shingles that a sample of
    ``SAMPLE_DOCS`` documents shows to be frequent last, else it goes by hash; the sample decides
    about cost only. Linked sets differ in size by a third at most, so regions are cut into bands of
    sizes, each with the next smaller one. Regions with the same members are joined once.
@@ -30,8 +33,7 @@ The Jaccard distance of shingle sets is a metric. Two documents link at a distan
    of pivots doubles each round. Pivots leave their region, so the recursion ends.
 4. Links give connected components.
 
-There only distances between members and pivots are computed; a large group of near copies costs one
-distance each. No step of it gathers a region: counts and minima are partial sums, and joins on a hot
+There only distances between members and pivots are computed. No step of it gathers a region: counts and minima are partial sums, and joins on a hot
 region or pivot have one row on the other side, which adaptive execution can split.
 
 Defined results: a null or empty text has an empty set and links with nothing; rows without an id
@@ -45,10 +47,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scale import broadcast_if_small
 from .components import components
 from .tables import stored
 from .words import Words, grams, lists, mix, signed, slices, words_of
@@ -138,22 +140,12 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return np.array(sorted(r.shingle for r in rows), dtype=np.int64).view(np.uint64)
 
 
-def _squeezed(batches):
-    squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        texts = [squeeze.compress((x or "").encode()) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "packed"]
-        )
-
-
-def _unpacked_sets(batches):
-    unpack = zstandard.ZstdDecompressor()
+def _set_rows(batches):
     for batch in batches:
-        texts = pa.array([unpack.decompress(x) for x in batch.column("packed").to_pylist()], pa.binary())
-        value, n = shingle_sets(words_of(texts, lower=True))
-        made = [batch.column("doc_id"), lists(signed(value), n, pa.int64())]
-        yield pa.RecordBatch.from_arrays(made, names=["doc_id", "shingles"])
+        for part in slices(batch, "text"):
+            value, n = shingle_sets(words_of(part.column("text"), lower=True))
+            made = [part.column("doc_id"), lists(signed(value), n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "shingles"])
 
 
 @dataclass
@@ -181,40 +173,42 @@ def _distinct_regions(members: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The shingle sets (doc_id, shingles) of the documents in ``found`` (doc_id)."""
-    packed = docs.mapInArrow(_squeezed, "doc_id bigint, packed binary")
-    return packed.join(found.hint("shuffle_merge"), "doc_id").mapInArrow(
-        _unpacked_sets, "doc_id bigint, shingles array<bigint>"
+    """The shingle sets (doc_id, shingles) of the documents in ``found`` (doc_id).
+
+    Texts stay where they are read as long as the ids are few enough to be sent to them.
+    """
+    return docs.join(broadcast_if_small(found), "doc_id", "left_semi").mapInArrow(
+        _set_rows, "doc_id bigint, shingles array<bigint>"
     )
 
 
 def _coarse_regions(docs: DataFrame, profile: DataFrame, heads: DataFrame) -> Regions:
     """Regions of the shared shingles of documents (doc_id, n, prefix) that may link at all.
 
-    ``heads`` (doc) are the documents that hold a class; the others go once texts are no matter any
-    more, so that no join moves the prefixes.
+    ``heads`` (doc) are the documents that hold a class; the others go before prefixes are taken
+    apart. Shingles are counted by partial sums, so no task sees all holders of a hot one.
     """
-    held = profile.select(F.explode("prefix").alias("shingle"), F.col("doc_id").alias("doc"))
+    own = profile.select(F.col("doc_id").alias("doc"), "n", "prefix").join(
+        broadcast_if_small(heads), "doc", "left_semi"
+    )
+    held = own.select(F.explode("prefix").alias("shingle"), "doc", "n")
     shared = held.groupBy("shingle").count().where("count > 1").select("shingle")
     touching = stored(held.join(shared.hint("shuffle_merge"), "shingle"))
-    sizes = profile.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    band = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100 / PERCENT)))
     live = (
-        touching.groupBy("doc")
+        touching.groupBy("doc", "n")
         .count()
-        .join(sizes.hint("shuffle_merge"), "doc")
-        .join(heads.hint("shuffle_merge"), "doc", "left_semi")
-        .where(F.col("count") >= F.greatest(F.lit(1), F.floor(F.col("low") / TENTH) - 1))
-        .select("doc", F.sequence(band("low"), band("high") + 1).alias("bands"))
+        .where(F.col("count") >= F.greatest(F.lit(1), F.floor(F.col("n") / TENTH) - 1))
+        .select("doc", "n")
     )
-    placed = (
-        touching.join(live.hint("shuffle_merge"), "doc")
-        .select("shingle", "doc", F.explode("bands").alias("band"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
+    placed = stored(
+        touching.join(live.hint("shuffle_merge"), ["doc", "n"])
+        .select("shingle", "doc", F.explode(F.array(band, band + 1)).alias("band"))
         .select(F.xxhash64("shingle", "band").alias("region"), "doc")
+        .distinct()
     )
-    placed = stored(placed)
     members = stored(_distinct_regions(placed.withColumn("own", F.lit(True))))
-    found = members.select(F.col("doc").alias("doc_id")).distinct()
+    found = stored(members.select(F.col("doc").alias("doc_id")).distinct())
     return Regions(members, stored(_sets_of(docs, found)))
 
 
@@ -370,7 +364,7 @@ def _links(docs: DataFrame, profile: DataFrame, heads: DataFrame) -> DataFrame:
         .distinct()
     )
     candidates = stored(candidates)
-    found = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    found = stored(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = stored(_sets_of(docs, found))
     return stored(_distances(candidates, sets).where("linked").select("a", "b").distinct())
 
@@ -444,16 +438,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of documents (doc_id, text).
+
+    Found by the Voronoi recursion: each class of equal sets is held by one document, and each
+    holder meets pivots, not all of its group, so the work does not grow with a group's square.
+    """
+    rows, with_set, known, heads = _prepared(docs)
+    labels = _linked_components(_coarse_regions(rows, with_set, heads))
+    return _with_components(known, labels).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id; rows without an id stay.
 
-    Of rows repeated under that id one stays. Only components matter here, so documents that links
-    already connect are not compared.
+    Of rows repeated under that id one stays: the one whose text comes first, null before all
+    texts. Rows of the same id and text that differ elsewhere are told by a hash of all columns.
     """
-    rows, with_set, known, heads = _prepared(docs)
-    found = _with_components(known, _linked_components(_coarse_regions(rows, with_set, heads)))
-    others = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(others.hint("shuffle_merge"), "doc_id", "left_anti")
-    return kept.where("doc_id is null").unionByName(
-        kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    found = stored(near_groups(docs))
+    others = stored(found.where("component_id < doc_id").select("doc_id").distinct())
+    several = stored(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    kept = docs.join(broadcast_if_small(others), "doc_id", "left_anti")
+    once = kept.join(broadcast_if_small(several), "doc_id", "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    place = F.struct(F.col("text"), F.xxhash64(*columns))
+    first = (
+        kept.join(broadcast_if_small(several), "doc_id", "left_semi")
+        .groupBy("doc_id")
+        .agg(F.min_by(F.struct(*columns), place).alias("row"))
+        .select("row.*")
     )
+    return once.select(*columns).unionByName(first)

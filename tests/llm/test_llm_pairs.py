@@ -33,6 +33,41 @@ def test_jaccard_chains_and_clouds(spark, seed):
     assert joined(jaccard.near_duplicates(docs)) == brute.near_duplicates(rows)
 
 
+def cloud(seed):
+    """Near copies of near copies, many documents around one, and short ones."""
+    rnd = random.Random(seed)
+    rows, base = [], [f"b{i}" for i in range(60)]
+    for i in range(120):
+        own = list(base)
+        for _ in range(rnd.randrange(0, 9)):
+            own[rnd.randrange(60)] = f"x{rnd.randrange(40)}"
+        rows.append((i * 3 % 121, " ".join(own[: rnd.randrange(30, 61)])))
+    return rows + [(200 + i, " ".join(f"s{j}" for j in range(i, i + 6))) for i in range(12)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_voronoi_groups_of_chains_and_clouds(spark, seed):
+    rows = cloud(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert joined(jaccard.near_groups(docs)) == brute.near_duplicates(rows)
+
+
+def test_voronoi_groups(mixed, mixed_rows, no_documents):
+    rows = [r for r in mixed_rows if r[1] != "another text under a known id"]
+    docs = mixed.where("text is null or text <> 'another text under a known id'")
+    assert joined(jaccard.near_groups(docs)) == brute.near_duplicates(rows)
+    assert jaccard.near_groups(no_documents).count() == 0
+
+
+def test_keep_first_of_repeated_ids(spark):
+    """Of different texts under one id the first in order stays, whatever the order of the rows."""
+    rows = [(5, "zebra " * 9, "a"), (5, "apple pie", "b"), (5, None, "c"), (6, "x y z", "d"), (6, "a b c", "e")]
+    rows += [(None, "x y z", "f"), (None, "x y z", "f"), (7, "x  Y z", "g"), (8, "own text here", "h")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, row string").repartition(2)
+        assert sorted(r.row for r in jaccard.keep_first(docs).collect()) == ["c", "e", "f", "f", "h"]
+
+
 def test_jaccard_links(spark):
     """Every link between different texts is there, and copies count by the size of their class."""
     rnd, base = random.Random(7), [f"b{i}" for i in range(80)]
