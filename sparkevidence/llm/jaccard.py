@@ -30,7 +30,7 @@ The Jaccard distance of shingle sets is a metric. Two documents link at a distan
    is no set of cells (nearly all distances are alike) and stays whole, without its pivots. Documents that links already connect need no comparison: the
    members that are not connected with the cell's most common component stay, and of the others
    those whose distance to the pivot is within a radius of theirs (triangle inequality). The number
-   of pivots doubles each round. Pivots leave their region, so the recursion ends.
+   of pivots grows ``PIVOT_GROWTH`` times each round. Pivots leave their region, so the recursion ends.
 4. Links give connected components.
 
 There only distances between members and pivots are computed. No step of it gathers a region: counts and minima are partial sums, and joins on a hot
@@ -60,6 +60,7 @@ PERCENT = 75
 RADIUS = 1 - PERCENT / 100
 TENTH = 10
 SPLIT_LIMIT = 1.5
+PIVOT_GROWTH = 4
 SAMPLE_DOCS = 10_000
 FREQUENT_IN_SAMPLE = 3
 FREQUENT_LIMIT = 200_000
@@ -312,7 +313,7 @@ def _linked_components(regions: Regions) -> DataFrame:
         members = stored(_distinct_regions(cells))
         if not members.where("own").take(1):
             return labels
-        pivots_each, step = 2 * pivots_each, step + 1
+        pivots_each, step = PIVOT_GROWTH * pivots_each, step + 1
 
 
 def _links(docs: DataFrame, profile: DataFrame, heads: DataFrame) -> DataFrame:
