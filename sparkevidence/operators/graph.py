@@ -1,14 +1,15 @@
 """The graph of extracted triplets: building, expansion, distances, paths and its texts.
 
-Edges are rows (src, dst, relationship). Traversals keep one row for each reached node of each
-question and join it with the edges; hub nodes are therefore spread like any other rows, and every
-round drops what is known already. Loops that may run long write out each round.
+Edges are rows (src, dst, relationship). Breadth-first levels keep, for each reached node, bit sets of
+the questions that reached it, and join them with the edges once for all questions; hub nodes are
+spread like any other rows, every level drops what is known already and is written out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..config import DEFAULTS, DISEASE_KEYWORDS, Settings
 from ..functions.common import contains_any
@@ -232,63 +233,98 @@ def find_seeds_loose(entities: DataFrame, nodes: DataFrame) -> DataFrame:
     return asked.join(hits, "e").join(tall, "tall").select("query_id", "node").distinct()
 
 
+def _outward(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+
+
+def _inward(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
-    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    into = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
-    return out.unionByName(into).distinct()
+    return _outward(edges).unionByName(_inward(edges)).distinct()
+
+
+#: Questions of one bit set: the bits of a long.
+_BITS = 6
 
 
-def _step(frontier: DataFrame, links: DataFrame, level: int) -> DataFrame:
+def _as_bits(rows: DataFrame) -> DataFrame:
+    """(node, part, mask) of rows (query_id, node): 64 questions to a bit set.
+
+    Question q is bit q mod 64 of part q div 64, so the ids need no numbering; runs of ids share sets.
+    """
+    query = F.col("query_id").cast("long")
+    bit = query.bitwiseAND((1 << _BITS) - 1).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
     return (
-        frontier.join(links, "node")
-        .select("query_id", F.col("next").alias("node"))
-        .distinct()
-        .withColumn("hop", F.lit(level))
+        rows.where(query.isNotNull() & F.col("node").isNotNull())
+        .groupBy("node", F.shiftright(query, _BITS).alias("part"))
+        .agg(F.bit_or(one).alias("mask"))
     )
 
 
-def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
-    """(query_id, node, hop): nodes within ``hops`` steps of the seeds, direction ignored."""
-    links = both_ways(edges)
-    reached = seeds.select("query_id", "node").distinct().withColumn("hop", F.lit(0))
-    frontier = reached
-    for level in range(1, hops + 1):
-        frontier = _step(frontier, links, level).join(reached, ["query_id", "node"], "left_anti")
-        if level > 2:
-            frontier = cut_lineage(frontier)
-        reached = reached.unionByName(frontier)
-    return reached
+def _from_bits(rows: DataFrame, kind: DataType) -> DataFrame:
+    """(query_id, node, ...) of rows (node, part, mask, ...)."""
+    bits = F.filter(
+        F.sequence(F.lit(0), F.lit((1 << _BITS) - 1)),
+        lambda i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1,
+    )
+    query = (F.call_function("shiftleft", F.col("part"), F.lit(_BITS)) + F.col("bit")).cast(kind)
+    rest = [c for c in rows.columns if c not in ("node", "part", "mask")]
+    return rows.withColumn("bit", F.explode(bits)).select(query.alias("query_id"), "node", *rest)
+
+
+def _step(frontier: DataFrame, links: DataFrame, reached: DataFrame) -> DataFrame:
+    """(node, part, mask): what all questions reach with one more step and did not reach before.
+
+    New and known bits meet in one aggregation. Its partial sums put the sets of a node together
+    before they move, so a node with very many links sends one row from each task.
+    """
+    none = F.lit(0).cast("long")
+    new = frontier.join(links, "node").select(
+        F.col("next").alias("node"), "part", F.col("mask").alias("new"), none.alias("old")
+    )
+    old = reached.select("node", "part", none.alias("new"), F.col("mask").alias("old"))
+    left = F.bit_or("new").bitwiseAND(F.bitwise_not(F.bit_or("old")))
+    return new.unionByName(old).groupBy("node", "part").agg(left.alias("mask")).where("mask <> 0")
 
 
 #: Levels whose tables are read one by one before they are put together.
 KEPT_LEVELS = 8
 
 
-def _directed_levels(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """(query_id, node, hop): shortest directed distance from the seeds, to the last level.
+def _levels(seeds: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
+    """(query_id, node, hop): steps from the nearest seed, for at most ``most`` steps.
 
-    Each level is a table of its own, so what was reached is not written again with every level.
+    A level is one join of the links with the frontier of all questions at once, and a table of its
+    own, so what was reached is not written again with every level. Repeated links do no harm.
     """
-    frontier = cut_lineage(seeds.select("query_id", "node").distinct().withColumn("hop", F.lit(0)))
-    reached, level = frontier, 0
-    while True:
+    first = cut_lineage(_as_bits(seeds))
+    frontier, reached, level = first, first.withColumn("hop", F.lit(0)), 0
+    while level != most:
         level += 1
-        frontier = cut_lineage(
-            _step(frontier, links, level).join(reached, ["query_id", "node"], "left_anti")
-        )
+        frontier = cut_lineage(_step(frontier, links, reached))
         if frontier.isEmpty():
-            return reached
-        reached = reached.unionByName(frontier)
+            break
+        reached = reached.unionByName(frontier.withColumn("hop", F.lit(level)))
         if level % KEPT_LEVELS == 0:
             reached = cut_lineage(reached)
+    return _from_bits(reached, seeds.schema["query_id"].dataType)
+
+
+def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
+    """(query_id, node, hop): nodes within ``hops`` steps of the seeds, direction ignored.
+
+    ``query_id`` is a whole number. Seeds without a question or a node take no part.
+    """
+    return _levels(seeds, _outward(edges).unionByName(_inward(edges)), hops)
 
 
 def distance_to_seeds(targets: DataFrame, seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, node, distance): shortest directed path from or to any seed; -1 without one."""
-    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    into = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
-    from_seed = _directed_levels(seeds, out).withColumnRenamed("hop", "d_from")
-    to_seed = _directed_levels(seeds, into).withColumnRenamed("hop", "d_to")
+    from_seed = _levels(seeds, _outward(edges)).withColumnRenamed("hop", "d_from")
+    to_seed = _levels(seeds, _inward(edges)).withColumnRenamed("hop", "d_to")
     keys = ["query_id", "node"]
     return (
         targets.select(*keys)

@@ -214,6 +214,39 @@ def test_distances_and_expansion(spark):
     assert s["A"] == 1.0 and s["B"] == 0.54 and s["X"] == 0.32
 
 
+def steps_from(links, start):
+    found, level = {start: 0}, [start]
+    while level:
+        level = sorted({b for a, b in links if a in level and b not in found})
+        found |= {n: 1 + max(found.values()) for n in level}
+    return found
+
+
+def test_levels_of_many_questions_at_once(spark):
+    rng = random.Random(5)
+    names = [f"N{i}" for i in range(60)]
+    links = [(rng.choice(names), rng.choice(names)) for _ in range(70)]
+    links += [("N0", n) for n in names[1:40]] + links[:20]  # a hub and repeated links
+    e = edges(spark, [(a, b, "r") for a, b in links])
+    # ids of several bit sets, below zero and at the ends of a long
+    starts = {q: rng.choice(names) for q in [*range(-70, 140), 2**63 - 1, -(2**63)]}
+    rows = [*starts.items(), (None, "N1"), (5000, None), (6000, "not a node"), (0, starts[0])]
+    seeds = spark.createDataFrame(rows, "query_id long, node string")
+    both = links + [(b, a) for a, b in links]
+    got = {(r["query_id"], r["node"]): r["hop"] for r in graph.expand(seeds, e, 3).collect()}
+    want = {(q, n): h for q, s in starts.items() for n, h in steps_from(both, s).items() if h <= 3}
+    assert got == want | {(6000, "not a node"): 0}
+    asked = spark.createDataFrame([(q, n) for q in starts for n in names[:7]], "query_id long, node string")
+    d = {(r["query_id"], r["node"]): r["distance"] for r in graph.distance_to_seeds(asked, seeds, e).collect()}
+    for q, s in starts.items():
+        out, into = steps_from(links, s), steps_from([(b, a) for a, b in links], s)
+        for n in names[:7]:
+            near = [h for h in (out.get(n), into.get(n)) if h is not None]
+            assert d[q, n] == min(near, default=-1)
+    assert graph.expand(seeds.limit(0), e, 2).count() == 0
+    assert graph.expand(seeds, e.limit(0), 2).where("hop > 0").count() == 0
+
+
 def all_paths(links, a, b, most):
     out, stack = [], [[a]]
     while stack:
