@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     catalog_knowledge,
     catalog_records,
     catalog_retrieval,
+    catalog_sources,
 )
 from .registry import ORACLES, QUERIES
 
