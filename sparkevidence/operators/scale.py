@@ -33,13 +33,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def drop_stored(spark: SparkSession) -> None:
-    """Delete the tables that this session's jobs have written with ``cut_lineage``."""
+    """Delete the tables that this session's jobs have written to the checkpoint folder."""
     folder = spark.sparkContext.getCheckpointDir()
     if folder is not None:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/tables")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path for a new table in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Write the rows as a table in the shared checkpoint folder and go on from there.
 
@@ -48,8 +54,7 @@ def cut_lineage(df: DataFrame, options: dict[str, str] | None = None) -> DataFra
     read. Being a table, it is read by column and its size is known to the optimizer.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -27,6 +27,14 @@ def _index(spark, sf_dir, tokens=tokenize):
     )
 
 
+def _keys(spark, sf_dir):
+    """Content keys, stored beside the index."""
+    return shared(
+        spark, sf_dir, "content_keys",
+        lambda: cut_lineage(fusion.content_keys(testbed.corpus(spark, sf_dir, testbed.texts))),
+    )
+
+
 def _sorted_text(column):
     return F.array_join(F.array_sort(column), " ")
 
@@ -154,6 +162,7 @@ def _hybrid(spark, sf_dir, k=HYBRID_K):
     return fusion.hybrid_search(
         testbed.questions(spark, sf_dir), testbed.corpus(spark, sf_dir), _index(spark, sf_dir),
         testbed.vectors(spark, sf_dir), testbed.query_vectors(spark, sf_dir), k,
+        keys=_keys(spark, sf_dir),
     )
 
 
@@ -179,7 +188,7 @@ def multi_query_merge(spark, sf_dir):
     """User turns of a conversation asked one by one and merged for the conversation."""
     turns = testbed.turns(spark, sf_dir)
     hits = bm25.search(turns.select("query_id", "query"), _index(spark, sf_dir), 10)
-    keyed = fusion.with_content_keys(hits, testbed.corpus(spark, sf_dir), turns.count() * 10)
+    keyed = fusion.with_content_keys(hits, _keys(spark, sf_dir))
     merged = fusion.merge_queries(
         keyed, turns.select("query_id", "group_id", F.col("query_pos").cast("long").alias("query_pos")),
         20,

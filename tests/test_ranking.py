@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkevidence.config import Settings
 from sparkevidence.functions.text import tokenize, tokenize_hyphen
-from sparkevidence.operators import bm25, dense, entities, expansion, fusion, ranking
+from sparkevidence.operators import bm25, dense, entities, expansion, fusion, ranking, scale
 
 WORDS = "alpha beta gamma delta TP53 MTAP loss-of-function cell the of".split()
 
@@ -333,6 +333,59 @@ def test_multi_hop_stops_when_good_or_nothing_new(spark):
     assert len(asked) == 1 and len(asked[0]) == 6
 
 
+def test_a_second_round_follows_the_first_and_repeats_no_question(spark):
+    queries = spark.createDataFrame([(1, "weak MTAP"), (2, "weak WRN")], "query_id long, query string")
+    schema = "query_id long, doc_id long, key string, content string, score double"
+    first = ranking.rerank(
+        spark.createDataFrame([(1, 10, "a", "a", 0.0), (2, 20, "b", "b", 0.0)], schema)
+    )
+    leads_to = {"weak mtap": "start", "about start": "PRMT5", "about PRMT5": "MAT2A"}
+    asked = []
+
+    def search(questions):
+        rows = [(r["query_id"], r["query"]) for r in questions.collect()]
+        asked.append(sorted(t for _, t in rows))
+        found = [(q, 100 + len(t), leads_to[t], leads_to[t], 0.0) for q, t in rows if t in leads_to]
+        return ranking.rerank(spark.createDataFrame(found, schema))
+
+    def ask(active, results):
+        """What was found names the next question; the original one is proposed again and again."""
+        again = active.select("query_id", F.lit(0).alias("query_pos"), F.upper(F.concat("query", F.lit("  "))).alias("query"))
+        begin = active.select("query_id", F.lit(1).alias("query_pos"), F.lit("about start").alias("query"))
+        more = results.join(active, "query_id", "left_semi").select(
+            "query_id", F.lit(2).alias("query_pos"), F.concat(F.lit("about "), "content").alias("query")
+        )
+        return again.unionByName(begin).unionByName(more.where("length(content) > 1"))
+
+    out = expansion.multi_hop_expand(queries, first, search, lambda rows: rows.withColumn("score", F.lit(0.1)), ask=ask)
+    assert asked == [["about start"] * 2, ["about PRMT5"] * 2]
+    assert {(r["query_id"], r["key"]) for r in out.collect()} == {
+        (1, "a"), (1, "PRMT5"), (1, "MAT2A"), (2, "b"), (2, "PRMT5"), (2, "MAT2A")
+    }
+    # the broader questions of a gene are the same in every round
+    told = expansion.step_back(queries)
+    assert told.groupBy("group_id").count().where("count = 3").count() == 2
+    assert expansion.step_back(queries, asked=told.select("group_id", "query")).count() == 0
+
+
+def test_fusion_on_stored_keys_reads_no_text(spark):
+    corpus = spark.createDataFrame(
+        [(i, f"{w} pathway") for i, w in enumerate(["MTAP", "WRN", "MTAP", "PRMT5", "ATM"])], "doc_id long, content string"
+    )
+    asked = spark.createDataFrame([(1, "MTAP pathway"), (2, "none of them")], "query_id long, query string")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id long, embedding array<float>")
+    near = spark.createDataFrame([(1, [1.0, 0.5]), (2, [0.0, 1.0])], "query_id long, embedding array<float>")
+    index = bm25.build_index(corpus)
+    want = fusion.hybrid_search(asked, corpus, index, vectors, near, 3).collect()
+    assert {r["query_id"] for r in want} == {1, 2}
+    keys = scale.cut_lineage(fusion.content_keys(corpus))
+    # equal texts are one result, and the corpus is not needed at all
+    no_texts = corpus.withColumn("content", F.raise_error(F.lit("a text was read")))
+    got = fusion.hybrid_search(asked, no_texts, index, vectors, near, 3, keys=keys).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert len({r["key"] for r in got if r["query_id"] == 1}) == len([r for r in got if r["query_id"] == 1])
+
+
 def test_seen_links_are_dropped(spark):
     schema = "query_id long, doc_id long, key string, link string, score double"
     seen = spark.createDataFrame([(1, 1, "a", "L1", 0.5)], schema)
