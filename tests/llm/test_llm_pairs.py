@@ -1,6 +1,7 @@
 """Jaccard join, decontamination and exact top-k against brute force."""
 
 import random
+from collections import defaultdict
 
 import pytest
 
@@ -174,3 +175,26 @@ def test_top_k(spark, monkeypatch):
     assert kdtree.top_k(few.where("id % 20 = 0"), few, 20).count() == 4
     assert kdtree.top_k(few.where("false"), few, 20).count() == 0
     assert kdtree.top_k(few.where("false"), few.where("false"), 20).count() == 0
+
+
+def test_top_k_of_large_numbers_ragged_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 40)
+    monkeypatch.setattr(kdtree, "LEAF_ROWS", 4)
+    rng = random.Random(11)
+    top = 2**63 - 1
+    rows = [(i, [rng.randint(-(2**31), 2**31) for _ in range(rng.choice([1, 3]))]) for i in range(300)]
+    rows += [(400 + i, [94906267 + i % 3]) for i in range(30)]  # products beyond a double's whole numbers
+    rows += [(500, [top]), (501, [top]), (502, [-top]), (503, [2])]
+    rows += [rows[0], (20, [5, 5, 5]), (20, [7])]  # one row twice, one id with several vectors
+    vectors = spark.createDataFrame(rows, "id long, v array<bigint>").selectExpr("*", "'clash' as part", "v as data")
+    queries = vectors.where("id % 20 = 0").distinct()
+    got = defaultdict(list)
+    for r in kdtree.top_k(queries, vectors, 20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    want = defaultdict(list)
+    for q, v in {(i, tuple(v)) for i, v in rows if i % 20 == 0}:
+        for i, w in rows:
+            if i != q and len(w) == len(v):
+                score = sum(a * b for a, b in zip(v, w, strict=True))
+                want[q].append((i, max(-top - 1, min(top, score))))
+    assert dict(got) == {q: sorted(f, key=lambda x: (-x[1], x[0]))[:20] for q, f in want.items()}
